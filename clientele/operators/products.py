@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.functions.dates import day_of, day_start, within
 from clientele.functions.money import as_money, numeric_sum
+from clientele.operators.sessions import FACT_KEYS, NO_PRODUCT
 
 def _product_keys() -> list[Column]:
     return [F.col("product_id"), F.col("name").alias("product_name"), F.col("brand").alias("brand_name"),
@@ -19,7 +20,7 @@ def product_daily(priced: DataFrame, facts: DataFrame | None = None) -> DataFram
     to count purchases only."""
     rows = priced.where(F.col("cost") > 0)
     if facts is not None:
-        rows = rows.join(facts.where(F.col("total_cost") > 0).select("session_id"), "session_id", "left_semi")
+        rows = rows.join(facts.where(F.col("total_cost") > 0).select(*FACT_KEYS), FACT_KEYS, "left_semi")
     return (rows.groupBy(*_product_keys(), day_start(F.col("session_created_at")).alias("session_day"),
                          "country", "traffic_source")
             .agg(F.count("cost").alias("daily_product_purchased_items"),
@@ -28,7 +29,7 @@ def product_daily(priced: DataFrame, facts: DataFrame | None = None) -> DataFram
 
 def product_global(priced: DataFrame) -> DataFrame:
     """Lifetime totals per product; the 'no product' id 0 is left out."""
-    return (priced.where(F.col("product_id") != 0).groupBy(*_product_keys())
+    return (priced.where(F.col("product_id") != NO_PRODUCT).groupBy(*_product_keys())
             .agg(F.count(F.lit(1)).alias("product_total_purchased_items"),
                  as_money(numeric_sum(F.col("cost"))).alias("product_total_spend"),
                  F.max("session_created_at").alias("last_product_purchase_date")))

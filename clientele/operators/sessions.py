@@ -19,6 +19,10 @@ from clientele.functions.nested import has_event
 from clientele.functions.text import squash
 
 SESSION_KEYS = ["user_id", "country", "session_id", "session_created_at", "traffic_source"]
+# A session has one user and one start; these identify it and are never NULL.
+FACT_KEYS = ["user_id", "session_id", "session_created_at"]
+# Product id of the events that concern no product.
+NO_PRODUCT = 0
 EVENT_FIELDS = ["event_type", "product_id", "created_at", "sequence_number", "uri", "cost", "category", "name",
                 "brand", "department"]
 
@@ -41,8 +45,11 @@ def price_events(raw: DataFrame, products: DataFrame) -> DataFrame:
     """Look up the product of every event; events without one keep NULLs.
 
     No broadcast hint: Spark broadcasts the products only if their measured size
-    is below its threshold, and otherwise splits the hot 'no product' key."""
-    looked_up = products.select(F.col("id").alias("_id"), "cost", "category", "name", "brand", "department")
+    is below its threshold, and otherwise splits the hot 'no product' key. Once a
+    later step asks for priced rows only, the filter on the product side lets
+    Catalyst drop the events without a product before any shuffle."""
+    looked_up = products.where(F.col("id") != NO_PRODUCT).select(
+        F.col("id").alias("_id"), "cost", "category", "name", "brand", "department")
     return (raw.join(looked_up, raw.product_id == F.col("_id"), "left").drop("_id")
                .withColumn("uri", event_uri()))
 
@@ -54,7 +61,7 @@ def session_facts(priced: DataFrame) -> DataFrame:
     purchase (NULL if nothing had a price), and 0 if it did not."""
     cost = F.col("cost")
     paid = cost > 0
-    sums = priced.groupBy(*SESSION_KEYS).agg(
+    sums = priced.groupBy(*FACT_KEYS).agg(
         numeric_sum(cost).alias("_seen"),
         F.max(F.col("event_type") == "purchase").alias("has_purchase"),
         F.max(F.col("event_type") == "cart").alias("has_cart"),
@@ -63,7 +70,7 @@ def session_facts(priced: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_events"),
     )
     total = F.when(F.col("has_purchase"), as_money(F.col("_seen"))).otherwise(F.lit(0.0))
-    return sums.select(*SESSION_KEYS, total.alias("total_cost"), "has_purchase", "has_cart", "priced_items",
+    return sums.select(*FACT_KEYS, total.alias("total_cost"), "has_purchase", "has_cart", "priced_items",
                        "priced_spend", "n_events")
 
 
@@ -72,14 +79,14 @@ def nest_sessions(priced: DataFrame, max_row: int = MAX_SESSION_ROW) -> DataFram
 
     The facts come first; they carry the total and the length, and the length
     decides into how many rows a very long session is hashed."""
-    facts = session_facts(priced).select("session_id", "total_cost", "n_events")
+    facts = session_facts(priced).select(*FACT_KEYS, "total_cost", "n_events")
     part = F.when(F.col("n_events") <= max_row, F.lit(0)).otherwise(
         F.pmod(F.xxhash64("sequence_number", "event_type", "product_id", "created_at"),
                F.ceil(F.col("n_events") / max_row)))
     # sequence_number leads inside the collected struct, so sort_array gives the
     # order of the session; the stored struct has its own field order.
     ordered = F.struct("sequence_number", *[f for f in EVENT_FIELDS if f != "sequence_number"])
-    return (priced.join(facts, "session_id")
+    return (priced.join(facts, FACT_KEYS)
             .withColumn("_part", part)
             .groupBy(*SESSION_KEYS, "total_cost", "_part")
             .agg(F.sort_array(F.collect_list(ordered)).alias("_events"))
@@ -112,9 +119,12 @@ def purchase_lines(events: DataFrame) -> DataFrame:
 
 
 def purchase_lines_flat(priced: DataFrame, facts: DataFrame) -> DataFrame:
-    """The same from the flat stream: keep the priced events of paid sessions."""
-    paid = facts.where(F.col("total_cost") > 0).select("session_id")
-    return _as_lines(priced.where(F.col("cost") > 0).join(paid, "session_id", "left_semi"))
+    """The same from the flat stream: keep the priced events of paid sessions.
+
+    Joining on all keys of a session lets Catalyst carry a later filter on the
+    day or the user over to the facts as well."""
+    paid = facts.where(F.col("total_cost") > 0).select(*FACT_KEYS)
+    return _as_lines(priced.where(F.col("cost") > 0).join(paid, FACT_KEYS, "left_semi"))
 
 
 def facts_of_sessions(events: DataFrame) -> DataFrame:
@@ -124,7 +134,7 @@ def facts_of_sessions(events: DataFrame) -> DataFrame:
     spend = F.aggregate(priced, F.lit(0).cast("decimal(38,9)"),
                         lambda acc, e: (acc + numeric(e["cost"])).cast("decimal(38,9)"))
     return events.select(
-        *SESSION_KEYS, "total_cost",
+        *FACT_KEYS, "total_cost",
         has_event("session", "purchase").alias("has_purchase"),
         has_event("session", "cart").alias("has_cart"),
         F.size(priced).cast("long").alias("priced_items"),

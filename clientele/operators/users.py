@@ -141,12 +141,13 @@ def _empty(kind) -> Column:
     return F.array().cast(kind)
 
 
-def user_aggregates(global_: DataFrame, daily: DataFrame) -> DataFrame:
+def user_aggregates(global_: DataFrame, daily: DataFrame, how: str = "inner") -> DataFrame:
     """Lifetime columns repeated on every day row, in the order of the schema.
 
-    Missing arrays become empty ones. Either array may be left out of the inputs
+    `user_daily` has a row for every user; with a frame of bare purchase days
+    join "left" for the same result. Missing arrays become empty ones. Either array may be left out of the inputs
     when a question does not read it; it is then missing in the result too."""
-    joined = global_.join(daily, "id").withColumnRenamed("id", "user_id")
+    joined = global_.join(daily, "id", how).withColumnRenamed("id", "user_id")
     out = []
     for field in USER_AGGREGATES.fields:
         if field.name in joined.columns:

@@ -21,13 +21,11 @@ class Frames:
 
     def user_aggregates(self, daily: bool = True, total: bool = True) -> DataFrame:
         """`daily` / `total` = False leaves that array (and its shuffles) out of
-        the plan when a question does not read it."""
-        if daily:
-            days = usr.user_daily(self.users, self.lines)
-        else:
-            days = self.users.select("id").join(
-                usr.user_day_orders(self.facts).withColumnRenamed("user_id", "id"), "id", "left")
-        return usr.user_aggregates(usr.user_global(self.users, self.lines, self.facts, arrays=total), days)
+        the plan when a question does not read it. Days are joined to the user
+        rows directly; going through `user_daily` would read the users twice."""
+        days = usr.day_arrays(self.lines) if daily else usr.user_day_orders(self.facts)
+        life = usr.user_global(self.users, self.lines, self.facts, arrays=total)
+        return usr.user_aggregates(life, days.withColumnRenamed("user_id", "id"), "left")
 
     def product_aggregates(self) -> DataFrame:
         return prod.product_aggregates(prod.product_global(self.priced), prod.product_daily(self.priced))
@@ -45,8 +43,10 @@ def from_events(users: DataFrame, events: DataFrame) -> Frames:
     return Frames(users, sess.unnest_session(events), sess.facts_of_sessions(events), sess.purchase_lines(events))
 
 
-def demo_frames(spark: SparkSession, sf_dir: str) -> Frames:
-    return from_clicks(demo.users(spark, sf_dir), demo.products(spark, sf_dir), demo.session_events(spark, sf_dir))
+def demo_frames(spark: SparkSession, sf_dir: str, country: bool = False) -> Frames:
+    """Frames over the provided tables; the product tables also need the country."""
+    return from_clicks(demo.users(spark, sf_dir), demo.products(spark, sf_dir),
+                       demo.session_events(spark, sf_dir, country))
 
 
 def build(spark: SparkSession, users: DataFrame, products: DataFrame, raw: DataFrame, out: str) -> dict[str, DataFrame]:

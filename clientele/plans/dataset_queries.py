@@ -237,7 +237,7 @@ SELECT brand_name, items FROM (
   GROUP BY brand_name ORDER BY items DESC, brand_name LIMIT 20)
 ORDER BY md5(brand_name || '-7'), brand_name LIMIT 5"""))
 def random_n_of_top_m_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = prod.product_daily(demo_frames(spark, sf_dir).priced)
+    daily = prod.product_daily(demo_frames(spark, sf_dir, country=True).priced)
     brands = daily.groupBy("brand_name").agg(F.sum("daily_product_purchased_items").alias("items"))
     return random_n_of_top_m(brands, "brand_name", "items", n=5, m=20, seed=7)
 
@@ -255,7 +255,7 @@ def _product_daily(rows: DataFrame) -> DataFrame:
 
 @query("product_daily", product_sql(_PD))
 def product_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _product_daily(prod.product_daily(demo_frames(spark, sf_dir).priced))
+    return _product_daily(prod.product_daily(demo_frames(spark, sf_dir, country=True).priced))
 
 
 @query("product_daily_purchased", demo_sql("""
@@ -265,7 +265,7 @@ SELECT product_id, name AS product_name, brand AS brand_name, category,
        round(CAST(sum(CAST(cost AS DECIMAL(38,9))) AS DOUBLE), 2) AS daily_product_spend
 FROM priced p JOIN facts f ON p.session_id = f.session_id WHERE cost > 0 AND total_cost > 0 GROUP BY ALL"""))
 def product_daily_purchased(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = demo_frames(spark, sf_dir)
+    f = demo_frames(spark, sf_dir, country=True)
     return _product_daily(prod.product_daily(f.priced, f.facts))
 
 
@@ -284,14 +284,14 @@ SELECT product_id, product_name, brand_name, category, product_total_purchased_i
        daily_product_purchased_items, round(daily_product_spend, 2) AS daily_product_spend, country, traffic_source
 FROM pa"""))
 def product_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pa = demo_frames(spark, sf_dir).product_aggregates()
+    pa = demo_frames(spark, sf_dir, country=True).product_aggregates()
     return (pa.withColumn("product_total_spend", F.round("product_total_spend", 2))
               .withColumn("daily_product_spend", F.round("daily_product_spend", 2)))
 
 
 @query("distinct_brands", product_sql("SELECT DISTINCT brand_name, category FROM pa"))
 def distinct_brands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prod.distinct_values(demo_frames(spark, sf_dir).product_aggregates(), "brand_name", "category")
+    return prod.distinct_values(demo_frames(spark, sf_dir, country=True).product_aggregates(), "brand_name", "category")
 
 
 @query("unnest_product_ids", user_sql("""

@@ -38,6 +38,10 @@ _DAY_BRAND = _DAY.format(brand=BRAND)
 _DAY_OTHER = _DAY.format(brand=OTHER)
 
 
+def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return demo_frames(spark, sf_dir, country=True).product_aggregates()
+
+
 def _months(n: int, column: str = "session_day") -> str:
     return (f"CAST({column} AS DATE) BETWEEN CAST({AS_OF} - INTERVAL {n} MONTH AS DATE) AND {AS_OF}")
 
@@ -47,14 +51,14 @@ SELECT product_name, CAST(sum(daily_product_purchased_items) AS BIGINT) AS total
 WHERE CAST(session_day AS DATE) >= CAST({AS_OF} - INTERVAL 3 MONTH AS DATE)
 GROUP BY product_name ORDER BY total_purchased_items DESC, product_name LIMIT 5"""))
 def top_products_(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return q.top_sellers(demo_frames(spark, sf_dir).product_aggregates(), demo.AS_OF)
+    return q.top_sellers(_products(spark, sf_dir), demo.AS_OF)
 
 
 @query("seg_q0", product_sql(f"""
 SELECT product_id, CAST(sum(daily_product_purchased_items) AS BIGINT) AS total_purchased_items FROM pa
 WHERE {_months(12)} GROUP BY product_id ORDER BY total_purchased_items DESC, product_id LIMIT 5"""))
 def seg_q0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_products(demo_frames(spark, sf_dir).product_aggregates(), "product_id", 5,
+    return top_products(_products(spark, sf_dir), "product_id", 5,
                         since=months_before(demo.AS_OF, 12), until=as_date(demo.AS_OF))
 
 
@@ -198,13 +202,13 @@ GROUP BY user_id HAVING count(DISTINCT product_id) >= {at_least}"""))
 @query("seg_q7", _top_sql(3, 1))
 def seg_q7(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = demo_frames(spark, sf_dir)
-    return _answer(q.buyers_of_top(f.user_aggregates(total=False), f.product_aggregates(), demo.AS_OF, months=3))
+    return _answer(q.buyers_of_top(f.user_aggregates(total=False), _products(spark, sf_dir), demo.AS_OF, months=3))
 
 
 @query("seg_q8", _top_sql(12, 2))
 def seg_q8(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = demo_frames(spark, sf_dir)
-    return _answer(q.buyers_of_top(f.user_aggregates(total=False), f.product_aggregates(), demo.AS_OF, months=12,
+    return _answer(q.buyers_of_top(f.user_aggregates(total=False), _products(spark, sf_dir), demo.AS_OF, months=12,
                                    at_least=2))
 
 

@@ -16,6 +16,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # A join on (user, session, start) may reuse data already hashed by session.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -63,10 +63,9 @@ def _source(priority: Column) -> Column:
     return F.get(F.array(*[F.lit(s) for s in TRAFFIC_SOURCES]), rank)
 
 
-def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order."""
-    people = users(spark, sf_dir).select(F.col("id").alias("user_id"), "country")
-    orders = table(spark, sf_dir, "orders").select(
+def sessions(spark: SparkSession, sf_dir: str, country: bool = True) -> DataFrame:
+    """One row per order. `country` = False saves the look-up of the user."""
+    heads = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("string").alias("user_id"),
         F.col("o_orderkey").cast("string").alias("session_id"),
         _source(F.col("o_orderpriority")).alias("traffic_source"),
@@ -74,20 +73,22 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("o_orderkey") % 2 == 0).alias("starts_at_home"),
         F.col("o_orderstatus").alias("status"),
     )
-    return orders.join(people, "user_id")
+    if not country:
+        return heads
+    return heads.join(users(spark, sf_dir).select(F.col("id").alias("user_id"), "country"), "user_id")
 
 
 def _after(minutes: Column) -> Column:
     return F.timestamp_add("MINUTE", minutes, F.col("session_created_at"))
 
 
-def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def session_events(spark: SparkSession, sf_dir: str, country: bool = True) -> DataFrame:
     """Flat click stream, one row per event.
 
-    Everything below is hashed by session_id only, and the session keys are cast
-    before the joins, so the later per-session grouping needs no new shuffle."""
-    parent = ["user_id", "country", "session_id", "traffic_source", "session_created_at"]
-    heads = sessions(spark, sf_dir)
+    Session keys are cast before the joins, so the joins and the later grouping
+    per session agree on one hash of session_id and share its shuffle."""
+    heads = sessions(spark, sf_dir, country)
+    parent = ["user_id", *(["country"] if country else []), "session_id", "traffic_source", "session_created_at"]
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").cast("string").alias("session_id"),
         F.when(F.col("l_returnflag") == "R", "department").otherwise("product").alias("event_type"),
