@@ -64,7 +64,7 @@ class Best:
         ids, corpus = ids[order], corpus[order]
         tenants = None if tenants is None else tenants[order]
         if self.ids is None:
-            self.ids = np.full((len(self.qids), self.k), ids[0])
+            self.ids = np.full((len(self.qids), self.k), ids[0], dtype=ids.dtype)
         elif ids.dtype.kind == "U" and ids.dtype.itemsize > self.ids.dtype.itemsize:
             self.ids = self.ids.astype(ids.dtype)
         for start in range(0, len(self.qids), self.tile):

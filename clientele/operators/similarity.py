@@ -157,8 +157,9 @@ def similar_lsh(queries: DataFrame, corpus: DataFrame, k: int, threshold: float
     schema = _result_schema(queries, corpus, "qid", "id")
 
     def hashed(df: DataFrame, key: str) -> DataFrame:
+        # aliases give each side its own columns, also when both are the same frame
         return df.where(F.col("embedding").isNotNull()).select(
-            key, "embedding", F.explode(signatures(F.col("embedding"), dimensions, tables, bits, seed)).alias("_g"))
+            F.col(key).alias(key), F.col("embedding").alias("embedding"), F.explode(signatures(F.col("embedding"), dimensions, tables, bits, seed)).alias("_g"))
 
     options = dict(k=k, metric="cosine", threshold=threshold, exclude_same_id=exclude_same_id)
     found = _blocks(hashed(queries, "qid"), hashed(corpus, "id"), schema, options, True, block_rows)
