@@ -156,16 +156,16 @@ def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------ questions and answers
 
-_PARTS = "'shop.BigQuery.' || role || '.cdp.' || text || '.Y'"
+_PARTS = "'shop.warehouse.' || role || '.cdp.' || text || '.Y'"
 _STORED_SQL = """
-SELECT md5('shop.BigQuery.user.cdp.' || text || '.Y') AS id, text AS question,
+SELECT md5('shop.warehouse.user.cdp.' || text || '.Y') AS id, text AS question,
        'SELECT ' || CAST(item_id AS VARCHAR) || ' ' AS generated_sql FROM benchmark"""
 
 
 def _as_questions(df: DataFrame, text: str, requestor, sql) -> DataFrame:
     return df.select(
         F.col(text).alias("question"), sql.alias("generated_sql"), requestor.alias("requestor"),
-        F.lit("shop").alias("table_catalog"), F.lit("cdp").alias("table_schema"), F.lit("BigQuery").alias("source_type"),
+        F.lit("shop").alias("table_catalog"), F.lit("cdp").alias("table_schema"), F.lit("warehouse").alias("source_type"),
         *[c for c in ("conv_id", "turn", "item_id") if c in df.columns])
 
 
@@ -183,7 +183,7 @@ def _spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("lookup_by_hash", f"""
 WITH stored AS ({_STORED_SQL}),
-asked AS (SELECT text, 'user' AS requestor, md5('shop.BigQuery.user.cdp.' || text || '.Y') AS id FROM benchmark
+asked AS (SELECT text, 'user' AS requestor, md5('shop.warehouse.user.cdp.' || text || '.Y') AS id FROM benchmark
           UNION ALL SELECT text, role, md5({_PARTS}) FROM conversations)
 SELECT a.text AS question, a.requestor, coalesce(s.generated_sql, 'SQL Not Found in Vector DB') AS generated_sql
 FROM asked a LEFT JOIN stored s ON a.id = s.id AND a.requestor = 'user'""")
