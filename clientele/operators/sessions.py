@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clientele.functions.dates import day_of, day_start
+from clientele.functions.dates import day_start
 from clientele.functions.money import as_money, numeric, numeric_sum
 from clientele.functions.nested import has_event
 from clientele.functions.text import squash
@@ -167,7 +167,3 @@ def abandoned_carts(facts: DataFrame, include_never_purchased: bool = False) ->
         later = F.col("session_created_at") > F.col("last_purchase_at")
     return joined.where(later).select("user_id", "session_id")
 
-
-def session_date(events: DataFrame) -> DataFrame:
-    """Adds the DATE column the stored table is partitioned by."""
-    return events.withColumn("session_date", day_of(F.col("session_created_at")))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from clientele.functions.dates import day_of
 from clientele.operators import products as prod, sessions as sess, users as usr
 from clientele.sources import demo, tables
 
@@ -49,32 +48,50 @@ def demo_frames(spark: SparkSession, sf_dir: str, country: bool = False) -> Fram
                        demo.session_events(spark, sf_dir, country))
 
 
-def build(spark: SparkSession, users: DataFrame, products: DataFrame, raw: DataFrame, out: str) -> dict[str, DataFrame]:
+PARTITION = "session_date"
+
+
+def period_of(day: Column, grain: str = "DAY") -> Column:
+    """First day of the period a row is stored under."""
+    return F.trunc(F.to_date(day), grain) if grain != "DAY" else F.to_date(day)
+
+
+def stored_days(table: DataFrame, since: Column, until: Column, grain: str = "DAY") -> DataFrame:
+    """Rows of a range of days. The first test is on the partition column and
+    decides which folders are opened, the second one picks the days in them."""
+    opened = table.where(F.col(PARTITION).between(period_of(since, grain), until))
+    return opened if grain == "DAY" else opened.where(F.to_date("session_day").between(since, until))
+
+
+def build(spark: SparkSession, users: DataFrame, products: DataFrame, raw: DataFrame, out: str,
+          grain: str = "DAY") -> dict[str, DataFrame]:
     """Write all tables below `out` and hand back readers for them.
 
     Each table is written once and read back by the next step: that cuts the
     lineage, survives lost executors and lets the later steps prune columns and
-    days. Overwrites, so a second run leaves the same tables."""
-    def store(name: str, df: DataFrame, partition: str | None = None) -> DataFrame:
-        tables.write_table(df, f"{out}/{name}", partition)
+    days. Overwrites, so a second run leaves the same tables. `grain` DAY, MONTH
+    or YEAR sets the size of a partition: days for large data, longer periods
+    where a day would be a file of a few rows."""
+    def store(name: str, df: DataFrame, day: str | None = None) -> DataFrame:
+        if day:
+            df = df.withColumn(PARTITION, period_of(F.col(day), grain))
+        tables.write_table(df, f"{out}/{name}", PARTITION if day else None)
         return tables.read_table(spark, f"{out}/{name}")
 
-    def by_day(df: DataFrame) -> DataFrame:
-        return df.withColumn("session_date", day_of(F.col("session_day")))
-
-    events = store("events", sess.session_date(sess.build_events(raw, products)), "session_date")
-    base = from_events(users, events.drop("session_date"))
-    daily = store("user_daily", by_day(usr.user_daily(users, base.lines)), "session_date").drop("session_date")
+    events = store("events", sess.build_events(raw, products), "session_created_at")
+    base = from_events(users, events.drop(PARTITION))
+    daily = store("user_daily", usr.user_daily(users, base.lines), "session_day")
     life = store("user_global", usr.user_global(users, base.lines, base.facts))
-    product_daily = store("product_daily", by_day(prod.product_daily(base.priced)), "session_date")
+    product_daily = store("product_daily", prod.product_daily(base.priced), "session_day")
     product_life = store("product_global", prod.product_global(base.priced))
     return {
         "events": events,
         "user_daily": daily,
         "user_global": life,
-        "user_aggregates": store("user_aggregates", by_day(usr.user_aggregates(life, daily)), "session_date"),
+        "user_aggregates": store("user_aggregates", usr.conforms(
+            usr.user_aggregates(life, daily.drop(PARTITION))), "session_day"),
         "product_daily": product_daily,
         "product_global": product_life,
-        "product_aggregates": store("product_aggregates", by_day(
-            prod.product_aggregates(product_life, product_daily.drop("session_date"))), "session_date"),
+        "product_aggregates": store("product_aggregates", prod.product_aggregates(
+            product_life, product_daily.drop(PARTITION)), "session_day"),
     }

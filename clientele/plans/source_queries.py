@@ -5,11 +5,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clientele.functions.dates import as_date, day_of, months_before
+from clientele.functions.dates import as_date, months_before
 from clientele.operators import products as prod, users as usr
 from clientele.operators.segments import segment
 from clientele.operators.sessionize import session_table
-from clientele.plans.dataset import build, demo_frames
+from clientele.plans.dataset import PARTITION, build, demo_frames, period_of, stored_days
 from clientele.plans.dataset_queries import brands_text
 from clientele.plans.reference_sql import demo_sql, product_sql
 from clientele.plans.registry import SQL, query
@@ -53,9 +53,12 @@ def sample_corpus_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------- stored tables
 
+GRAIN = "YEAR"      # the provided tables hold a handful of rows per day
+
+
 def _build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return build(spark, demo.users(spark, sf_dir), demo.products(spark, sf_dir), demo.session_events(spark, sf_dir),
-                 scratch_dir(spark, "tables"))
+                 scratch_dir(spark, "tables"), GRAIN)
 
 
 @query("stored_user_aggregates", SQL["user_aggregates"])
@@ -70,7 +73,7 @@ def stored_user_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stored_product_aggregates", SQL["product_aggregates"])
 def stored_product_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pa = _build(spark, sf_dir)["product_aggregates"].drop("session_date")
+    pa = _build(spark, sf_dir)["product_aggregates"].drop(PARTITION)
     return (pa.withColumn("product_total_spend", F.round("product_total_spend", 2))
               .withColumn("daily_product_spend", F.round("daily_product_spend", 2)))
 
@@ -80,13 +83,13 @@ def stored_seg_q6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The question over the stored table: the filter on the partition column
     opens only the folders of the last year."""
     ua = _build(spark, sf_dir)["user_aggregates"]
-    recent = ua.where(F.col("session_date").between(months_before(demo.AS_OF, 12), as_date(demo.AS_OF)))
+    recent = stored_days(ua, months_before(demo.AS_OF, 12), as_date(demo.AS_OF), GRAIN)
     return _answer(segment(recent).bought(BRAND, min_items=2))
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = prod.product_daily(demo_frames(spark, sf_dir, country=True).priced)
-    return rows.withColumn("session_date", day_of(F.col("session_day")))
+    return rows.withColumn(PARTITION, period_of(F.col("session_day"), GRAIN))
 
 
 def _daily_sql(times: int) -> str:
@@ -112,11 +115,11 @@ def sink_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_replace_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replacing days twice leaves them as they are; other days are untouched."""
     path = scratch_dir(spark, "replace")
-    tables.write_table(_daily(spark, sf_dir), path, "session_date")
-    again = tables.read_table(spark, path).where(F.col("session_date") >= "2000-01-01")
+    tables.write_table(_daily(spark, sf_dir), path, PARTITION)
+    again = tables.read_table(spark, path).where(F.col(PARTITION) >= "2000-01-01")
     copy = scratch_dir(spark, "replace-copy")
     tables.write_table(again, copy)
-    tables.replace_days(tables.read_table(spark, copy), path, "session_date")
+    tables.replace_days(tables.read_table(spark, copy), path, PARTITION)
     return _summary(tables.read_table(spark, path))
 
 
@@ -127,7 +130,8 @@ _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stream.read_events(spark, f"{sf_dir}/events.parquet")
+    # a pattern, because a stream cannot start from the path of one single file
+    return stream.read_events(spark, f"{sf_dir}/events.parquet*")
 
 
 def _day_sql(key: str, only: str = "TRUE") -> str:
