@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.functions.dates import day_of, day_start, within
-from clientele.functions.money import as_money, numeric_sum
+from clientele.functions.money import as_money, numeric
 from clientele.operators.sessions import FACT_KEYS, NO_PRODUCT
 
 def _product_keys() -> list[Column]:
@@ -13,25 +13,29 @@ def _product_keys() -> list[Column]:
             F.col("category")]
 
 
-def product_daily(priced: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+def _price(priced: DataFrame) -> Column:
+    return F.col("price") if "price" in priced.columns else numeric(F.col("cost"))
+
+
+def product_daily(priced: DataFrame, paid: DataFrame | None = None) -> DataFrame:
     """Items and money per product, day, country and source.
 
-    Counts every priced event, bought or only looked at; pass the session facts
+    Counts every priced event, bought or only looked at; pass the paid sessions
     to count purchases only."""
     rows = priced.where(F.col("cost") > 0)
-    if facts is not None:
-        rows = rows.join(facts.where(F.col("total_cost") > 0).select(*FACT_KEYS), FACT_KEYS, "left_semi")
+    if paid is not None:
+        rows = rows.join(paid, FACT_KEYS, "left_semi")
     return (rows.groupBy(*_product_keys(), day_start(F.col("session_created_at")).alias("session_day"),
                          "country", "traffic_source")
             .agg(F.count("cost").alias("daily_product_purchased_items"),
-                 as_money(numeric_sum(F.col("cost"))).alias("daily_product_spend")))
+                 as_money(F.sum(_price(priced))).alias("daily_product_spend")))
 
 
 def product_global(priced: DataFrame) -> DataFrame:
     """Lifetime totals per product; the 'no product' id 0 is left out."""
     return (priced.where(F.col("product_id") != NO_PRODUCT).groupBy(*_product_keys())
             .agg(F.count(F.lit(1)).alias("product_total_purchased_items"),
-                 as_money(numeric_sum(F.col("cost"))).alias("product_total_spend"),
+                 as_money(F.sum(_price(priced))).alias("product_total_spend"),
                  F.max("session_created_at").alias("last_product_purchase_date")))
 
 

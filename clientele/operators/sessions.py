@@ -3,10 +3,10 @@
 Two equivalent inputs feed the user and product aggregates:
 
 * the stored `events` table (one row per session, events nested), read with
-  `unnest_session` / `purchase_lines` / `facts_of_sessions` - narrow, no shuffle;
-* the flat click stream, priced with `price_events` and summed up per session
-  with `session_facts` - nothing is ever gathered into one array, so a session
-  of any length is spread over many tasks.
+  `unnest_session`, `purchase_lines` and `marks_of_sessions` - narrow, no shuffle;
+* the flat click stream, read with `price_events`, `purchase_lines_flat` and
+  `session_marks` - nothing is gathered into an array and no total per session
+  is needed, so a session of any length is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.functions.dates import day_start
-from clientele.functions.money import as_money, numeric, numeric_sum
+from clientele.functions.money import as_money, numeric
 from clientele.functions.nested import has_event
 from clientele.functions.text import squash
 
 SESSION_KEYS = ["user_id", "country", "session_id", "session_created_at", "traffic_source"]
 # A session has one user and one start; these identify it and are never NULL.
 FACT_KEYS = ["user_id", "session_id", "session_created_at"]
+# The two event types that carry meaning here.
+CART, PURCHASE = "cart", "purchase"
 # Product id of the events that concern no product.
 NO_PRODUCT = 0
 EVENT_FIELDS = ["event_type", "product_id", "created_at", "sequence_number", "uri", "cost", "category", "name",
@@ -49,50 +51,43 @@ def price_events(raw: DataFrame, products: DataFrame) -> DataFrame:
     later step asks for priced rows only, the filter on the product side lets
     Catalyst drop the events without a product before any shuffle."""
     looked_up = products.where(F.col("id") != NO_PRODUCT).select(
-        F.col("id").alias("_id"), "cost", "category", "name", "brand", "department")
+        F.col("id").alias("_id"), "cost", numeric(F.col("cost")).alias("price"), "category", "name", "brand",
+        "department")
     return (raw.join(looked_up, raw.product_id == F.col("_id"), "left").drop("_id")
                .withColumn("uri", event_uri()))
 
 
-def session_facts(priced: DataFrame) -> DataFrame:
-    """What later steps need to know about a session, one row each.
+def session_totals(priced: DataFrame) -> DataFrame:
+    """Per session: total_cost, the two flags and the number of events.
 
     total_cost is the price of everything looked at if the session ended in a
     purchase (NULL if nothing had a price), and 0 if it did not."""
-    cost = F.col("cost")
-    paid = cost > 0
     sums = priced.groupBy(*FACT_KEYS).agg(
-        numeric_sum(cost).alias("_seen"),
-        F.max(F.col("event_type") == "purchase").alias("has_purchase"),
-        F.max(F.col("event_type") == "cart").alias("has_cart"),
-        F.count(F.when(paid, True)).alias("priced_items"),
-        F.sum(F.when(paid, numeric(cost))).alias("priced_spend"),
-        F.count(F.lit(1)).alias("n_events"),
-    )
+        F.sum("price").alias("_seen"),
+        F.max(F.col("event_type") == PURCHASE).alias("has_purchase"),
+        F.max(F.col("event_type") == CART).alias("has_cart"),
+        F.count(F.lit(1)).alias("n_events"))
     total = F.when(F.col("has_purchase"), as_money(F.col("_seen"))).otherwise(F.lit(0.0))
-    return sums.select(*FACT_KEYS, total.alias("total_cost"), "has_purchase", "has_cart", "priced_items",
-                       "priced_spend", "n_events")
+    return sums.select(*FACT_KEYS, total.alias("total_cost"), "has_purchase", "has_cart", "n_events")
 
 
 def nest_sessions(priced: DataFrame, max_row: int = MAX_SESSION_ROW) -> DataFrame:
     """The `events` table: the events of a session as an ordered array.
 
-    The facts come first; they carry the total and the length, and the length
+    The totals come first; they carry the total and the length, and the length
     decides into how many rows a very long session is hashed."""
-    facts = session_facts(priced).select(*FACT_KEYS, "total_cost", "n_events")
+    totals = session_totals(priced).select(*FACT_KEYS, "total_cost", "n_events")
     part = F.when(F.col("n_events") <= max_row, F.lit(0)).otherwise(
         F.pmod(F.xxhash64("sequence_number", "event_type", "product_id", "created_at"),
                F.ceil(F.col("n_events") / max_row)))
-    # sequence_number leads inside the collected struct, so sort_array gives the
-    # order of the session; the stored struct has its own field order.
-    ordered = F.struct("sequence_number", *[f for f in EVENT_FIELDS if f != "sequence_number"])
-    return (priced.join(facts, FACT_KEYS)
+    # sorted by sequence_number; `_events.e` then takes the events out again
+    numbered = F.struct("sequence_number", F.struct(*EVENT_FIELDS).alias("e"))
+    return (priced.join(totals, FACT_KEYS)
             .withColumn("_part", part)
             .groupBy(*SESSION_KEYS, "total_cost", "_part")
-            .agg(F.sort_array(F.collect_list(ordered)).alias("_events"))
+            .agg(F.sort_array(F.collect_list(numbered)).alias("_events"))
             .select("user_id", "country", "session_id", "traffic_source", "session_created_at", "total_cost",
-                    F.transform("_events", lambda e: F.struct(*[e[f].alias(f) for f in EVENT_FIELDS]))
-                     .alias("session")))
+                    F.col("_events.e").alias("session")))
 
 
 def build_events(raw: DataFrame, products: DataFrame, max_row: int = MAX_SESSION_ROW) -> DataFrame:
@@ -107,10 +102,12 @@ def unnest_session(events: DataFrame) -> DataFrame:
 
 
 def _as_lines(rows: DataFrame) -> DataFrame:
+    price = F.col("price") if "price" in rows.columns else numeric(F.col("cost"))
     return rows.select(
         "user_id", "session_created_at",
         day_start(F.col("session_created_at")).alias("session_day"),
-        F.col("cost").alias("item_cost"), F.col("brand").alias("brand_name"), "product_id", "category")
+        F.col("cost").alias("item_cost"), price.alias("item_price"),
+        F.col("brand").alias("brand_name"), "product_id", "category")
 
 
 def purchase_lines(events: DataFrame) -> DataFrame:
@@ -118,52 +115,64 @@ def purchase_lines(events: DataFrame) -> DataFrame:
     return _as_lines(unnest_session(events.where(F.col("total_cost") > 0)).where(F.col("cost") > 0))
 
 
-def purchase_lines_flat(priced: DataFrame, facts: DataFrame) -> DataFrame:
+def paid_sessions(priced: DataFrame, negative_prices: bool = False) -> DataFrame:
+    """Keys of the sessions with a purchase and a positive total, possibly repeated;
+    for semi joins with priced events only.
+
+    Next to an event with a price above 0 the total is above 0 as well, so the
+    purchase events alone decide - unless some product costs less than nothing.
+    Then the totals of the sessions with such a product are worked out."""
+    bought = priced.where(F.col("event_type") == PURCHASE).select(*FACT_KEYS)
+    if not negative_prices:
+        return bought
+    below = priced.where(F.col("cost") < 0).select(*FACT_KEYS).distinct()
+    sums = priced.join(below, FACT_KEYS, "left_semi").groupBy(*FACT_KEYS).agg(F.sum("price").alias("_seen"))
+    return bought.join(sums.where(F.col("_seen") <= 0), FACT_KEYS, "left_anti")
+
+
+def purchase_lines_flat(priced: DataFrame, paid: DataFrame) -> DataFrame:
     """The same from the flat stream: keep the priced events of paid sessions.
 
     Joining on all keys of a session lets Catalyst carry a later filter on the
-    day or the user over to the facts as well."""
-    paid = facts.where(F.col("total_cost") > 0).select(*FACT_KEYS)
+    day or the user over to the other side as well."""
     return _as_lines(priced.where(F.col("cost") > 0).join(paid, FACT_KEYS, "left_semi"))
 
 
-def facts_of_sessions(events: DataFrame) -> DataFrame:
-    """`session_facts` of stored `events`, without a shuffle. A session stored
-    in several rows gives several rows; all users of the facts add them up."""
-    priced = F.filter("session", lambda e: e["cost"] > 0)
-    spend = F.aggregate(priced, F.lit(0).cast("decimal(38,9)"),
-                        lambda acc, e: (acc + numeric(e["cost"])).cast("decimal(38,9)"))
-    return events.select(
-        *FACT_KEYS, "total_cost",
-        has_event("session", "purchase").alias("has_purchase"),
-        has_event("session", "cart").alias("has_cart"),
-        F.size(priced).cast("long").alias("priced_items"),
-        F.when(F.size(priced) > 0, spend).alias("priced_spend"),
-        F.size("session").cast("long").alias("n_events"))
+def session_marks(raw: DataFrame) -> DataFrame:
+    """The cart and purchase events of the flat stream; no grouping needed yet."""
+    kind = F.col("event_type")
+    return raw.where(kind.isin(CART, PURCHASE)).select(
+        *FACT_KEYS, (kind == CART).alias("has_cart"), (kind == PURCHASE).alias("has_purchase"))
+
+
+def marks_of_sessions(events: DataFrame) -> DataFrame:
+    """The same from stored `events`, one row per stored row."""
+    return events.select(*FACT_KEYS, has_event("session", CART).alias("has_cart"),
+                         has_event("session", PURCHASE).alias("has_purchase"))
 
 
-def sessions_with(facts: DataFrame, flag: str) -> DataFrame:
+def sessions_with(marks: DataFrame, flag: str) -> DataFrame:
     """Latest instant of each session with a cart / a purchase."""
-    return (facts.where(F.col(flag)).groupBy("user_id", "session_id")
+    return (marks.where(F.col(flag)).groupBy("user_id", "session_id")
             .agg(F.max("session_created_at").alias("session_created_at")))
 
 
-def last_purchases(facts: DataFrame) -> DataFrame:
-    return (facts.where("has_purchase").groupBy("user_id")
+def last_purchases(marks: DataFrame) -> DataFrame:
+    return (marks.where("has_purchase").groupBy("user_id")
             .agg(F.max("session_created_at").alias("last_purchase_at")))
 
 
-def abandoned_carts(facts: DataFrame, include_never_purchased: bool = False) -> DataFrame:
+def abandoned_carts(marks: DataFrame, include_never_purchased: bool = False) -> DataFrame:
     """Sessions with a cart that are later than the user's last purchase.
 
     A user who never bought anything has no last purchase to compare with and
     is left out unless asked for."""
-    carts = sessions_with(facts, "has_cart")
+    carts = sessions_with(marks, "has_cart")
     if include_never_purchased:
-        joined = carts.join(last_purchases(facts), "user_id", "left")
+        joined = carts.join(last_purchases(marks), "user_id", "left")
         later = F.col("last_purchase_at").isNull() | (F.col("session_created_at") > F.col("last_purchase_at"))
     else:
-        joined = carts.join(last_purchases(facts), "user_id")
+        joined = carts.join(last_purchases(marks), "user_id")
         later = F.col("session_created_at") > F.col("last_purchase_at")
     return joined.where(later).select("user_id", "session_id")
 

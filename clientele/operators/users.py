@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clientele.functions.money import as_money, numeric_sum
+from clientele.functions.dates import day_start
+from clientele.functions.money import as_money
 from clientele.functions.text import distinct_list
 from clientele.operators.sessions import abandoned_carts
 from clientele.schemas import DAY_BRAND, LIFE_BRAND, USER_AGGREGATES
@@ -14,12 +15,13 @@ TOTAL_ARRAY = "total_purchased_products_by_brands"
 
 
 def brand_base(lines: DataFrame) -> DataFrame:
-    """Purchases summed up per user, day, brand and product.
+    """Purchases summed up per user, session start, brand and product.
 
-    Shared first step of the daily and the lifetime arrays: repeats collapse on
-    the map side, and both sides read the same exchange."""
-    return (lines.groupBy("user_id", "session_day", "brand_name", "product_id", "category")
-            .agg(F.count(F.lit(1)).alias("items"), numeric_sum(F.col("item_cost")).alias("spend")))
+    Shared first step of the daily and the lifetime columns: repeats collapse on
+    the map side, and because both sides read exactly these columns Spark runs
+    the step, including its shuffle, once."""
+    return (lines.groupBy("user_id", "session_created_at", "brand_name", "product_id", "category")
+            .agg(F.count(F.lit(1)).alias("items"), F.sum("item_price").alias("spend")))
 
 
 def _brand_columns() -> list[Column]:
@@ -34,35 +36,31 @@ def user_day_brand(lines: DataFrame) -> DataFrame:
     """What a user bought of a brand on one day.
 
     The base is distributed by user and day once; grouping by brand here and by
-    day in `user_daily` then happens inside these partitions. A heavy user is
+    day in `day_arrays` then happens inside these partitions. A heavy user is
     still spread over the days."""
-    base = brand_base(lines).where(F.col("session_day").isNotNull())
+    base = brand_base(lines).withColumn("session_day", day_start(F.col("session_created_at")))
     return (base.repartition("user_id", "session_day")
             .groupBy("user_id", "session_day", "brand_name").agg(*_brand_columns()))
 
 
 def user_brand_global(lines: DataFrame) -> DataFrame:
-    """What a user ever bought of a brand."""
-    return brand_base(lines).groupBy("user_id", "brand_name").agg(*_brand_columns())
+    """What a user ever bought of a brand, and when first and last."""
+    return brand_base(lines).groupBy("user_id", "brand_name").agg(
+        *_brand_columns(), F.min("session_created_at").alias("_first"), F.max("session_created_at").alias("_last"))
 
 
-def user_day_orders(facts: DataFrame) -> DataFrame:
-    """Items and money per user and day, straight from the session facts."""
-    day = F.to_date("session_created_at").cast("timestamp_ntz")
-    return (_paid(facts).groupBy("user_id", day.alias("session_day"))
-            .agg(F.sum("priced_items").alias("daily_purchased_items"),
-                 as_money(F.sum("priced_spend")).alias("daily_spend")))
+def user_day_orders(lines: DataFrame) -> DataFrame:
+    """Items and money per user and day."""
+    return (lines.groupBy("user_id", "session_day")
+            .agg(F.count("item_cost").alias("daily_purchased_items"),
+                 as_money(F.sum("item_price")).alias("daily_spend")))
 
 
-def _paid(facts: DataFrame) -> DataFrame:
-    return facts.where((F.col("total_cost") > 0) & (F.col("priced_items") > 0))
-
-
-def user_orders_global(facts: DataFrame) -> DataFrame:
+def user_orders_global(lines: DataFrame) -> DataFrame:
     """Items, money, first and last purchase per user."""
-    return (_paid(facts).groupBy("user_id")
-            .agg(F.sum("priced_items").alias("total_purchased_items"),
-                 as_money(F.sum("priced_spend")).alias("total_spend"),
+    return (lines.groupBy("user_id")
+            .agg(F.count("item_cost").alias("total_purchased_items"),
+                 as_money(F.sum("item_price")).alias("total_spend"),
                  F.min("session_created_at").alias("first_purchase_date"),
                  F.max("session_created_at").alias("last_purchase_date")))
 
@@ -80,9 +78,12 @@ def day_arrays(lines: DataFrame) -> DataFrame:
 
 
 def life_arrays(lines: DataFrame) -> DataFrame:
-    """Per user: the array of lifetime brand structs."""
+    """`user_orders_global` plus the array of lifetime brand structs."""
     return (user_brand_global(lines).groupBy("user_id")
-            .agg(_nest(LIFE_BRAND.fieldNames()).alias(TOTAL_ARRAY)))
+            .agg(F.sum("purchased_items").alias("total_purchased_items"),
+                 as_money(F.sum("_spend")).alias("total_spend"),
+                 F.min("_first").alias("first_purchase_date"), F.max("_last").alias("last_purchase_date"),
+                 _nest(LIFE_BRAND.fieldNames()).alias(TOTAL_ARRAY)))
 
 
 def user_daily(users: DataFrame, lines: DataFrame) -> DataFrame:
@@ -92,49 +93,42 @@ def user_daily(users: DataFrame, lines: DataFrame) -> DataFrame:
         "id", "session_day", "daily_purchased_items", "daily_spend", DAILY_ARRAY)
 
 
-def user_facts(facts: DataFrame, include_never_purchased: bool = False) -> DataFrame:
-    """Lifetime totals and the abandoned-cart flag in one grouping by user.
+def cart_flags(marks: DataFrame, include_never_purchased: bool = False) -> DataFrame:
+    """(user_id, has_abandoned_cart) for everybody with a cart or a purchase.
 
     Some cart is later than the last purchase exactly if the latest cart is, so
-    the flag needs no join."""
+    the flag needs no join, only one small row per user and task."""
     at = F.col("session_created_at")
-    paid = (F.col("total_cost") > 0) & (F.col("priced_items") > 0)
-    sums = facts.groupBy("user_id").agg(
-        F.sum(F.when(paid, F.col("priced_items"))).alias("total_purchased_items"),
-        as_money(F.sum(F.when(paid, F.col("priced_spend")))).alias("total_spend"),
-        F.min(F.when(paid, at)).alias("first_purchase_date"),
-        F.max(F.when(paid, at)).alias("last_purchase_date"),
-        F.max(F.when(F.col("has_cart"), at)).alias("_cart"),
-        F.max(F.when(F.col("has_purchase"), at)).alias("_purchase"))
+    latest = marks.groupBy("user_id").agg(F.max(F.when(F.col("has_cart"), at)).alias("_cart"),
+                                          F.max(F.when(F.col("has_purchase"), at)).alias("_purchase"))
     flag = F.coalesce(F.col("_cart") > F.col("_purchase"), F.lit(False))
     if include_never_purchased:
         flag = flag | (F.col("_cart").isNotNull() & F.col("_purchase").isNull())
-    return sums.withColumn("has_abandoned_cart", flag).drop("_cart", "_purchase")
+    return latest.select("user_id", flag.alias("has_abandoned_cart"))
 
 
-def cart_copies(facts: DataFrame, include_never_purchased: bool = False) -> DataFrame:
+def cart_copies(marks: DataFrame, include_never_purchased: bool = False) -> DataFrame:
     """How many abandoned sessions a user has (no row for none)."""
-    return (abandoned_carts(facts, include_never_purchased).groupBy("user_id")
+    return (abandoned_carts(marks, include_never_purchased).groupBy("user_id")
             .agg(F.count(F.lit(1)).alias("copies")))
 
 
-def user_global(users: DataFrame, lines: DataFrame, facts: DataFrame, *, dedupe_carts: bool = True,
+def user_global(users: DataFrame, lines: DataFrame, marks: DataFrame, *, dedupe_carts: bool = True,
                 include_never_purchased: bool = False, arrays: bool = True) -> DataFrame:
     """One row per user: who they are and what they did so far.
 
     With `dedupe_carts=False` a user comes back once per abandoned session, the
     way a plain left join to those sessions would do it."""
-    out = users.select("id", "age", "gender", "country").join(
-        user_facts(facts, include_never_purchased).withColumnRenamed("user_id", "id"), "id", "left")
-    out = out.withColumn("has_abandoned_cart", F.coalesce("has_abandoned_cart", F.lit(False)))
-    if arrays:
-        out = out.join(life_arrays(lines).withColumnRenamed("user_id", "id"), "id", "left")
+    life = life_arrays(lines) if arrays else user_orders_global(lines)
+    out = (users.select("id", "age", "gender", "country")
+           .join(life.withColumnRenamed("user_id", "id"), "id", "left")
+           .join(cart_flags(marks, include_never_purchased).withColumnRenamed("user_id", "id"), "id", "left"))
     if not dedupe_carts:
-        carts = abandoned_carts(facts, include_never_purchased).select(F.col("user_id").alias("id"))
+        carts = abandoned_carts(marks, include_never_purchased).select(F.col("user_id").alias("id"))
         out = out.join(carts, "id", "left")
-    columns = ["id", "age", "gender", "country", "total_purchased_items", "total_spend", "first_purchase_date",
-               "last_purchase_date", *([TOTAL_ARRAY] if arrays else []), "has_abandoned_cart"]
-    return out.select(*columns)
+    return out.select("id", "age", "gender", "country", "total_purchased_items", "total_spend", "first_purchase_date",
+                      "last_purchase_date", *([TOTAL_ARRAY] if arrays else []),
+                      F.coalesce("has_abandoned_cart", F.lit(False)).alias("has_abandoned_cart"))
 
 
 def _empty(kind) -> Column:
@@ -158,12 +152,12 @@ def user_aggregates(global_: DataFrame, daily: DataFrame, how: str = "inner") ->
     return joined.select(*out)
 
 
-def with_copies(aggregates: DataFrame, facts: DataFrame) -> DataFrame:
+def with_copies(aggregates: DataFrame, marks: DataFrame) -> DataFrame:
     """Adds `copies`: how often the un-deduplicated join repeats both arrays.
 
     Summing over a repeated array equals multiplying the sum, so the repetition
     is carried as a number and never written out."""
-    copies = cart_copies(facts)
+    copies = cart_copies(marks)
     return (aggregates.join(copies, "user_id", "left")
             .withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long")))
 

@@ -15,15 +15,16 @@ class Frames:
     """The inputs of all aggregates, lazily defined."""
     users: DataFrame
     priced: DataFrame      # one row per event
-    facts: DataFrame       # one row per session
+    marks: DataFrame       # cart and purchase marks of the sessions
     lines: DataFrame       # one row per purchased item
+    paid: DataFrame        # keys of the sessions that were paid for
 
     def user_aggregates(self, daily: bool = True, total: bool = True) -> DataFrame:
         """`daily` / `total` = False leaves that array (and its shuffles) out of
         the plan when a question does not read it. Days are joined to the user
         rows directly; going through `user_daily` would read the users twice."""
-        days = usr.day_arrays(self.lines) if daily else usr.user_day_orders(self.facts)
-        life = usr.user_global(self.users, self.lines, self.facts, arrays=total)
+        days = usr.day_arrays(self.lines) if daily else usr.user_day_orders(self.lines)
+        life = usr.user_global(self.users, self.lines, self.marks, arrays=total)
         return usr.user_aggregates(life, days.withColumnRenamed("user_id", "id"), "left")
 
     def product_aggregates(self) -> DataFrame:
@@ -31,15 +32,18 @@ class Frames:
 
 
 def from_clicks(users: DataFrame, products: DataFrame, raw: DataFrame) -> Frames:
-    """Frames over the flat click stream."""
+    """Frames over the flat click stream. Looks into the product prices first
+    (one small job): the usual case has a much cheaper plan."""
     priced = sess.price_events(raw, products)
-    facts = sess.session_facts(priced)
-    return Frames(users, priced, facts, sess.purchase_lines_flat(priced, facts))
+    negative = not products.where(F.col("cost") < 0).isEmpty()
+    paid = sess.paid_sessions(priced, negative)
+    return Frames(users, priced, sess.session_marks(raw), sess.purchase_lines_flat(priced, paid), paid)
 
 
 def from_events(users: DataFrame, events: DataFrame) -> Frames:
     """Frames over the stored `events` table; unnesting needs no shuffle."""
-    return Frames(users, sess.unnest_session(events), sess.facts_of_sessions(events), sess.purchase_lines(events))
+    paid = events.where(F.col("total_cost") > 0).select(*sess.FACT_KEYS)
+    return Frames(users, sess.unnest_session(events), sess.marks_of_sessions(events), sess.purchase_lines(events), paid)
 
 
 def demo_frames(spark: SparkSession, sf_dir: str, country: bool = False) -> Frames:
@@ -81,7 +85,7 @@ def build(spark: SparkSession, users: DataFrame, products: DataFrame, raw: DataF
     events = store("events", sess.build_events(raw, products), "session_created_at")
     base = from_events(users, events.drop(PARTITION))
     daily = store("user_daily", usr.user_daily(users, base.lines), "session_day")
-    life = store("user_global", usr.user_global(users, base.lines, base.facts))
+    life = store("user_global", usr.user_global(users, base.lines, base.marks))
     product_daily = store("product_daily", prod.product_daily(base.priced), "session_day")
     product_life = store("product_global", prod.product_global(base.priced))
     return {

@@ -55,7 +55,7 @@ def unnest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("session_total_cost", demo_sql(
     "SELECT session_id, has_purchase, has_cart, n_events, round(total_cost, 2) AS total_cost FROM facts"))
 def session_total_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demo_frames(spark, sf_dir).facts.select("session_id", "has_purchase", "has_cart", "n_events",
+    return sess.session_totals(demo_frames(spark, sf_dir).priced).select("session_id", "has_purchase", "has_cart", "n_events",
                                                    _money("total_cost"))
 
 
@@ -68,37 +68,37 @@ def event_uri(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, session_id, max(session_created_at) AS session_created_at FROM facts WHERE has_cart
 GROUP BY user_id, session_id"""))
 def sessions_with_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sess.sessions_with(demo_frames(spark, sf_dir).facts, "has_cart")
+    return sess.sessions_with(demo_frames(spark, sf_dir).marks, "has_cart")
 
 
 @query("last_purchase_per_user", user_sql("SELECT user_id, last_purchase_at FROM last_purchase"))
 def last_purchase_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sess.last_purchases(demo_frames(spark, sf_dir).facts)
+    return sess.last_purchases(demo_frames(spark, sf_dir).marks)
 
 
 @query("abandoned_cart_sessions", user_sql("SELECT user_id, session_id FROM abandoned"))
 def abandoned_cart_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sess.abandoned_carts(demo_frames(spark, sf_dir).facts)
+    return sess.abandoned_carts(demo_frames(spark, sf_dir).marks)
 
 
 @query("abandoned_cart_sessions_all", user_sql("""
 SELECT c.user_id, c.session_id FROM carts c LEFT JOIN last_purchase l ON c.user_id = l.user_id
 WHERE l.user_id IS NULL OR c.session_created_at > l.last_purchase_at"""))
 def abandoned_cart_sessions_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sess.abandoned_carts(demo_frames(spark, sf_dir).facts, include_never_purchased=True)
+    return sess.abandoned_carts(demo_frames(spark, sf_dir).marks, include_never_purchased=True)
 
 
 @query("abandoned_cart_flag", user_sql("SELECT DISTINCT user_id, has_abandoned_cart FROM ua"))
 def abandoned_cart_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = demo_frames(spark, sf_dir)
-    return usr.user_global(f.users, f.lines, f.facts, arrays=False).select(
+    return usr.user_global(f.users, f.lines, f.marks, arrays=False).select(
         F.col("id").alias("user_id"), "has_abandoned_cart")
 
 
 @query("purchase_lines", user_sql(
     "SELECT user_id, session_created_at, session_day, item_cost, brand_name, product_id, category FROM lines"))
 def purchase_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demo_frames(spark, sf_dir).lines
+    return demo_frames(spark, sf_dir).lines.drop("item_price")
 
 
 # ------------------------------------------------------------------ users
@@ -126,7 +126,7 @@ def user_brand_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("user_day_orders", user_sql("""
 SELECT user_id, session_day, daily_purchased_items, round(daily_spend, 2) AS daily_spend FROM day_orders"""))
 def user_day_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usr.user_day_orders(demo_frames(spark, sf_dir).facts).select(
+    return usr.user_day_orders(demo_frames(spark, sf_dir).lines).select(
         "user_id", "session_day", "daily_purchased_items", _money("daily_spend"))
 
 
@@ -134,7 +134,7 @@ def user_day_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, total_purchased_items, round(total_spend, 2) AS total_spend, first_purchase_date, last_purchase_date
 FROM life_orders"""))
 def user_orders_global(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usr.user_orders_global(demo_frames(spark, sf_dir).facts).select(
+    return usr.user_orders_global(demo_frames(spark, sf_dir).lines).select(
         "user_id", "total_purchased_items", _money("total_spend"), "first_purchase_date", "last_purchase_date")
 
 
@@ -158,7 +158,7 @@ LEFT JOIN ({brands_text_sql('life_brand', 'user_id')}) b ON u.id = b.user_id %s"
 
 def _user_global(spark: SparkSession, sf_dir: str, dedupe_carts: bool) -> DataFrame:
     f = demo_frames(spark, sf_dir)
-    return usr.user_global(f.users, f.lines, f.facts, dedupe_carts=dedupe_carts).select(
+    return usr.user_global(f.users, f.lines, f.marks, dedupe_carts=dedupe_carts).select(
         "id", "age", "gender", "country", "total_purchased_items", _money("total_spend"), "first_purchase_date",
         "last_purchase_date", brands_text(usr.TOTAL_ARRAY).alias("brands"), "has_abandoned_cart")
 
@@ -204,7 +204,7 @@ LEFT JOIN (SELECT user_id, count(*) AS n, CAST(sum(purchased_items) AS BIGINT) A
 def user_aggregates_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     from clientele.functions.nested import items_bought
     f = demo_frames(spark, sf_dir)
-    rows = usr.with_copies(f.user_aggregates(), f.facts)
+    rows = usr.with_copies(f.user_aggregates(), f.marks)
     times = F.col("copies")
     return rows.select(
         "user_id", "session_day", "copies",
@@ -266,7 +266,7 @@ SELECT product_id, name AS product_name, brand AS brand_name, category,
 FROM priced p JOIN facts f ON p.session_id = f.session_id WHERE cost > 0 AND total_cost > 0 GROUP BY ALL"""))
 def product_daily_purchased(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = demo_frames(spark, sf_dir, country=True)
-    return _product_daily(prod.product_daily(f.priced, f.facts))
+    return _product_daily(prod.product_daily(f.priced, f.paid))
 
 
 @query("product_global", product_sql("""

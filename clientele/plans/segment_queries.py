@@ -167,7 +167,7 @@ _COPIES = "LEFT JOIN (SELECT user_id, count(*) AS copies FROM abandoned GROUP BY
 
 def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = demo_frames(spark, sf_dir)
-    return usr.with_copies(f.user_aggregates(total=False), f.facts)
+    return usr.with_copies(f.user_aggregates(total=False), f.marks)
 
 
 @query("seg_q1_fanout", user_sql(_count_sql(f"""

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The day the sample questions are asked; the newest order date of the tables.
 AS_OF = dt.date(2001, 8, 1)
@@ -18,8 +18,15 @@ AS_OF = dt.date(2001, 8, 1)
 TRAFFIC_SOURCES = ["Search", "Organic", "Email", "Facebook", "Display"]
 
 
+# Schemas met so far, by path: reading a footer is a job, once per table is enough.
+_SCHEMAS: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,8 +88,8 @@ def test_purchase_lines(frames):
 
 
 def test_abandoned_carts(frames):
-    assert rows(sess.abandoned_carts(frames.facts), "user_id", "session_id") == [("a", "a3"), ("a", "a4")]
-    everyone = rows(sess.abandoned_carts(frames.facts, include_never_purchased=True), "session_id")
+    assert rows(sess.abandoned_carts(frames.marks), "user_id", "session_id") == [("a", "a3"), ("a", "a4")]
+    everyone = rows(sess.abandoned_carts(frames.marks, include_never_purchased=True), "session_id")
     assert everyone == [("a3",), ("a4",), ("d1",)]
 
 
@@ -117,16 +117,16 @@ def test_daily_sums_match_totals(frames):
 
 
 def test_user_daily_then_join_is_the_same(frames):
-    life = usr.user_global(frames.users, frames.lines, frames.facts)
+    life = usr.user_global(frames.users, frames.lines, frames.marks)
     joined = usr.user_aggregates(life, usr.user_daily(frames.users, frames.lines))
     assert joined.exceptAll(frames.user_aggregates()).count() == 0
     assert joined.count() == frames.user_aggregates().count()
 
 
 def test_fanout(frames):
-    life = usr.user_global(frames.users, frames.lines, frames.facts, dedupe_carts=False)
+    life = usr.user_global(frames.users, frames.lines, frames.marks, dedupe_carts=False)
     assert life.where("id = 'a'").count() == 2
-    ua = usr.with_copies(frames.user_aggregates(), frames.facts)
+    ua = usr.with_copies(frames.user_aggregates(), frames.marks)
     row = usr.repeat_arrays(ua).where(F.col("session_day") == F.lit(day(1))).where("user_id = 'a'").first()
     assert len(row.daily_purchased_products_by_brands) == 2
     assert len(row.total_purchased_products_by_brands) == 4
@@ -135,7 +135,7 @@ def test_fanout(frames):
 def test_products(frames):
     daily = {(r.product_id, r.session_day): r for r in product_daily(frames.priced).collect()}
     assert daily[1, day(1)].daily_product_purchased_items == 4       # a twice, c, d: looked at counts
-    bought = {(r.product_id, r.session_day): r for r in product_daily(frames.priced, frames.facts).collect()}
+    bought = {(r.product_id, r.session_day): r for r in product_daily(frames.priced, frames.paid).collect()}
     assert bought[1, day(1)].daily_product_purchased_items == 2
     life = {r.product_id: r for r in product_global(frames.priced).collect()}
     assert set(life) == {1, 2, 3, 4} and life[4].product_total_spend is None
@@ -189,7 +189,7 @@ def test_long_session_is_split_and_stays_whole(shop):
     whole = dataset.from_events(users, sess.build_events(raw, products)).user_aggregates()
     split = dataset.from_events(users, cut).user_aggregates()
     assert whole.exceptAll(split).count() == 0 and split.count() == whole.count()
-    assert rows(sess.abandoned_carts(sess.facts_of_sessions(cut)), "session_id") == [("a3",), ("a4",)]
+    assert rows(sess.abandoned_carts(sess.marks_of_sessions(cut)), "session_id") == [("a3",), ("a4",)]
 
 
 def test_build_is_repeatable(spark, shop, tmp_path):
