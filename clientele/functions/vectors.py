@@ -16,8 +16,10 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     rows = len(column)
+    if not rows:
+        return np.empty((0, 0))
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    if rows and len(values) % rows:
+    if len(values) % rows:
         raise ValueError("the vectors have different lengths")
     return values.reshape(rows, -1)
 

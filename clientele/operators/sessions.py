@@ -30,7 +30,7 @@ EVENT_FIELDS = ["event_type", "product_id", "created_at", "sequence_number", "ur
 
 # Longest array stored in one row. A session beyond it is stored in several rows
 # with the same keys and the same total; every operator here accepts that.
-MAX_SESSION_ROW = 100_000
+MAX_SESSION_ROW = 500_000
 
 
 def event_uri() -> Column:
