@@ -115,15 +115,16 @@ def purchase_lines(events: DataFrame) -> DataFrame:
     return _as_lines(unnest_session(events.where(F.col("total_cost") > 0)).where(F.col("cost") > 0))
 
 
-def paid_sessions(priced: DataFrame, negative_prices: bool = False) -> DataFrame:
+def paid_sessions(raw: DataFrame, priced: DataFrame | None = None) -> DataFrame:
     """Keys of the sessions with a purchase and a positive total, possibly repeated;
     for semi joins with priced events only.
 
     Next to an event with a price above 0 the total is above 0 as well, so the
     purchase events alone decide - unless some product costs less than nothing.
-    Then the totals of the sessions with such a product are worked out."""
-    bought = priced.where(F.col("event_type") == PURCHASE).select(*FACT_KEYS)
-    if not negative_prices:
+    Pass the priced events in that case: the totals of the sessions with such a
+    product are then worked out."""
+    bought = raw.where(F.col("event_type") == PURCHASE).select(*FACT_KEYS)
+    if priced is None:
         return bought
     below = priced.where(F.col("cost") < 0).select(*FACT_KEYS).distinct()
     sums = priced.join(below, FACT_KEYS, "left_semi").groupBy(*FACT_KEYS).agg(F.sum("price").alias("_seen"))

@@ -36,7 +36,7 @@ def from_clicks(users: DataFrame, products: DataFrame, raw: DataFrame) -> Frames
     (one small job): the usual case has a much cheaper plan."""
     priced = sess.price_events(raw, products)
     negative = not products.where(F.col("cost") < 0).isEmpty()
-    paid = sess.paid_sessions(priced, negative)
+    paid = sess.paid_sessions(raw, priced if negative else None)
     return Frames(users, priced, sess.session_marks(raw), sess.purchase_lines_flat(priced, paid), paid)
 
 

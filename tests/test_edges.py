@@ -218,3 +218,15 @@ def test_text(spark):
         text.one_line(F.lit("a\n\n  b")).alias("line"), text.unquote(F.lit('"x"')).alias("u"),
         text.first_match(F.lit("nothing"), r"Reason: (\d+)").alias("none")).first()
     assert got.id == got.same and got.line == "a b" and got.u == "x" and got.none is None
+
+
+def test_negative_price_can_make_a_total_worthless(spark, shop):
+    users, products, _ = shop
+    refund = products.union(spark.createDataFrame([(9, -50.0, "Gift", "Voucher", "Roxy", "Men")], PRODUCTS))
+    raw = spark.createDataFrame(
+        session("a", "s1", day(1), ("product", 1), ("product", 9), ("cart", 0), ("purchase", 0))
+        + session("a", "s2", day(2), ("product", 2), ("product", 2), ("product", 2), ("product", 9), ("purchase", 0)), RAW)
+    flat = dataset.from_clicks(users, refund, raw)
+    stored = dataset.from_events(users, sess.build_events(raw, refund))
+    assert rows(flat.lines, "session_created_at", "item_cost") == [(day(2), 20.0)] * 3
+    assert rows(stored.lines, "session_created_at", "item_cost") == [(day(2), 20.0)] * 3
