@@ -39,6 +39,9 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_base: str | None = None      # temporary folder of a local session
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder in `spark.checkpoint.dir`.
 
@@ -47,10 +50,10 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     session falls back to a temporary folder; a cluster session is refused,
     because a machine-local folder cannot be read by the other executors.
     """
+    global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="clientele-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base = _local_base or tempfile.mkdtemp(prefix="clientele-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,6 +1,7 @@
 """Retrieval, catalogue, validation, log and result shaping on small frames."""
 
 import json
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -9,9 +10,10 @@ from clientele.functions.text import strip_fences
 from clientele.operators import catalog, corpus, qlog, shape, validation
 from clientele.operators.sampling import first_n_users
 from clientele.operators.sessionize import session_table
-from clientele.operators.similarity import similar, similar_lsh
+from clientele.operators.similarity import similar
 from clientele.plans.retrieval_queries import knn_examples, knn_lsh
 from clientele.schemas import USER_AGGREGATES
+from clientele.session import scratch_dir
 from clientele.streaming import daily
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -136,6 +138,21 @@ def test_first_n_users(spark):
     assert first_n_users(users, 0).count() == 0
 
 
+@pytest.mark.parametrize("master, base", [("local[2]", None), ("local[2]", "/shared/x/"), ("spark://h:1", "/shared/x")])
+def test_scratch_dir(master, base):
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: base or default),
+                              sparkContext=SimpleNamespace(master=master))
+    first, second = scratch_dir(session, "t"), scratch_dir(session, "t")
+    assert first != second and (base is None or first.startswith("/shared/x/t-"))
+
+
+def test_no_local_scratch_on_a_cluster():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default),
+                              sparkContext=SimpleNamespace(master="spark://host:1"))
+    with pytest.raises(ValueError):
+        scratch_dir(session, "t")
+
+
 def test_strip_fences(spark):
     assert spark.range(1).select(strip_fences(F.lit("```sql SELECT nosql ```")).alias("t")).first().t == " SELECT no "
 
