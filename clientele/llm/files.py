@@ -48,7 +48,7 @@ def committed(folder: str, name: str):
     the same task write the same bytes, so it does not matter whose rename is last."""
     where, path = store(folder)
     final, temporary = posixpath.join(path, name), posixpath.join(path, f"{TEMPORARY}{uuid.uuid4().hex}-{name}")
-    with where.open_output_stream(temporary) as out:
+    with where.open_output_stream(temporary, compression=None) as out:
         yield out
     try:
         where.move(temporary, final)
