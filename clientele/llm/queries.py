@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clientele.llm import chat, packing, tokencount, warc
+from clientele.llm import chat, packing, quality, tokencount, toxicity, warc
 from clientele.session import scratch_dir
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,17 @@ def token_counts(spark, sf_dir):
     counted = tokencount.scan_separators(spark, folder, EOD)
     return counted.join(spark.read.parquet(listing), ["file", "ordinal"], "left").select(
         "doc_id", "n_tokens", "file", "ordinal", "start", "closed")
+
+
+# ---------------------------------------------------------------- 1, 5: scores
+
+@query("op1_quality_classifier")
+def quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.quality_model(docs, read(spark, sf_dir, "labels")))
+
+
+@query("op5_toxicity")
+def toxicity_scores(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.toxicity_model(docs, read(spark, sf_dir, "labels")))
