@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clientele.llm import chat, packing, quality, tokencount, toxicity, warc
+from clientele.llm import chat, covertree, packing, permindex, quality, tokencount, toxicity, warc
 from clientele.session import scratch_dir
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,33 @@ def quality_classifier(spark, sf_dir):
 def toxicity_scores(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.toxicity_model(docs, read(spark, sf_dir, "labels")))
+
+
+# ---------------------------------------------------------------- 6, 8: vectors
+
+_NEAR_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(id, root) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON id = vec_id LEFT JOIN n ON a = vec_id
+"""
+
+
+@query("op6_embedding_near_dedup", _NEAR_VECTORS_SQL)
+def embedding_near_dedup(spark, sf_dir):
+    return covertree.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op8_approximate_neighbours")
+def approximate_neighbours(spark, sf_dir):
+    folder, vectors = scratch_dir(spark, "permutations"), read(spark, sf_dir, "embeddings")
+    pivots = permindex.build_index(vectors, f"{folder}/index")
+    return permindex.search(spark.read.parquet(f"{folder}/index"), pivots, vectors.where("vec_id % 100 = 0"),
+                            f"{folder}/found")
