@@ -112,10 +112,10 @@ def bags(texts) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def descend(examples: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, n_classes: int, epochs: int = EPOCHS,
-            rate: float = RATE, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+            rate: float = RATE, seed: int = 1, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed vectors and output matrix, learned one example at a time."""
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
+    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (buckets, DIMENSIONS)).astype(np.float32)
     output = np.zeros((DIMENSIONS + 1, n_classes), np.float32)       # the last row is the bias
     steps, step = epochs * len(examples), 0
     for _ in range(epochs):
@@ -159,11 +159,16 @@ def train(docs: DataFrame, labels: DataFrame, classes: list, rows: int = TRAIN_R
     if not len(target):
         return Model(classes, np.zeros((BUCKETS, len(classes)), np.float32), np.zeros(len(classes)))
     vectors, output = descend(examples, target, len(classes))
-    # training saw the classes in other shares than the labels have
+    shift = prior_shift(target, classes, counts)
+    return Model(classes, vectors @ output[:-1], output[-1] + shift)
+
+
+def prior_shift(target: np.ndarray, classes: list, counts: dict) -> np.ndarray:
+    """What the bias needs because training saw the classes in other shares than the
+    labels have."""
     seen = np.bincount(target, minlength=len(classes))
     want = np.array([counts.get(c, 0) for c in classes])
-    shift = np.where(seen > 0, np.log(np.maximum(want, 1) / want.sum()) - np.log(np.maximum(seen, 1) / seen.sum()), -20.0)
-    return Model(classes, vectors @ output[:-1], output[-1] + shift)
+    return np.where(seen > 0, np.log(np.maximum(want, 1) / want.sum()) - np.log(np.maximum(seen, 1) / seen.sum()), -20.0)
 
 
 def score(model: Model, label, text: str = "text") -> Column:

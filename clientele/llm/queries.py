@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clientele.llm import chat, covertree, packing, permindex, quality, tokencount, toxicity, warc
+from clientele.llm import chat, covertree, mixing, packing, permindex, quality, tokencount, toxicity, warc
 from clientele.session import scratch_dir
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,35 @@ def approximate_neighbours(spark, sf_dir):
     pivots = permindex.build_index(vectors, f"{folder}/index")
     return permindex.search(spark.read.parquet(f"{folder}/index"), pivots, vectors.where("vec_id % 100 = 0"),
                             f"{folder}/found")
+
+
+# ---------------------------------------------------------------- 10: mixing
+
+# Languages of rows labelled good and harmless, and one domain for all other labelled rows.
+FLAGGED = "flagged"
+WEIGHTS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.15, FLAGGED: 0.05}
+
+
+def domain_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, label): the domain of every labelled document."""
+    good = labels.groupBy("doc_id").agg(((F.max("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("good"))
+    return docs.select("doc_id", "lang").join(good, "doc_id").select(
+        "doc_id", F.when(F.col("good"), F.col("lang")).otherwise(FLAGGED).alias("label")).where(
+        F.col("label").isin(list(WEIGHTS))).groupBy("doc_id").agg(F.min("label").alias("label"))
+
+
+def domain_model(spark: SparkSession, sf_dir: str) -> mixing.Domains:
+    docs = read(spark, sf_dir, "documents")
+    return mixing.learn_domains(docs, domain_labels(docs, read(spark, sf_dir, "labels")), list(WEIGHTS))
+
+
+@query("op10_mixing")
+def mixing_rates(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch_dir(spark, "memberships")
+    domains = domain_model(spark, sf_dir)
+    mixing.memberships(docs, domains, tokenizer_path()).drop("text").write.parquet(folder)
+    members = spark.read.parquet(folder)
+    rate = mixing.fit_rates(members, domains.names, WEIGHTS, shrinking=(FLAGGED,))
+    return members.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{n}") for k, n in enumerate(domains.names)],
+                          rate.alias("rate"), mixing.copies(rate).alias("copies"))
