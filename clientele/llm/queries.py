@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clientele.llm import chat, covertree, mixing, packing, permindex, quality, tokencount, toxicity, warc
+from clientele.llm import chat, covertree, mixing, ngramjoin, packing, permindex, quality, tokencount, toxicity, warc
 from clientele.session import scratch_dir
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,31 @@ def mixing_rates(spark, sf_dir):
     rate = mixing.fit_rates(members, domains.names, WEIGHTS, shrinking=(FLAGGED,))
     return members.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{n}") for k, n in enumerate(domains.names)],
                           rate.alias("rate"), mixing.copies(rate).alias("copies"))
+
+
+# ---------------------------------------------------------------- 9: n-gram Jaccard join
+
+_JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(lower_ascii, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+        FROM documents)),
+s AS (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' '))) END) AS g
+      FROM w),
+h AS (SELECT doc_id, hash(g) AS g FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM h GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM h a JOIN h b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.id),
+c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, component_id
+FROM documents JOIN c ON id = doc_id LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op9_ngram_jaccard_join", _JACCARD_SQL)
+def ngram_jaccard_join(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngramjoin.joined(docs, scratch_dir(spark, "jaccard")).select("doc_id", "n_shingles", "component_id")
