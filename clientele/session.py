@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -29,16 +31,40 @@ def build_session(app: str = "clientele", master: str | None = None, **settings:
         builder = builder.master(master)
     for key, value in {**RUNTIME_SETTINGS, **settings}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else made."""
+    """Apply the runtime settings to a session somebody else made, and give its workers
+    this package: they do not share the driver's module path."""
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 
+_shipped: set[str] = set()          # applications whose workers have the package
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the workers, once per application. An installed or zipped
+    package is left to the installation."""
+    context, package = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if context.applicationId in _shipped or not os.path.isdir(package):
+        return
+    path = os.path.join(tempfile.mkdtemp(prefix="clientele-ship-"), "clientele.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    out.write(file, os.path.join("clientele", os.path.relpath(file, package)))
+    context.addPyFile(path)
+    _shipped.add(context.applicationId)
+
+
 _local_base: str | None = None      # temporary folder of a local session
 
 
