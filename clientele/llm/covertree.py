@@ -140,16 +140,17 @@ def links(one: Tree, two: Tree, same: bool, limit: float) -> tuple[np.ndarray, n
     a, b = np.concatenate([f[0] for f in first]), np.concatenate([f[1] for f in first])
     a, b = keep(1, a, b)
     for level in range(1, len(one.levels) - 1):
+        if not len(a):
+            break
         # a part of the frontier at a time bounds the memory
         sizes = (np.subtract(*_children(one.levels[level:level + 2], a)[::-1])
                  * np.subtract(*_children(two.levels[level:level + 2], b)[::-1]))
-        parts = np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 20), prepend=-1)) if len(a) else []
+        parts = np.flatnonzero(np.diff(np.cumsum(sizes) // (1 << 20), prepend=-1))
         nexts = []
         for lo, hi in zip(parts, [*parts[1:], len(a)], strict=True):
             x, y = _expand(*_children(one.levels[level:level + 2], a[lo:hi]), *_children(two.levels[level:level + 2], b[lo:hi]))
             nexts.append(keep(level + 1, x, y))
-        a = np.concatenate([n[0] for n in nexts]) if nexts else a[:0]
-        b = np.concatenate([n[1] for n in nexts]) if nexts else b[:0]
+        a, b = (np.concatenate([n[side] for n in nexts]) for side in (0, 1))
     for lo in range(0, len(a), 1 << 18):
         i, j = a[lo:lo + (1 << 18)], b[lo:lo + (1 << 18)]
         if same:
