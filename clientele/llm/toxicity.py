@@ -28,7 +28,7 @@ SYMBOLS, ORDER = 64, 4
 DISCOUNT = 0.75
 PASSAGE = 9                            # letters of the passage that counts
 CALIBRATION_ROWS = 1500                # rows of each class that fit the logistic curve
-CALIBRATION_SHARE = 5                  # one in so many labelled rows is kept from the counts
+FOLDS = 3                              # a row is rated for the curve by counts without its fold
 BATCH = 1 << 20
 
 
@@ -72,20 +72,21 @@ def _ranges(texts, limit: int):
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, n0, n1): how often docs(text, label) of label 0 and 1 have a gram. Summed
-    per batch before the shuffle."""
+    """(gram, fold, n0, n1): how often docs(text, label, fold) of label 0 and 1 have a
+    gram. Summed per batch before the shuffle."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts, labels = batch["text"].tolist(), batch["label"].to_numpy()
+            texts = batch["text"].tolist()
+            group = (batch["fold"] * 2 + batch["label"]).to_numpy(np.int64)
             for a, b in _ranges(texts, 1 << 22):
                 found, first = grams(texts[a:b])
-                toxic = np.repeat(labels[a:b] == 1, np.diff(first))
-                sides = [np.unique(found[toxic == side], return_counts=True) for side in (False, True)]
-                for side, (key, n) in enumerate(sides):
-                    yield pd.DataFrame({"gram": key, "n0": n * (1 - side), "n1": n * side})
+                owner = np.repeat(group[a:b], np.diff(first))
+                for g in np.unique(owner):
+                    key, n = np.unique(found[owner == g], return_counts=True)
+                    yield pd.DataFrame({"gram": key, "fold": int(g) // 2, "n0": n * (1 - g % 2), "n1": n * (g % 2)})
 
-    return docs.select("text", "label").mapInPandas(count, "gram int, n0 long, n1 long").groupBy("gram").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    return docs.select("text", "label", "fold").mapInPandas(count, "gram int, fold int, n0 long, n1 long").groupBy(
+        "gram", "fold").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 @dataclass
@@ -149,7 +150,7 @@ def estimate(gram: np.ndarray, counts: list[np.ndarray]) -> Model:
         own, n = _continuations(gram[has], 4)
         middle = _level(own, n.astype(float), shared)
         logs.append(np.log(_level(gram[has], count[has].astype(float), middle)))
-    return Model(logs[1] - logs[0], np.array([1.0, 1.0, 0.0]))
+    return Model((logs[1] - logs[0]).astype(np.float16), np.array([1.0, 1.0, 0.0]))
 
 
 def calibrate(ratios: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -175,26 +176,32 @@ def calibrate(ratios: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> np.
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
     """From labels.toxic of all rows that are not held out.
 
-    One row in CALIBRATION_SHARE is kept from the counts; at most CALIBRATION_ROWS of
-    them in each class, chosen by a hash of doc_id, fit the logistic curve. Without
-    labels, or with one class only, the score is the same for all."""
-    labels = clean_labels(labels, "toxic").where(~held_out(4, 2) & F.col("label").isin(0, 1))
-    spare = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(CALIBRATION_SHARE)) == 0
+    All of them are counted. At most CALIBRATION_ROWS of each class, chosen by a hash of
+    doc_id, fit the logistic curve, each rated by a model without its fold of the counts.
+    Without labels, or with one class only, the score is the same for all."""
+    fold = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).cast("int")
+    labels = clean_labels(labels, "toxic").where(~held_out(4, 2) & F.col("label").isin(0, 1)).withColumn("fold", fold)
     docs = docs.select("doc_id", "text")
-    counted = count_grams(with_labels(docs, labels.where(~spare))).toPandas().sort_values("gram")
-    model = estimate(counted["gram"].to_numpy(np.int64), [counted["n0"].to_numpy(), counted["n1"].to_numpy()])
-    shares = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    rows = count_grams(with_labels(docs, labels)).toPandas()           # FOLDS x 64^4 rows at most
+    gram, at = np.unique(rows["gram"].to_numpy(np.int64), return_inverse=True)
+    counts = np.zeros((FOLDS, 2, len(gram)))
+    for side, name in enumerate(("n0", "n1")):
+        counts[rows["fold"].to_numpy(), side, at] = rows[name].to_numpy()
+    whole = counts.sum(axis=0)
+    sent = docs.sparkSession.sparkContext.broadcast([estimate(gram, list(whole - counts[f])).ratio for f in range(FOLDS)])
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = sent.value.ratios(batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "a": found[:, 0], "b": found[:, 1]})
+            for f, own in batch.groupby("fold"):
+                found = Model(sent.value[f], np.zeros(3)).ratios(own["text"].tolist())
+                yield pd.DataFrame({"doc_id": own["doc_id"], "label": own["label"], "a": found[:, 0], "b": found[:, 1]})
 
-    chosen = sample_by_class(labels.where(spare), [0, 1], CALIBRATION_ROWS)      # bounded
-    frame = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInPandas(
+    chosen = sample_by_class(labels, [0, 1], CALIBRATION_ROWS)          # bounded
+    frame = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "fold", "text").mapInPandas(
         rate, "doc_id long, label int, a double, b double").toPandas().sort_values(["doc_id", "a", "b"])
     sent.unpersist()
+    shares = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    model = estimate(gram, list(whole))
     model.weights = calibrate(frame[["a", "b"]].to_numpy(np.float64), frame["label"].to_numpy(np.int64),
                               np.array([shares.get(0, 0), shares.get(1, 0)], np.float64))
     return model
