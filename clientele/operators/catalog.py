@@ -51,6 +51,19 @@ def scope_of(description: Column) -> Column:
     return first_match(description, "Scope: (time-dependent|global|both)")
 
 
+def in_order(rows: DataFrame, *last: str) -> DataFrame:
+    """Catalogue rows by project, owner and table, then by further columns."""
+    return rows.orderBy(*[c for c in TABLE_KEY if c in rows.columns], *last)
+
+
+def own_tables(spark: SparkSession, project: str, owner: str, schemas: dict[str, T.StructType],
+               comments: dict[str, str]) -> DataFrame:
+    """Field paths of tables known by schema, with the comment of the table, in order."""
+    texts = spark.createDataFrame(list(comments.items()), "table_name string, table_comment string")
+    return in_order(schema_fields(spark, project, owner, schemas).join(F.broadcast(texts), "table_name", "left"),
+                    "column_name", "field_path")
+
+
 def catalog_fields(columns: DataFrame, field_paths: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Columns with all their field paths."""
     on = [*TABLE_KEY, "column_name"]
@@ -60,7 +73,7 @@ def catalog_fields(columns: DataFrame, field_paths: DataFrame, names: list[str]
 
 
 def catalog_keys(constraints: DataFrame, key_usage: DataFrame, kind: str, names: list[str] | None = None) -> DataFrame:
-    """Key columns of one kind, 'PRIMARY KEY' or 'FOREIGN KEY'."""
+    """Key columns of one kind, 'PRIMARY KEY' or 'FOREIGN KEY'; see `in_order`."""
     return (constraints.where((F.col("constraint_type") == kind) & listed(names))
             .join(key_usage, "constraint_name"))
 
@@ -79,7 +92,7 @@ def _texts(rows: DataFrame, on: list[str], order: list[str], text: Column, sep:
 
 def table_descriptions(tables: DataFrame, fields: DataFrame, primary: DataFrame, foreign: DataFrame) -> DataFrame:
     """(project_id, owner, table_name, detailed_description) for every table."""
-    owned = ["owner", "table_name"]
+    owned = TABLE_KEY
     column = F.concat(F.lit("- "), "field_path", F.lit(" ("), "data_type", F.lit(") - "),
                       F.coalesce("description", F.lit("")))
     reference = F.concat(

@@ -36,9 +36,33 @@ def upsert_ignore(target: DataFrame, new: DataFrame, key: str, order: list[str])
     key repeated millions of times travels once per task."""
     rest = [c for c in target.columns if c != key]
     carried = F.struct(*order, *[c for c in rest if c not in order])
-    first = (missing_keys(new, target, [key]).groupBy(key).agg(F.min(carried).alias("_r"))
+    first = (new.groupBy(key).agg(F.min(carried).alias("_r"))
              .select(key, *[F.col(f"_r.{c}").alias(c) for c in rest]))
-    return target.select(key, *rest).unionByName(first)
+    return target.select(key, *rest).unionByName(missing_keys(first, target, [key]))
+
+
+def table_texts(descriptions: DataFrame) -> DataFrame:
+    """Table descriptions ready to store: the id comes from catalogue, source,
+    requestor, schema, table and text."""
+    return descriptions.withColumn("id", content_id(
+        F.col("table_catalog"), F.col("source_type"), F.col("requestor"), F.col("table_schema"), F.col("table_name"),
+        F.col("detailed_description")))
+
+
+def store_new(new: DataFrame, path: str, key: str, order: list[str]) -> DataFrame:
+    """Append the rows whose key is not stored at `path` yet and return the table.
+
+    Creates the table if there is none. Of several new rows with a key the first by
+    `order` is stored. Stored rows are neither read whole nor written again."""
+    spark = new.sparkSession
+    rest = [c for c in new.columns if c != key]
+    carried = F.struct(*order, *[c for c in rest if c not in order])
+    first = new.groupBy(key).agg(F.min(carried).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    # an append of no row creates the table with its columns
+    first.limit(0).write.mode("append").parquet(path)
+    stored = spark.read.schema(first.schema).parquet(path)
+    missing_keys(first, stored, [key]).write.mode("append").parquet(path)
+    return spark.read.schema(first.schema).parquet(path)
 
 
 def lookup(asked: DataFrame, stored: DataFrame) -> DataFrame:

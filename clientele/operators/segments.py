@@ -97,8 +97,10 @@ class Segment:
     def bought_one_of(self, top: DataFrame, *, at_least: int = 1, since: Column | None = None,
                       until: Column | None = None) -> DataFrame:
         """Users of the segment that bought one (or several) of the products in
-        `top` (one column, product_id) in the range of days. Returns user ids."""
-        rows = self._matching_rows().where(within(day_of(F.col(DAY)), since, until))
+        `top` (one column, product_id) in the range of days. Returns user ids. In user
+        scope all rows of the users of the segment count, else the matching rows."""
+        rows = self._matching_rows() if self.scope == "row" else self.rows.join(self.users(), "user_id", "left_semi")
+        rows = rows.where(within(day_of(F.col(DAY)), since, until))
         ids = (rows.select("user_id", F.explode(DAILY_ARRAY).alias("b"))
                .select("user_id", F.explode("b.product_ids").alias("product_id"))
                .join(top.select("product_id"), "product_id", "left_semi"))

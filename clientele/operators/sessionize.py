@@ -20,7 +20,6 @@ def sessionize(events: DataFrame, gap_minutes: int = 30, user: str = "user_id",
     slots = rows.groupBy(user, "_slot").agg(F.max(ts).alias("_last"))
     by_user = Window.partitionBy(user).orderBy("_slot")
     before = slots.select(user, "_slot", F.lag("_last").over(by_user).alias("_before"))
-    # event_id-like columns break ties only to make the order repeatable
     in_slot = Window.partitionBy(user, "_slot").orderBy(ts)
     marked = (rows.join(before, [user, "_slot"])
               .withColumn("_prev", F.coalesce(F.lag(ts).over(in_slot), F.col("_before")))
@@ -34,10 +33,13 @@ def sessionize(events: DataFrame, gap_minutes: int = 30, user: str = "user_id",
             .drop("_slot", "_before", "_prev", "_new", "_nth", "_offset"))
 
 
-def session_table(events: DataFrame, gap_minutes: int = 30, user: str = "user_id", ts: str = "ts", slot: str = SLOT) -> DataFrame:
-    """One row per session: start, end (last event + gap), events, value."""
+def session_table(events: DataFrame, gap_minutes: int = 30, user: str = "user_id", ts: str = "ts", slot: str = SLOT,
+                  fields: list[str] | None = None) -> DataFrame:
+    """One row per session: start, end (last event + gap), events, value. `fields`: also
+    the events themselves, as an array `session` of these columns, sorted by them."""
+    nested = [F.array_sort(F.collect_list(F.struct(*fields))).alias("session")] if fields else []
     gap = F.expr(f"INTERVAL {gap_minutes} MINUTES")
     return (sessionize(events, gap_minutes, user, ts, slot).groupBy(user, "session_no")
             .agg(F.min(ts).alias("session_start"), (F.max(ts) + gap).alias("session_end"),
                  F.count(F.lit(1)).alias("n_events"),
-                 F.sum(F.col("value").cast("decimal(38,9)")).cast("double").alias("total")))
+                 F.sum(F.col("value").cast("decimal(38,9)")).cast("double").alias("total"), *nested))

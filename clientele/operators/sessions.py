@@ -28,10 +28,6 @@ NO_PRODUCT = 0
 EVENT_FIELDS = ["event_type", "product_id", "created_at", "sequence_number", "uri", "cost", "category", "name",
                 "brand", "department"]
 
-# Longest array stored in one row. A session beyond it is stored in several rows
-# with the same keys and the same total; every operator here accepts that.
-MAX_SESSION_ROW = 500_000
-
 
 def event_uri() -> Column:
     """Address of a department or product page; NULL for any other event."""
@@ -46,15 +42,22 @@ def event_uri() -> Column:
 def price_events(raw: DataFrame, products: DataFrame) -> DataFrame:
     """Look up the product of every event; events without one keep NULLs.
 
-    No broadcast hint: Spark broadcasts the products only if their measured size
-    is below its threshold, and otherwise splits the hot 'no product' key. Once a
-    later step asks for priced rows only, the filter on the product side lets
-    Catalyst drop the events without a product before any shuffle."""
+    Events without a product pass beside the join, so their one id is no hot key.
+    No broadcast hint: Spark broadcasts the products only if their measured size is
+    below its threshold. Once a later step asks for priced rows only, Catalyst drops
+    the events without a product before any shuffle."""
     looked_up = products.where(F.col("id") != NO_PRODUCT).select(
         F.col("id").alias("_id"), "cost", numeric(F.col("cost")).alias("price"), "category", "name", "brand",
         "department")
-    return (raw.join(looked_up, raw.product_id == F.col("_id"), "left").drop("_id")
-               .withColumn("uri", event_uri()))
+    has_product = F.coalesce(F.col("product_id") != NO_PRODUCT, F.lit(False))
+    about = raw.where(has_product).join(looked_up, F.col("product_id") == F.col("_id"), "left").drop("_id")
+    found = [f for f in looked_up.schema.fields if f.name != "_id"]
+    other = raw.where(~has_product).withColumns({f.name: F.lit(None).cast(f.dataType) for f in found})
+    return about.unionByName(other).withColumn("uri", event_uri())
+
+
+def _total(seen: Column, bought: Column) -> Column:
+    return F.when(bought, as_money(seen)).otherwise(F.lit(0.0))
 
 
 def session_totals(priced: DataFrame) -> DataFrame:
@@ -67,32 +70,25 @@ def session_totals(priced: DataFrame) -> DataFrame:
         F.max(F.col("event_type") == PURCHASE).alias("has_purchase"),
         F.max(F.col("event_type") == CART).alias("has_cart"),
         F.count(F.lit(1)).alias("n_events"))
-    total = F.when(F.col("has_purchase"), as_money(F.col("_seen"))).otherwise(F.lit(0.0))
+    total = _total(F.col("_seen"), F.col("has_purchase"))
     return sums.select(*FACT_KEYS, total.alias("total_cost"), "has_purchase", "has_cart", "n_events")
 
 
-def nest_sessions(priced: DataFrame, max_row: int = MAX_SESSION_ROW) -> DataFrame:
-    """The `events` table: the events of a session as an ordered array.
-
-    The totals come first; they carry the total and the length, and the length
-    decides into how many rows a very long session is hashed."""
-    totals = session_totals(priced).select(*FACT_KEYS, "total_cost", "n_events")
-    part = F.when(F.col("n_events") <= max_row, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("sequence_number", "event_type", "product_id", "created_at"),
-               F.ceil(F.col("n_events") / max_row)))
+def nest_sessions(priced: DataFrame) -> DataFrame:
+    """The `events` table: one row per session, its events as an ordered array and its
+    total, from a single grouping."""
     # sorted by sequence_number; `_events.e` then takes the events out again
     numbered = F.struct("sequence_number", F.struct(*EVENT_FIELDS).alias("e"))
-    return (priced.join(totals, FACT_KEYS)
-            .withColumn("_part", part)
-            .groupBy(*SESSION_KEYS, "total_cost", "_part")
-            .agg(F.sort_array(F.collect_list(numbered)).alias("_events"))
-            .select("user_id", "country", "session_id", "traffic_source", "session_created_at", "total_cost",
-                    F.col("_events.e").alias("session")))
+    return (priced.groupBy(*SESSION_KEYS)
+            .agg(F.sum("price").alias("_seen"), F.max(F.col("event_type") == PURCHASE).alias("_bought"),
+                 F.sort_array(F.collect_list(numbered)).alias("_events"))
+            .select("user_id", "country", "session_id", "traffic_source", "session_created_at",
+                    _total(F.col("_seen"), F.col("_bought")).alias("total_cost"), F.col("_events.e").alias("session")))
 
 
-def build_events(raw: DataFrame, products: DataFrame, max_row: int = MAX_SESSION_ROW) -> DataFrame:
+def build_events(raw: DataFrame, products: DataFrame) -> DataFrame:
     """Flat click stream + products -> `events` (one row per session)."""
-    return nest_sessions(price_events(raw, products), max_row)
+    return nest_sessions(price_events(raw, products))
 
 
 def unnest_session(events: DataFrame) -> DataFrame:

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-NUMERIC_TYPES = (T.DoubleType, T.LongType)
-# More categories than this are returned as rows instead of columns.
-MAX_CHART_COLUMNS = 1000
 SEPARATOR = " / "
 
 
@@ -15,9 +12,12 @@ def _date(column: str) -> Column:
 
 
 def coerce_types(df: DataFrame) -> DataFrame:
-    """Retype text columns whose values all read as dates or all as numbers.
+    """Retype text columns whose values all read as dates or all as numbers, and
+    fixed-point columns to floating point.
 
     One aggregation decides for all columns together; it brings back one row."""
+    df = df.select(*[F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+                     for f in df.schema.fields])
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not names:
         return df
@@ -48,17 +48,17 @@ def coerce_types(df: DataFrame) -> DataFrame:
 
 def _roles(df: DataFrame) -> tuple[list[str], list[str], list[str]]:
     dates = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DateType)]
-    values = [f.name for f in df.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
+    values = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     return dates, values, [c for c in df.columns if c not in dates + values]
 
 
-def to_chart(df: DataFrame, max_columns: int = MAX_CHART_COLUMNS) -> tuple[DataFrame, bool]:
+def to_chart(df: DataFrame, wide: bool = True) -> tuple[DataFrame, bool]:
     """Pivot a frame with exactly one date column: dates down, categories across,
     mean of the numbers (missing numbers count as 0). Returns the frame and
     whether it is a chart, i.e. has just one number column.
 
-    The categories become columns, so they are listed first; beyond
-    `max_columns` the same means come back as (date, category) rows."""
+    The categories become columns, so they are listed first. With `wide` = False the
+    same means come as (date, category) rows; the form never depends on the data."""
     dates, values, categories = _roles(df)
     if len(dates) != 1:
         return df, False
@@ -71,9 +71,9 @@ def to_chart(df: DataFrame, max_columns: int = MAX_CHART_COLUMNS) -> tuple[DataF
     for c in categories:
         rows = rows.where(F.col(c).isNotNull())
     rows = rows.withColumn("_category", F.concat_ws(SEPARATOR, *categories))
-    found = rows.select("_category").distinct().orderBy("_category").limit(max_columns + 1).collect()
-    if len(found) > max_columns:
+    if not wide:
         return rows.groupBy(day, F.col("_category").alias("category")).agg(*means), single
+    found = rows.select("_category").distinct().orderBy("_category").collect()
     return rows.groupBy(day).pivot("_category", [r[0] for r in found]).agg(*means), single
 
 

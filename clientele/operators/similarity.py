@@ -3,9 +3,9 @@
 Exact, in two ways. Both score blocks of vectors in numpy and keep k rows per
 query and block; pairs are never listed.
 
-* few queries (at most QUERY_ROWS, counted): the query matrix is shipped to all
-  tasks and the corpus is scanned where it lies - no shuffle of the corpus;
-* many queries: both sides are hashed into blocks of about BLOCK_ROWS rows and
+* strategy "scan": few queries (QUERY_ROWS at most, else an error); their matrix is
+  shipped to all tasks and the corpus is scanned where it lies - no shuffle of it;
+* strategy "blocks": any number of queries; both sides are hashed into blocks of about BLOCK_ROWS rows and
   every query block meets every corpus block in its own task. Equality filters
   that apply before ranking become part of the block key, and a group that is
   large gets more blocks.
@@ -99,11 +99,12 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def similar(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, *, metric: str = "cosine",
             qid: str = "qid", id_: str = "id", vector: str = "embedding", pre_filter: list[str] | None = None,
-            post_filter: list[str] | None = None, exclude_same_id: bool = False, query_rows: int = QUERY_ROWS,
-            block_rows: int = BLOCK_ROWS) -> DataFrame:
+            post_filter: list[str] | None = None, exclude_same_id: bool = False, strategy: str = "scan",
+            query_rows: int = QUERY_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(qid, id, similarity, rank) of the k nearest rows above a threshold.
 
     pre_filter   columns that must be equal before ranking
+    strategy     "scan" or "blocks", see above; the caller's choice, never the data's
     post_filter  columns that must be equal after ranking: a query may then get
                  fewer than k rows although more would qualify
     Similarity is 1 - cosine distance, the inner product, or minus the L2
@@ -119,8 +120,10 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | No
     if pre_filter:
         asked, stored = asked.where(F.col("_g").isNotNull()), stored.where(F.col("_g").isNotNull())
     options = dict(k=k, metric=metric, threshold=threshold, exclude_same_id=exclude_same_id)
-    few = asked.limit(query_rows + 1).toArrow()
-    if few.num_rows <= query_rows:
+    if strategy == "scan":
+        few = asked.limit(query_rows + 1).toArrow()
+        if few.num_rows > query_rows:
+            raise ValueError(f"more than {query_rows} queries: use strategy='blocks'")
         found = _scan(few, stored, schema, options, bool(pre_filter))
     else:
         found = _blocks(asked, stored, schema, options, bool(pre_filter), block_rows)

@@ -20,7 +20,8 @@ def term_weights(texts: DataFrame, key: str, text: str, dimensions: int = 64) ->
     df = tf.groupBy("dimension").agg(F.count(F.lit(1)).alias("df"))
     n = texts.agg(F.count(F.lit(1)).alias("n")).scalar()
     idf = F.log((n + F.lit(1.0)) / (F.col("df") + 1))
-    raw = tf.join(df.select("dimension", idf.alias("idf")), "dimension").select(
+    # one row per dimension: `dimensions` bounds what is sent to the terms
+    raw = tf.join(F.broadcast(df.select("dimension", idf.alias("idf"))), "dimension").select(
         key, "dimension", (F.col("tf") * F.col("idf")).alias("raw"))
     # a text has at most `dimensions` entries
     rows = raw.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("dimension", "raw"))).alias("t"))

@@ -7,11 +7,13 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clientele.functions.dates import rand_date
+from clientele.functions.money import round_half_away
 from clientele.functions.nested import number_range, pick
 from clientele.functions.text import one_line, strip_fences
 from clientele.operators import catalog as cat, qlog, shape, validation as val
+from clientele.plans.dataset import demo_frames
 from clientele.plans.registry import query
-from clientele.schemas import PRODUCT_AGGREGATES, USER_AGGREGATES
+from clientele.schemas import PRODUCT_AGGREGATES, TABLE_COMMENTS, USER_AGGREGATES
 from clientele.session import scratch_dir
 from clientele.sources import demo
 from clientele.sources.demo import table
@@ -42,7 +44,7 @@ usage AS (
   SELECT DISTINCT CASE l_linestatus WHEN 'O' THEN 'pk_' ELSE 'fk_' END || CAST(l_orderkey AS VARCHAR) AS constraint_name,
          'c' || CAST(l_linenumber AS VARCHAR) AS column_name, 'stock' AS r_owner,
          'supplier_' || CAST(l_suppkey AS VARCHAR) AS r_table_name, 'p' || CAST(l_partkey AS VARCHAR) AS r_column_name
-  FROM lineitem WHERE l_returnflag = 'A')
+  FROM lineitem)
 """
 _OWNERS = ["1-URGENT", "5-LOW"]
 
@@ -71,7 +73,7 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         F.concat("k.p", F.lit("_"), F.col("o_orderkey").cast("string")).alias("constraint_name"), *cat.TABLE_KEY,
         "k.constraint_type")
     prefix = F.when(F.col("l_linestatus") == "O", "pk_").otherwise("fk_")
-    usage = lines.where(F.col("l_returnflag") == "A").select(
+    usage = lines.select(
         F.concat(prefix, F.col("l_orderkey").cast("string")).alias("constraint_name"), number.alias("column_name"),
         F.lit("stock").alias("r_owner"), F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("r_table_name"),
         part.alias("r_column_name")).distinct()
@@ -93,6 +95,21 @@ def catalog_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cat.catalog_fields(c["columns"], c["paths"]).drop("is_nullable")
 
 
+@query("catalog_own_tables")
+def catalog_own_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The described schemas of the stored tables, nested paths and comments included,
+    with the number of rows each table has over the provided data."""
+    frames = demo_frames(spark, sf_dir, country=True)
+    sizes = None
+    for name, rows in (("user_aggregates", frames.user_aggregates(daily=False, total=False)),
+                       ("product_aggregates", frames.product_aggregates())):
+        n = rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("table_name"), "n_rows")
+        sizes = n if sizes is None else sizes.unionByName(n)
+    fields = cat.own_tables(spark, "shop", "cdp", {"user_aggregates": USER_AGGREGATES, "product_aggregates": PRODUCT_AGGREGATES},
+                            TABLE_COMMENTS)
+    return cat.in_order(fields.join(sizes, "table_name"), "column_name", "field_path")
+
+
 @query("catalog_filtered", _CAT + """
 SELECT owner, table_name, count(*) AS n_columns FROM cols
 WHERE CASE WHEN len(['1-URGENT', '5-LOW']) > 0 THEN owner IN ('1-URGENT', '5-LOW') ELSE TRUE END GROUP BY ALL""")
@@ -274,14 +291,14 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("qlog_append", _LOG + """
 SELECT source_type, project_id, "user", schema, model_used, question, generated_sql, found_in_vector, need_rewrite,
-       failure_step, error_msg FROM log""")
+       failure_step, error_msg, execution_time FROM log""")
 def qlog_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors first (creates the table), everything else appended, read back."""
     path = scratch_dir(spark, "query-log")
     rows = _log(spark, sf_dir)
     qlog.append_log(rows.where(F.col("error_msg").isNotNull()), path)
     qlog.append_log(rows.where(F.col("error_msg").isNull()), path)
-    return spark.read.parquet(path).drop("execution_time")
+    return spark.read.parquet(path).withColumn("execution_time", F.col("execution_time").cast("timestamp_ntz"))
 
 
 @query("qlog_error_parse", _LOG + "SELECT event_id, error_code, error_text FROM parsed WHERE error_msg IS NOT NULL")
@@ -362,6 +379,33 @@ def chart_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(shape.to_chart(_series(spark, sf_dir).drop("k"))[0])
 
 
+@query("chart_pivot_decimal", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type AS category, "
+       "round(avg(CASE WHEN value >= 5 THEN CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) ELSE 0 END), 6) AS value, "
+       "round(avg(CAST(json_extract_string(props, '$.k') AS INTEGER)), 6) AS k FROM events GROUP BY 1, 2")
+def chart_pivot_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed-point and whole numbers next to each other, as rows instead of columns."""
+    rows = _series(spark, sf_dir).withColumns({"value": F.col("value").cast("decimal(12,2)"), "k": F.col("k").cast("int")})
+    tall = shape.to_chart(shape.coerce_types(rows), wide=False)[0]
+    return tall.select(F.col("day").cast("timestamp_ntz").alias("day"), "category", F.round("value", 6).alias("value"),
+                       F.round("k", 6).alias("k"))
+
+
+@query("rounded_prices", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_quantity / 2) AS BIGINT) AS halves "
+       "FROM lineitem")
+def rounded_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rounding cast: halves go away from zero."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                   round_half_away(F.col("l_quantity") / 2).alias("halves"))
+
+
+@query("uuid_ids", "SELECT count(*) AS n, count(*) AS n_ids, 36 AS characters FROM orders")
+def uuid_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A random id per row: all different, all of one length."""
+    ids = table(spark, sf_dir, "orders").select(F.expr("uuid()").alias("id"))
+    return ids.groupBy("id").agg(F.count(F.lit(1)).alias("c")).agg(
+        F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_ids"), F.max(F.length("id")).alias("characters"))
+
+
 @query("chart_pivot_multi", "SELECT date_trunc('day', ts)::TIMESTAMP AS day, "
        + ", ".join(f"{_MEAN.format(t=t)} AS {t}_value, {_MEAN_K.format(t=t)} AS {t}_k" for t in _TYPES)
        + " FROM events GROUP BY 1")

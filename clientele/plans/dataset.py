@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from clientele import schemas
 from clientele.operators import products as prod, sessions as sess, users as usr
 from clientele.sources import demo, tables
 
@@ -28,15 +30,25 @@ class Frames:
         return usr.user_aggregates(life, days.withColumnRenamed("user_id", "id"), "left")
 
     def product_aggregates(self) -> DataFrame:
-        return prod.product_aggregates(prod.product_global(self.priced), prod.product_daily(self.priced))
+        base = prod.product_base(self.priced)
+        return prod.product_aggregates(prod.global_of(base), prod.daily_of(base))
 
+    def product_daily(self) -> DataFrame:
+        """The daily columns alone, for questions that do not ask for the lifetime."""
+        return prod.product_daily(self.priced)
 
-def from_clicks(users: DataFrame, products: DataFrame, raw: DataFrame) -> Frames:
-    """Frames over the flat click stream. Looks into the product prices first
-    (one small job): the usual case has a much cheaper plan."""
+
+def from_clicks(users: DataFrame, products: DataFrame, raw: DataFrame, negative_prices: bool = False) -> Frames:
+    """Frames over the flat click stream.
+
+    Products that cost less than nothing (vouchers, refunds) need a total per session,
+    which is a more expensive plan; say so with `negative_prices`. Without it a query
+    that meets such a product fails with a message."""
+    if not negative_prices:
+        products = products.withColumn("cost", F.when(F.col("cost") < 0, F.raise_error(F.lit(
+            "a product costs less than nothing: use negative_prices=True"))).otherwise(F.col("cost")))
     priced = sess.price_events(raw, products)
-    negative = not products.where(F.col("cost") < 0).isEmpty()
-    paid = sess.paid_sessions(raw, priced if negative else None)
+    paid = sess.paid_sessions(raw, priced if negative_prices else None)
     return Frames(users, priced, sess.session_marks(raw), sess.purchase_lines_flat(priced, paid), paid)
 
 
@@ -67,35 +79,42 @@ def stored_days(table: DataFrame, since: Column, until: Column, grain: str = "DA
     return opened if grain == "DAY" else opened.where(F.to_date("session_day").between(since, until))
 
 
+# Tables each table is made from.
+NEEDS = {"events": (), "user_daily": ("events",), "user_global": ("events",), "user_aggregates": ("user_daily", "user_global"),
+         "product_daily": ("events",), "product_global": ("events",), "product_aggregates": ("product_daily", "product_global")}
+
+
 def build(spark: SparkSession, users: DataFrame, products: DataFrame, raw: DataFrame, out: str,
-          grain: str = "DAY") -> dict[str, DataFrame]:
-    """Write all tables below `out` and hand back readers for them.
+          grain: str = "DAY", wanted: list[str] | None = None) -> dict[str, DataFrame]:
+    """Write the wanted tables (all by default) and those they are made from below
+    `out`, and hand back readers for them.
 
     Each table is written once and read back by the next step: that cuts the
     lineage, survives lost executors and lets the later steps prune columns and
     days. Overwrites, so a second run leaves the same tables. `grain` DAY, MONTH
     or YEAR sets the size of a partition: days for large data, longer periods
     where a day would be a file of a few rows."""
-    def store(name: str, df: DataFrame, day: str | None = None) -> DataFrame:
-        if day:
-            df = df.withColumn(PARTITION, period_of(F.col(day), grain))
-        tables.write_table(df, f"{out}/{name}", PARTITION if day else None)
-        return tables.read_table(spark, f"{out}/{name}")
-
-    events = store("events", sess.build_events(raw, products), "session_created_at")
-    base = from_events(users, events.drop(PARTITION))
-    daily = store("user_daily", usr.user_daily(users, base.lines), "session_day")
-    life = store("user_global", usr.user_global(users, base.lines, base.marks))
-    product_daily = store("product_daily", prod.product_daily(base.priced), "session_day")
-    product_life = store("product_global", prod.product_global(base.priced))
-    return {
-        "events": events,
-        "user_daily": daily,
-        "user_global": life,
-        "user_aggregates": store("user_aggregates", usr.conforms(
-            usr.user_aggregates(life, daily.drop(PARTITION))), "session_day"),
-        "product_daily": product_daily,
-        "product_global": product_life,
-        "product_aggregates": store("product_aggregates", prod.product_aggregates(
-            product_life, product_daily.drop(PARTITION)), "session_day"),
-    }
+    needed = set(wanted or NEEDS)
+    while more := {n for name in needed for n in NEEDS[name]} - needed:
+        needed |= more
+    made: dict[str, DataFrame] = {}
+
+    def store(name: str, df: Callable[[], DataFrame], day: str | None = None) -> None:
+        if name in needed:
+            rows = df()
+            if day:
+                rows = rows.withColumn(PARTITION, period_of(F.col(day), grain))
+            tables.write_table(rows, f"{out}/{name}", PARTITION if day else None, comments=schemas.of_table(name))
+            made[name] = tables.read_table(spark, f"{out}/{name}")
+
+    store("events", lambda: sess.build_events(raw, products), "session_created_at")
+    base = from_events(users, made["events"].drop(PARTITION))
+    store("user_daily", lambda: usr.user_daily(users, base.lines), "session_day")
+    store("user_global", lambda: usr.user_global(users, base.lines, base.marks))
+    store("user_aggregates", lambda: usr.conforms(usr.user_aggregates(
+        made["user_global"], made["user_daily"].drop(PARTITION))), "session_day")
+    store("product_daily", lambda: prod.product_daily(base.priced), "session_day")
+    store("product_global", lambda: prod.product_global(base.priced))
+    store("product_aggregates", lambda: prod.product_aggregates(
+        made["product_global"], made["product_daily"].drop(PARTITION)), "session_day")
+    return made

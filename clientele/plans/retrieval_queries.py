@@ -8,6 +8,7 @@ from clientele.operators import corpus as corp
 from clientele.operators.similarity import similar, similar_lsh
 from clientele.operators.text_vectors import term_weights, vectors
 from clientele.plans.registry import query
+from clientele.session import scratch_dir
 from clientele.sources.demo import table
 
 # How many examples and tables are retrieved, and from which similarity on.
@@ -57,7 +58,7 @@ def knn_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("knn_blocks", _knn_sql(_KNN, EXAMPLES))
 def knn_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The plan for many queries: block against block."""
-    return _shown(_knn(spark, sf_dir, EXAMPLES, query_rows=0, block_rows=200))
+    return _shown(_knn(spark, sf_dir, EXAMPLES, strategy="blocks", block_rows=200))
 
 
 @query("knn_l2", _knn_sql(_KNN, EXAMPLES, "l2", None))
@@ -77,7 +78,7 @@ def knn_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("knn_prefilter_blocks", _knn_sql(_KNN, EXAMPLES, same="a.label = b.label"))
 def knn_prefilter_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(_knn(spark, sf_dir, EXAMPLES, pre_filter=["label"], query_rows=0, block_rows=40))
+    return _shown(_knn(spark, sf_dir, EXAMPLES, pre_filter=["label"], strategy="blocks", block_rows=40))
 
 
 @query("knn_postfilter", _knn_sql(_KNN + " WHERE q_label = v_label", EXAMPLES))
@@ -212,6 +213,45 @@ def sql_corpus_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corp.upsert_ignore(stored, batch, "id", ["conv_id", "turn"])
 
 
+@query("sql_corpus_store", f"""
+WITH stored AS ({_STORED_SQL}),
+batch AS (SELECT md5({_PARTS}) AS id, text AS question, 'SELECT conv ' || CAST(conv_id AS VARCHAR) || ' ' AS generated_sql,
+                 conv_id, turn FROM conversations)
+SELECT id, question, generated_sql FROM stored
+UNION ALL
+SELECT id, question, generated_sql FROM batch WHERE id NOT IN (SELECT id FROM stored)
+QUALIFY row_number() OVER (PARTITION BY id ORDER BY conv_id, turn) = 1""")
+def sql_corpus_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus as a stored table: created by the first call, then only new ids are
+    appended; storing the same batch once more adds nothing."""
+    path = scratch_dir(spark, "sql-corpus")
+    columns = ["id", "question", "generated_sql", "conv_id", "turn"]
+    first = _stored(spark, sf_dir).withColumns({"conv_id": F.lit(-1).cast("long"), "turn": F.lit(0).cast("long")})
+    batch = _spoken(spark, sf_dir).select(*columns)
+    for rows in (first.select(*columns), batch, batch):
+        stored = corp.store_new(rows, path, "id", ["conv_id", "turn"])
+    return stored.select("id", "question", "generated_sql")
+
+
+@query("table_text_store", """
+WITH t AS (SELECT 'shop' AS table_catalog, 'warehouse' AS source_type, o_orderpriority AS requestor, 'cdp' AS table_schema,
+                  'order_' || CAST(o_orderkey AS VARCHAR) AS table_name, 'Order in state ' || o_orderstatus AS detailed_description
+           FROM orders)
+SELECT DISTINCT md5(table_catalog || '.' || source_type || '.' || requestor || '.' || table_schema || '.' || table_name || '.'
+           || detailed_description) AS id, table_name, detailed_description FROM t""")
+def table_text_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descriptions of tables stored under the id of their content; half of them come
+    twice."""
+    path, name = scratch_dir(spark, "table-texts"), F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"))
+    texts = corp.table_texts(table(spark, sf_dir, "orders").select(
+        F.lit("shop").alias("table_catalog"), F.lit("warehouse").alias("source_type"), F.col("o_orderpriority").alias("requestor"),
+        F.lit("cdp").alias("table_schema"), name.alias("table_name"),
+        F.concat(F.lit("Order in state "), "o_orderstatus").alias("detailed_description")))
+    for part in (texts.where("requestor < '3'"), texts):
+        stored = corp.store_new(part, path, "id", ["table_name"])
+    return stored.select("id", "table_name", "detailed_description")
+
+
 @query("uninitialized_tables", """
 SELECT c_mktsegment AS table_schema, 't' || CAST(c_custkey AS VARCHAR) AS table_name FROM customer c
 WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')""")

@@ -39,7 +39,8 @@ _DAY_OTHER = _DAY.format(brand=OTHER)
 
 
 def _products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demo_frames(spark, sf_dir, country=True).product_aggregates()
+    """The daily columns do; the lifetime table would be joined for nothing."""
+    return demo_frames(spark, sf_dir, country=True).product_daily()
 
 
 def _months(n: int, column: str = "session_day") -> str:
@@ -216,6 +217,20 @@ _A = f"SELECT DISTINCT user_id FROM life_brand WHERE brand_name = '{BRAND}'"
 _B = f"SELECT DISTINCT user_id FROM life_brand WHERE brand_name = '{OTHER}'"
 
 
+@query("seg_q7_user", user_sql(_count_sql(f"""
+WITH top AS (SELECT product_id FROM (SELECT l_partkey + 1 AS product_id, count(*) AS n FROM lineitem GROUP BY 1
+             ORDER BY n DESC, product_id LIMIT 5)),
+spender AS (SELECT user_id FROM {_DAY_BRAND} GROUP BY user_id HAVING sum(items) >= 2)
+SELECT DISTINCT lines.user_id FROM lines JOIN spender USING (user_id) WHERE product_id IN (SELECT product_id FROM top)""")))
+def seg_q7_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users with two items of a brand over all their days who bought a product of the
+    list on any day. The list is by lines, so it needs no product table."""
+    top = (demo.table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") + 1).alias("product_id"))
+           .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "product_id").limit(5))
+    ua = demo_frames(spark, sf_dir).user_aggregates(total=False)
+    return _answer(segment(ua).bought(BRAND, min_items=2).per_user().bought_one_of(top))
+
+
 @query("seg_set_ops", user_sql(f"""
 SELECT user_id, 'both' AS part FROM (({_A}) INTERSECT ({_B}))
 UNION ALL SELECT user_id, 'first only' FROM (({_A}) EXCEPT ({_B}))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clientele.functions.dates import as_date, months_before
+from clientele.functions.dates import as_date, months_before, utc_ntz
 from clientele.operators import products as prod, users as usr
 from clientele.operators.segments import segment
 from clientele.operators.sessionize import session_table
@@ -23,12 +23,12 @@ from clientele.streaming import daily as stream
 
 
 @query("src_csv_users", demo_sql("""
-SELECT id, first_name, last_name, gender, age, state, country, email FROM users"""))
+SELECT id, first_name, last_name, gender, age, state, NULL AS street_address, NULL AS postal_code, NULL AS city, country,
+       email, NULL AS created_at FROM users"""))
 def src_csv_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "users-csv")
     tables.write_csv(demo.users(spark, sf_dir), path)
-    return tables.read_csv(spark, f"{path}/part-*.csv", USERS).select(
-        "id", "first_name", "last_name", "gender", "age", "state", "country", "email")
+    return tables.read_csv(spark, f"{path}/part-*.csv", USERS)
 
 
 @query("src_csv_products", demo_sql("""
@@ -56,15 +56,15 @@ def sample_corpus_load(spark: SparkSession, sf_dir: str) -> DataFrame:
 GRAIN = "YEAR"      # the provided tables hold a handful of rows per day
 
 
-def _build(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _build(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return build(spark, demo.users(spark, sf_dir), demo.products(spark, sf_dir), demo.session_events(spark, sf_dir),
-                 scratch_dir(spark, "tables"), GRAIN)
+                 scratch_dir(spark, "tables"), GRAIN, [table])[table]
 
 
 @query("stored_user_aggregates", SQL["user_aggregates"])
 def stored_user_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tables written and read step by step, from the nested events on."""
-    return _build(spark, sf_dir)["user_aggregates"].select(
+    return _build(spark, sf_dir, "user_aggregates").select(
         "user_id", "age", "gender", "country", "total_purchased_items", F.round("total_spend", 2).alias("total_spend"),
         "first_purchase_date", "last_purchase_date", "session_day", "daily_purchased_items",
         F.round("daily_spend", 2).alias("daily_spend"), brands_text(usr.DAILY_ARRAY).alias("daily_brands"),
@@ -73,7 +73,7 @@ def stored_user_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stored_product_aggregates", SQL["product_aggregates"])
 def stored_product_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pa = _build(spark, sf_dir)["product_aggregates"].drop(PARTITION)
+    pa = _build(spark, sf_dir, "product_aggregates").drop(PARTITION)
     return (pa.withColumn("product_total_spend", F.round("product_total_spend", 2))
               .withColumn("daily_product_spend", F.round("daily_product_spend", 2)))
 
@@ -82,7 +82,7 @@ def stored_product_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stored_seg_q6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The question over the stored table: the filter on the partition column
     opens only the folders of the last year."""
-    ua = _build(spark, sf_dir)["user_aggregates"]
+    ua = _build(spark, sf_dir, "user_aggregates")
     recent = stored_days(ua, months_before(demo.AS_OF, 12), as_date(demo.AS_OF), GRAIN)
     return _answer(segment(recent).bought(BRAND, min_items=2))
 
@@ -123,36 +123,72 @@ def sink_replace_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(tables.read_table(spark, path))
 
 
-# ------------------------------------------------------------------- streams
-# A window comes out once the watermark (newest event - 1 hour) has passed it.
+ONE_DAY = "2000-06-01"
+
+
+@query("sink_replace_one_day", product_sql(f"""
+SELECT country, count(*) AS n_rows, CAST(sum(daily_product_purchased_items
+         + CASE WHEN CAST(session_day AS DATE) = DATE '{ONE_DAY}' THEN 1 ELSE 0 END) AS BIGINT) AS items
+FROM product_daily GROUP BY country"""))
+def sink_replace_one_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One day of a year is replaced; the other days of that year stay."""
+    path = scratch_dir(spark, "replace-one")
+    tables.write_table(_daily(spark, sf_dir), path, PARTITION)
+    day = tables.read_table(spark, path).where(F.to_date("session_day") == F.lit(ONE_DAY).cast("date"))
+    more = day.withColumn("daily_product_purchased_items", F.col("daily_product_purchased_items") + 1)
+    copy = scratch_dir(spark, "replace-one-copy")
+    tables.write_table(more, copy)
+    tables.replace_days(tables.read_table(spark, copy), path, PARTITION)
+    return _summary(tables.read_table(spark, path))
+
+
+FIRST_DAY, LAST_DAY, ADDED_DAY = "2000-01-01", "2000-02-29", "2000-03-01"
+
 
-_CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+@query("stored_by_day", product_sql(f"""
+SELECT country, count(*) AS n_rows, CAST(sum(daily_product_purchased_items) AS BIGINT) AS items FROM product_daily
+WHERE CAST(session_day AS DATE) BETWEEN DATE '{FIRST_DAY}' AND DATE '{ADDED_DAY}' GROUP BY country"""))
+def stored_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two months stored by day from the events on; then one more day is added, twice."""
+    path = scratch_dir(spark, "by-day")
+    raw = demo.session_events(spark, sf_dir)
+    day = F.to_date("session_created_at")
+    build(spark, demo.users(spark, sf_dir), demo.products(spark, sf_dir), raw.where(day.between(FIRST_DAY, LAST_DAY)), path,
+          wanted=["product_daily"])
+    added = demo_frames(spark, sf_dir, country=True).product_daily().where(F.to_date("session_day") == ADDED_DAY)
+    for _ in range(2):
+        tables.replace_days(added.withColumn(PARTITION, period_of(F.col("session_day"))), f"{path}/product_daily", PARTITION)
+    return _summary(tables.read_table(spark, f"{path}/product_daily"))
+
+
+# ------------------------------------------------------------------- streams
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # a pattern, because a stream cannot start from the path of one single file
-    return stream.read_events(spark, f"{sf_dir}/events.parquet*")
+    # a pattern, because a stream cannot start from the path of one single file; it fits that name only
+    return stream.read_events(spark, f"{sf_dir}/event[s].parquet")
 
 
 def _day_sql(key: str, only: str = "TRUE") -> str:
     return f"""
 SELECT {key}, date_trunc('day', ts)::TIMESTAMP AS day, count(*) AS n_events,
        round(CAST(sum(CAST(value AS DECIMAL(38,9))) AS DOUBLE), 2) AS total
-FROM events WHERE {only} GROUP BY 1, 2
-HAVING date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events WHERE {only})"""
+FROM events WHERE {only} GROUP BY 1, 2"""
+
+
+def _stream_daily(rows: DataFrame, key: str) -> DataFrame:
+    parts = stream.run_batches(rows, lambda batch: stream.daily_parts(batch, [key]), f"{key}-daily")
+    return stream.daily_totals(parts, [key]).withColumn("total", F.round("total", 2))
 
 
 @query("stream_user_daily", _day_sql("user_id", "event_type = 'purchase'"))
 def stream_user_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bought = _events(spark, sf_dir).where(F.col("event_type") == "purchase")
-    out = stream.run_to_table(stream.stream_daily(bought, ["user_id"]), "user-daily")
-    return out.withColumn("total", F.round("total", 2))
+    return _stream_daily(_events(spark, sf_dir).where(F.col("event_type") == "purchase"), "user_id")
 
 
 @query("stream_type_daily", _day_sql("event_type"))
 def stream_type_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stream.run_to_table(stream.stream_daily(_events(spark, sf_dir), ["event_type"]), "type-daily")
-    return out.withColumn("total", F.round("total", 2))
+    return _stream_daily(_events(spark, sf_dir), "event_type")
 
 
 _SESSIONS = """
@@ -171,16 +207,42 @@ def sessionize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_table(demo.table(spark, sf_dir, "events")).withColumn("total", F.round("total", 2))
 
 
-@query("stream_sessions", _SESSIONS + f"""
-SELECT user_id, session_start, session_end, n_events, total FROM sessions WHERE session_end <= {_CLOSED}""")
+@query("sessionize_nested", _SESSIONS + """
+SELECT user_id, session_start, n_events, total, types FROM sessions JOIN (
+  SELECT user_id, no, string_agg(event_type || ':' || CAST(event_id AS VARCHAR), ' ' ORDER BY ts, event_id) AS types
+  FROM numbered GROUP BY user_id, no) USING (user_id, no)""")
+def sessionize_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with their events as an array, here written out as text."""
+    found = session_table(demo.table(spark, sf_dir, "events"), fields=["ts", "event_id", "event_type", "value"])
+    words = F.transform("session", lambda e: F.concat(e["event_type"], F.lit(":"), e["event_id"].cast("string")))
+    return found.select("user_id", "session_start", "n_events", F.round("total", 2).alias("total"),
+                        F.array_join(words, " ").alias("types"))
+
+
+@query("stream_sessions", _SESSIONS + """
+SELECT user_id, session_start, session_end, n_events, total FROM sessions""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = stream.run_to_table(stream.stream_sessions(_events(spark, sf_dir)), "sessions")
-    return out.withColumn("total", F.round("total", 2))
+    parts = stream.run_batches(_events(spark, sf_dir), stream.session_parts, "sessions")
+    return stream.merge_sessions(parts).withColumn("total", F.round("total", 2))
+
+
+def _log_rows(events: DataFrame) -> DataFrame:
+    return events.select(F.col("event_id").alias("id"), "ts", "event_type", "user_id")
 
 
-@query("stream_qlog_sink", "SELECT event_id AS id, event_type, user_id FROM events")
+@query("stream_qlog_sink", "SELECT event_id AS id, ts, event_type, user_id FROM events")
 def stream_qlog_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every log row is delivered twice and stored once."""
-    rows = _events(spark, sf_dir).select(F.col("event_id").alias("id"), "ts", "event_type", "user_id")
-    twice = rows.unionByName(rows)
-    return stream.run_to_table(stream.dedupe_log(twice), "query-log").drop("ts")
+    rows = _log_rows(_events(spark, sf_dir))
+    return stream.log_sink(rows.unionByName(rows), "query-log").withColumn("ts", utc_ntz(F.col("ts")))
+
+
+@query("stream_qlog_late", "SELECT event_id AS id, ts, event_type, user_id FROM events")
+def stream_qlog_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three deliveries, newest rows first: what comes days late is stored all the same."""
+    source, out = scratch_dir(spark, "late-in"), scratch_dir(spark, "late-log")
+    events = demo.table(spark, sf_dir, "events")
+    for part in ("ts >= '2024-01-20'", "ts >= '2024-01-10'", "true"):
+        events.where(part).write.mode("append").parquet(source)
+        stored = stream.log_sink(_log_rows(stream.read_events(spark, source)), "late", out)
+    return stored.withColumn("ts", utc_ntz(F.col("ts")))

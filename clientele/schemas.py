@@ -121,3 +121,8 @@ TABLE_COMMENTS = {
     "product_aggregates": "One row per product, day, country and traffic source. Use it for questions about "
                           "products, brands and categories.",
 }
+
+
+def of_table(name: str) -> T.StructType | None:
+    """The described schema of a stored table; None for intermediate ones."""
+    return {"events": EVENTS, "user_aggregates": USER_AGGREGATES, "product_aggregates": PRODUCT_AGGREGATES}.get(name)

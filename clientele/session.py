@@ -65,7 +65,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-_local_base: str | None = None      # temporary folder of a local session
+_local_base: tempfile.TemporaryDirectory | None = None      # of a local session; goes when Python ends
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -79,7 +79,9 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = _local_base = _local_base or tempfile.mkdtemp(prefix="clientele-")
+        _local_base = _local_base or tempfile.TemporaryDirectory(prefix="clientele-")
+        base = _local_base.name
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,15 +1,21 @@
-"""Incremental versions: daily sums, sessions and the log sink."""
+"""Incremental versions: daily sums, sessions and the log sink.
+
+A batch leaves partial results that are merged when the table is read. No state is
+kept between batches and no row is too late to count."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from clientele.functions.dates import utc_ntz, utc_timestamp
 from clientele.functions.money import numeric_sum
+from clientele.operators.corpus import store_new
+from clientele.operators.sessionize import session_table
 from clientele.session import scratch_dir
 
-WATERMARK = "1 hour"
-GAP = "30 minutes"
+GAP_MINUTES = 30
 
 RAW_EVENTS = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -27,35 +33,70 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType = RAW_EVENT
     return reader.parquet(path).withColumn("ts", utc_timestamp(F.col("ts")))
 
 
-def stream_daily(events: DataFrame, keys: list[str], value: str = "value", watermark: str = WATERMARK) -> DataFrame:
-    """Count and sum per keys and UTC day; a day comes out once it is closed."""
-    day = F.window("ts", "1 day")
-    return (events.withWatermark("ts", watermark).groupBy(*keys, day.alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_events"), numeric_sum(F.col(value)).alias("total"))
-            .select(*keys, utc_ntz(F.col("w.start")).alias("day"), "n_events", F.col("total").cast("double").alias("total")))
+def run_batches(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], name: str, out: str | None = None,
+                checkpoint: str | None = None) -> DataFrame:
+    """Reduce every batch of the stream with `partial`, store the result, and read all
+    results. Nothing waits for a watermark, so late rows and open days count.
+
+    A batch has a folder of its own that a repeated batch overwrites; with the same
+    `out` and `checkpoint` the next call goes on where this one stopped."""
+    spark = stream.sparkSession
+    out = out or scratch_dir(spark, name)
+    schema = partial(spark.createDataFrame([], stream.schema)).schema
+
+    def store(rows: DataFrame, number: int) -> None:
+        partial(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
+    _run(stream, store, checkpoint or f"{out}-checkpoint")
+    return spark.read.schema(schema).parquet(out).drop("batch")
 
-def stream_sessions(events: DataFrame, gap: str = GAP, watermark: str = WATERMARK) -> DataFrame:
-    """Sessions per user, closed by a pause longer than `gap`."""
-    return (events.withWatermark("ts", watermark).groupBy("user_id", F.session_window("ts", gap).alias("w"))
-            .agg(F.count(F.lit(1)).alias("n_events"), numeric_sum(F.col("value")).alias("total"))
-            .select("user_id", utc_ntz(F.col("w.start")).alias("session_start"),
-                    utc_ntz(F.col("w.end")).alias("session_end"), "n_events", F.col("total").cast("double").alias("total")))
 
+def _run(stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    (stream.writeStream.foreachBatch(store).trigger(availableNow=True)
+     .option("checkpointLocation", checkpoint).start().awaitTermination())
 
-def dedupe_log(rows: DataFrame, id_: str = "id", watermark: str = WATERMARK) -> DataFrame:
-    """First row per id; ids are forgotten once the watermark has passed them."""
-    return rows.withWatermark("ts", watermark).dropDuplicatesWithinWatermark([id_])
 
+def daily_parts(rows: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Count and sum per keys and UTC day of the rows of one batch."""
+    day = F.date_trunc("day", utc_ntz(F.col("ts"))).cast("timestamp_ntz")
+    return rows.groupBy(*keys, day.alias("day")).agg(
+        F.count(F.lit(1)).alias("n_events"), numeric_sum(F.col(value)).alias("total"))
 
-def run_to_table(stream: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Process everything available, append it to a table, and read the table.
 
-    The file sink commits each batch once; with the same `out` and `checkpoint`
-    the next call goes on where this one stopped."""
-    spark = stream.sparkSession
+def daily_totals(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Days put together from the parts of all batches."""
+    return parts.groupBy(*keys, "day").agg(F.sum("n_events").alias("n_events"), F.sum("total").cast("double").alias("total"))
+
+
+def session_parts(rows: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
+    """Sessions within one batch."""
+    return session_table(rows.withColumn("ts", utc_ntz(F.col("ts"))), gap_minutes).drop("session_no")
+
+
+def merge_sessions(parts: DataFrame) -> DataFrame:
+    """Sessions of a user whose pauses a later batch has filled become one; the end of
+    a part already includes the gap. Sorts the parts of a user, not the events."""
+    by_start = Window.partitionBy("user_id").orderBy("session_start", "session_end")
+    before = F.max("session_end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    new = (before.isNull() | (F.col("session_start") > before)).cast("long")
+    numbered = parts.withColumn("_new", new).withColumn("_no", F.sum("_new").over(by_start))
+    return numbered.groupBy("user_id", "_no").agg(
+        F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
+        F.sum("n_events").alias("n_events"), F.sum(F.col("total").cast("decimal(38,9)")).cast("double").alias("total")).drop("_no")
+
+
+def log_sink(rows: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None,
+             id_: str = "id") -> DataFrame:
+    """Store every log row once, however late it or its copies come, and read the table.
+
+    A batch is held against the ids that are stored: only that column is read."""
+    spark = rows.sparkSession
     out = out or scratch_dir(spark, name)
-    checkpoint = checkpoint or f"{out}-checkpoint"
-    (stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
-     .option("checkpointLocation", checkpoint).start(out).awaitTermination())
-    return spark.read.schema(stream.schema).parquet(out)
+
+    def store(batch: DataFrame, number: int) -> None:
+        store_new(batch, out, id_, ["ts"])
+
+    spark.createDataFrame([], rows.schema).write.mode("append").parquet(out)
+    _run(rows, store, checkpoint or f"{out}-checkpoint")
+    return spark.read.schema(rows.schema).parquet(out)

@@ -1,6 +1,9 @@
 """Retrieval, catalogue, validation, log and result shaping on small frames."""
 
 import json
+import os
+import subprocess
+import sys
 from types import SimpleNamespace
 
 import pytest
@@ -14,6 +17,7 @@ from clientele.operators.similarity import similar
 from clientele.plans.retrieval_queries import knn_examples, knn_lsh
 from clientele.schemas import USER_AGGREGATES
 from clientele.session import scratch_dir
+from clientele.sources import tables
 from clientele.streaming import daily
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -28,7 +32,7 @@ def vectors(spark):
     return asked, spark.createDataFrame(corpus_rows, VECTORS)
 
 
-@pytest.mark.parametrize("options", [{}, {"query_rows": 0, "block_rows": 2}])
+@pytest.mark.parametrize("options", [{}, {"strategy": "blocks", "block_rows": 2}])
 def test_similar(vectors, options):
     def ids(**more):
         return [r.id for r in similar(*vectors, **{"k": 3, **more}, **options).orderBy("rank").collect()]
@@ -43,7 +47,7 @@ def test_similar(vectors, options):
 def test_hot_group_of_copies(spark):
     copies = spark.range(3000).select(F.col("id"), F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>").alias("embedding"))
     asked = copies.where("id < 2").withColumnRenamed("id", "qid")
-    found = similar(asked, copies, 3, query_rows=0, block_rows=500).orderBy("qid", "rank").collect()
+    found = similar(asked, copies, 3, strategy="blocks", block_rows=500).orderBy("qid", "rank").collect()
     assert [r.id for r in found] == [0, 1, 2, 0, 1, 2]
 
 
@@ -113,7 +117,7 @@ def test_chart(spark):
     rows = rows.withColumn("d", F.to_date("d"))
     chart, is_chart = shape.to_chart(rows)
     assert is_chart and chart.columns == ["d", "a / x", "b / y"] and tuple(chart.first())[1:] == (0.5, 4.0)
-    tall, _ = shape.to_chart(rows, max_columns=1)
+    tall, _ = shape.to_chart(rows, wide=False)
     assert sorted(r.v for r in tall.collect()) == [0.5, 4.0]
     assert shape.result_kind(rows.limit(1)).first().kind == "audience"
     assert shape.result_kind(rows.select("d", "v")).first().kind == "series"
@@ -157,15 +161,57 @@ def test_strip_fences(spark):
     assert spark.range(1).select(strip_fences(F.lit("```sql SELECT nosql ```")).alias("t")).first().t == " SELECT no "
 
 
-def test_sessions_of_batch_and_stream_agree(spark, tmp_path):
-    raw = spark.read.parquet(f"{SF_DIR}/events.parquet")
-    streamed = daily.run_to_table(daily.stream_sessions(daily.read_events(spark, f"{SF_DIR}/events.parquet*")), "s",
-                                  str(tmp_path / "out"))
+def test_sessions_of_batches_become_those_of_all_events(spark, tmp_path):
+    """Rows in three deliveries, the middle of the month last: sessions close over."""
+    raw, source, out = spark.read.parquet(f"{SF_DIR}/events.parquet"), str(tmp_path / "in"), str(tmp_path / "out")
+    raw = raw.withColumn("user_id", F.col("user_id") % 3)
     columns = ["user_id", "session_start", "session_end", "n_events"]
-    batch = session_table(raw).select(*columns)
-    closed = raw.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("w")).scalar()
-    assert streamed.select(*columns).exceptAll(batch).count() == 0
-    assert streamed.count() == batch.where(F.col("session_end") <= closed).count()
+    for part in ("event_id % 3 = 0", "event_id % 3 = 2", "event_id % 3 = 1"):
+        raw.where(part).write.mode("append").parquet(source)
+        parts = daily.run_batches(daily.read_events(spark, source), daily.session_parts, "s", out)
+    merged, whole = daily.merge_sessions(parts).select(*columns), session_table(raw).select(*columns)
+    assert merged.exceptAll(whole).count() == 0 and merged.count() == whole.count()
+    days = daily.daily_totals(daily.run_batches(daily.read_events(spark, source), lambda r: daily.daily_parts(r, ["event_type"]), "d",
+                                                str(tmp_path / "days")), ["event_type"])
+    assert days.agg(F.sum("n_events")).first()[0] == raw.count()
+
+
+def test_replacing_a_day_leaves_its_neighbours(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("2000-01-01", 1), ("2000-06-01", 2), ("2001-01-01", 3)], "d string, v int").select(
+        F.to_timestamp("d").alias("session_day"), "v", F.trunc(F.to_date("d"), "YEAR").alias("session_date"))
+    tables.write_table(rows, path, "session_date")
+    for _ in range(2):
+        tables.replace_days(rows.where("v = 2").withColumn("v", F.lit(9)), path, "session_date")
+    assert sorted(r.v for r in tables.read_table(spark, path).collect()) == [1, 3, 9]
+
+
+def test_store_appends_only_new_keys(spark, tmp_path):
+    path = str(tmp_path / "s")
+    frame = lambda *rows: spark.createDataFrame(rows, "id string, n int")
+    corpus.store_new(frame(("a", 2), ("a", 1)), path, "id", ["n"])
+    out = corpus.store_new(frame(("a", 0), ("b", 5), ("b", 4)), path, "id", ["n"])
+    assert sorted(map(tuple, out.collect())) == [("a", 1), ("b", 4)]
+
+
+def test_numbers_of_any_kind_make_a_chart(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 3)], "p string, v int").select(
+        F.to_date(F.lit("2024-01-01")).alias("d"), "p", "v", F.lit("1.50").cast("decimal(5,2)").alias("w"))
+    chart, _ = shape.to_chart(shape.coerce_types(rows).drop("w"))
+    assert chart.columns == ["d", "a", "b"] and tuple(chart.first())[1:] == (1.0, 3.0)
+    wide, single = shape.to_chart(shape.coerce_types(rows))
+    assert not single and tuple(wide.first())[1:] == (1.0, 1.5, 3.0, 1.5)
+
+
+def test_workers_get_the_package(tmp_path):
+    """A query from another working folder, in a process of its own."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (f"import sys; sys.path.insert(0, {root!r})\nfrom pyspark.sql import SparkSession\n"
+            "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+            f"import __spark_entry__ as e\nprint('rows', e.queries()['knn_examples'](s, {SF_DIR!r}).count())")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows" in done.stdout, done.stderr[-2000:]
 
 
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
@@ -175,7 +221,7 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
 
     def run():
         rows = daily.read_events(spark, source).select(F.col("event_id").alias("id"), "ts")
-        return daily.run_to_table(daily.dedupe_log(rows), "log", out).count()
+        return daily.log_sink(rows, "log", out).count()
 
     raw.where(F.col("event_id") <= half).write.parquet(source)
     first = run()
