@@ -25,7 +25,7 @@ from clientele.llm.labelled import sample_by_class
 from clientele.llm.quality import descend, prior_shift
 
 SYMBOLS = 64
-TRAIN_ROWS = 1500              # labelled rows of each domain that training reads at most
+TRAIN_ROWS = 1000              # labelled rows of each domain that training reads at most
 STEPS, TOLERANCE = 20, 1e-3    # most steps; largest relative miss of a domain's total
 BATCH = 1 << 20
 

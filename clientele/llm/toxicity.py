@@ -137,20 +137,34 @@ def _continuations(gram: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray
 
 
 def estimate(gram: np.ndarray, counts: list[np.ndarray]) -> Model:
-    """The model from the counts of both classes; at most 64^4 grams."""
+    """The model from the counts of both classes, grams sorted; at most 64^4 of them. The
+    table is filled for one first symbol at a time."""
     three, n = _continuations(gram, 4)
     two, m = _continuations(three, 3)
     one, k = _continuations(two, 2)
     letters = np.full(SYMBOLS, 0.5)
     letters[one] += k
     shared = _level(two, m.astype(float), letters / letters.sum())       # both classes together
-    logs = []
+    contexts, sides = SYMBOLS ** 3, []
     for count in counts:
         has = count > 0
         own, n = _continuations(gram[has], 4)
-        middle = _level(own, n.astype(float), shared)
-        logs.append(np.log(_level(gram[has], count[has].astype(float), middle)))
-    return Model((logs[1] - logs[0]).astype(np.float16), np.array([1.0, 1.0, 0.0]))
+        total = np.bincount(gram // SYMBOLS, count, contexts)
+        given = np.bincount(gram // SYMBOLS, np.minimum(count, DISCOUNT), contexts)
+        back = np.where(total > 0, given / np.maximum(total, 1), 1.0).astype(np.float32)
+        sides.append((_level(own, n.astype(float), shared).reshape(-1, SYMBOLS), back,
+                      np.maximum(count - DISCOUNT, 0) / np.maximum(total[gram // SYMBOLS], 1)))
+    ratio, step = np.empty(SYMBOLS ** 4, np.float16), SYMBOLS ** 3
+    borders = np.searchsorted(gram, np.arange(SYMBOLS + 1) * step)
+    for first in range(SYMBOLS):
+        here, logs = slice(borders[first], borders[first + 1]), []
+        for middle, back, seen in sides:
+            # the level below does not know the first symbol of the context
+            p = (back[first * SYMBOLS ** 2:(first + 1) * SYMBOLS ** 2, None] * middle).reshape(-1)
+            p[gram[here] - first * step] += seen[here]
+            logs.append(np.log(p))
+        ratio[first * step:(first + 1) * step] = logs[1] - logs[0]
+    return Model(ratio, np.array([1.0, 1.0, 0.0]))
 
 
 def calibrate(ratios: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> np.ndarray:
