@@ -92,16 +92,19 @@ def _texts(rows: DataFrame, on: list[str], order: list[str], text: Column, sep:
 
 def table_descriptions(tables: DataFrame, fields: DataFrame, primary: DataFrame, foreign: DataFrame) -> DataFrame:
     """(project_id, owner, table_name, detailed_description) for every table."""
-    owned = TABLE_KEY
+    def owned(rows: DataFrame) -> list[str]:
+        # keys listed for a single project may come without its name
+        return [c for c in TABLE_KEY if c in rows.columns]
+
     column = F.concat(F.lit("- "), "field_path", F.lit(" ("), "data_type", F.lit(") - "),
                       F.coalesce("description", F.lit("")))
     reference = F.concat(
         F.lit(f"{FK_INDENT}Column "), "column_name", F.lit(" is equal to column "), "r_column_name",
         F.lit(" in table "), "r_owner", F.lit("."), "r_table_name", F.lit(FK_INDENT))
-    cols = _texts(fields, owned, ["column_name", "field_path"], column, COLUMN_SEPARATOR, "_columns")
-    pks = _texts(primary, owned, ["column_name"], F.col("column_name"), ",", "_pk")
-    fks = _texts(foreign, owned, ["column_name", "r_owner", "r_table_name", "r_column_name"], reference, ",", "_fk")
-    joined = tables.join(cols, owned, "left").join(pks, owned, "left").join(fks, owned, "left")
+    cols = _texts(fields, owned(fields), ["column_name", "field_path"], column, COLUMN_SEPARATOR, "_columns")
+    pks = _texts(primary, owned(primary), ["column_name"], F.col("column_name"), ",", "_pk")
+    fks = _texts(foreign, owned(foreign), ["column_name", "r_owner", "r_table_name", "r_column_name"], reference, ",", "_fk")
+    joined = tables.join(cols, owned(cols), "left").join(pks, owned(pks), "left").join(fks, owned(fks), "left")
     full = F.concat_ws(".", "project_id", "owner", "table_name")
     text = F.concat(
         F.lit("\n  Table: `"), full, F.lit("`\n  Owner: "), F.col("owner"),
