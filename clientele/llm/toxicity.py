@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -91,9 +92,19 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    ratio: np.ndarray          # log-likelihood ratio of the last symbol of every gram
+    """Travels as its counts; the table of ratios is filled where it is used first."""
+    gram: np.ndarray           # sorted; at most 64^4
+    counts: list[np.ndarray]   # of ordinary and of toxic documents
     weights: np.ndarray        # of the logistic curve: passage, document, constant
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "ratio"}
+
+    @cached_property
+    def ratio(self) -> np.ndarray:
+        """Log-likelihood ratio of the last symbol of every gram."""
+        return estimate(self.gram, self.counts)
+
     def ratios(self, texts) -> np.ndarray:
         """(passage, document): highest mean ratio of PASSAGE letters in a row, and the
         mean over the whole text."""
@@ -136,9 +147,8 @@ def _continuations(gram: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray
     return np.unique(gram % SYMBOLS ** (order - 1), return_counts=True)
 
 
-def estimate(gram: np.ndarray, counts: list[np.ndarray]) -> Model:
-    """The model from the counts of both classes, grams sorted; at most 64^4 of them. The
-    table is filled for one first symbol at a time."""
+def estimate(gram: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    """Ratios from the counts of both classes, grams sorted; one first symbol at a time."""
     three, n = _continuations(gram, 4)
     two, m = _continuations(three, 3)
     one, k = _continuations(two, 2)
@@ -164,7 +174,7 @@ def estimate(gram: np.ndarray, counts: list[np.ndarray]) -> Model:
             p[gram[here] - first * step] += seen[here]
             logs.append(np.log(p))
         ratio[first * step:(first + 1) * step] = logs[1] - logs[0]
-    return Model(ratio, np.array([1.0, 1.0, 0.0]))
+    return ratio
 
 
 def calibrate(ratios: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> np.ndarray:
@@ -198,16 +208,16 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
     docs = docs.select("doc_id", "text")
     rows = count_grams(with_labels(docs, labels)).toPandas()           # FOLDS x 64^4 rows at most
     gram, at = np.unique(rows["gram"].to_numpy(np.int64), return_inverse=True)
-    counts = np.zeros((FOLDS, 2, len(gram)))
+    counts = np.zeros((FOLDS, 2, len(gram)), np.int64)
     for side, name in enumerate(("n0", "n1")):
         counts[rows["fold"].to_numpy(), side, at] = rows[name].to_numpy()
     whole = counts.sum(axis=0)
-    sent = docs.sparkSession.sparkContext.broadcast([estimate(gram, list(whole - counts[f])).ratio for f in range(FOLDS)])
+    sent = docs.sparkSession.sparkContext.broadcast([Model(gram, list(whole - counts[f]), np.zeros(3)) for f in range(FOLDS)])
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for f, own in batch.groupby("fold"):
-                found = Model(sent.value[f], np.zeros(3)).ratios(own["text"].tolist())
+                found = sent.value[f].ratios(own["text"].tolist())
                 yield pd.DataFrame({"doc_id": own["doc_id"], "label": own["label"], "a": found[:, 0], "b": found[:, 1]})
 
     chosen = sample_by_class(labels, [0, 1], CALIBRATION_ROWS)          # bounded
@@ -215,10 +225,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
         rate, "doc_id long, label int, a double, b double").toPandas().sort_values(["doc_id", "a", "b"])
     sent.unpersist()
     shares = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    model = estimate(gram, list(whole))
-    model.weights = calibrate(frame[["a", "b"]].to_numpy(np.float64), frame["label"].to_numpy(np.int64),
-                              np.array([shares.get(0, 0), shares.get(1, 0)], np.float64))
-    return model
+    weights = calibrate(frame[["a", "b"]].to_numpy(np.float64), frame["label"].to_numpy(np.int64),
+                        np.array([shares.get(0, 0), shares.get(1, 0)], np.float64))
+    return Model(gram, list(whole), weights)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
