@@ -214,34 +214,76 @@ def _cell_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from solve(rest)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, table: DataFrame) -> DataFrame:
-    """Links (a, b) among the pairs, decided on the whole shingle sets. nodes: (node,
-    row); table: (row, text)."""
+def _sent(small: DataFrame) -> DataFrame:
+    """A list of ids goes to all tasks if it has SENT_ROWS rows at most; a longer one
+    meets the other side in a shuffle. Both give the same rows."""
+    return F.broadcast(small) if small.limit(SENT_ROWS + 1).count() <= SENT_ROWS else small
+
+
+def _texts_of(pairs: DataFrame, nodes: DataFrame, table: DataFrame) -> DataFrame:
     need = nodes.join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node")
-    small = need.limit(SENT_ROWS + 1).count() <= SENT_ROWS
-    texts = table.join(F.broadcast(need) if small else need, "row").select("node", "text")
+    return table.join(_sent(need), "row").select("node", "text")
+
+
+def _against_heads(pairs: DataFrame, data: DataFrame, column: str, test) -> DataFrame:
+    """Pairs (a, b) whose data(node, column) pass `test`, a generator over batches of
+    (a, role, b, column) in which the row of a head (role 0) comes before its members.
+    A head with many members is dealt into copies, so each side travels once per pair
+    at most and no task holds more than a head and a batch."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / PIVOT_MEMBERS).alias("copies"))
-    heads = degree.join(texts.withColumnRenamed("node", "a"), "a").select(
+    heads = degree.join(data.withColumnRenamed("node", "a"), "a").select(
         "a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.lit(0).alias("role"),
-        F.col("a").alias("b"), "text")
+        F.col("a").alias("b"), column)
     members = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), "copies").alias("copy")).join(
-        texts.withColumnRenamed("node", "b"), "b").select("a", "copy", F.lit(1).alias("role"), "b", "text")
+        data.withColumnRenamed("node", "b"), "b").select("a", "copy", F.lit(1).alias("role"), "b", column)
+    return heads.unionByName(members).repartition("a", "copy").sortWithinPartitions("a", "copy", "role").select(
+        "a", "role", "b", column).mapInPandas(test, "a long, b long")
+
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _tested(read, enough):
+    """A test for _against_heads: `read` makes arrays of distinct numbers of a batch."""
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = None
         for batch in batches:
             links = []
-            for a, role, b, own in zip(batch["a"], batch["role"], batch["b"], shingle_sets(batch["text"].tolist()), strict=True):
+            for a, role, b, own in zip(batch["a"], batch["role"], batch["b"], read(batch.iloc[:, 3]), strict=True):
                 if role == 0:
                     head = own
-                    continue
-                shared = len(np.intersect1d(head, own, assume_unique=True))
-                if OF * shared >= SHARED * (len(head) + len(own) - shared):
+                elif enough(len(np.intersect1d(head, own, assume_unique=True)), len(head), len(own)):
                     links.append((a, b))
             yield pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+    return test
 
-    return heads.unionByName(members).repartition("a", "copy").sortWithinPartitions("a", "copy", "role").select(
-        "a", "role", "b", "text").mapInPandas(check, "a long, b long")
+
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The point of a text in 2^16 groups, as the sorted groups of its shingles."""
+    for batch in batches:
+        yield pd.DataFrame({"node": batch["node"], "sketch": [
+            np.sort((s >> _U(48)).astype("<u2")).tobytes() for s in shingle_sets(batch["text"].tolist())]})
+
+
+def _numbered(column) -> Iterator[np.ndarray]:
+    """Groups of sketches with the number of the shingle in its group: what two of them
+    have in common is the sum of the smaller counts."""
+    for data in column:
+        group = np.frombuffer(data, "<u2").astype(np.int64)
+        start = np.append(True, group[1:] != group[:-1]) if len(group) else np.zeros(0, bool)
+        at = np.arange(len(group))
+        yield group << 32 | (at - np.maximum.accumulate(np.where(start, at, 0)))
+
+
+def _linked(shared: int, n_a: int, n_b: int) -> bool:
+    return OF * shared >= SHARED * (n_a + n_b - shared)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, table: DataFrame, stored, name: str) -> DataFrame:
+    """Links (a, b) among the pairs. The bound is taken again in 2^16 groups, on sketches
+    much smaller than the texts; what is left is decided on the whole shingle sets.
+    nodes: (node, row); table: (row, text)."""
+    sketches = stored(_texts_of(pairs, nodes, table).mapInPandas(_sketches, "node long, sketch binary"), f"{name}-sketches")
+    near = stored(_against_heads(pairs, sketches, "sketch", _tested(_numbered, _linked)), f"{name}-near")
+    exact = _tested(lambda texts: shingle_sets(texts.tolist()), _linked)
+    return stored(_against_heads(near, _texts_of(near, nodes, table), "text", exact), name)
 
 
 def joined(docs: DataFrame, folder: str) -> DataFrame:
@@ -263,10 +305,11 @@ def joined(docs: DataFrame, folder: str) -> DataFrame:
     table = stored(profile(docs, frequent_shingles(docs)), "table")
     own = table.select("j.row", "j.node", "j.n", "doc_id").where("n > 0")
     first = own.groupBy("node").agg(F.min("row").alias("row"), F.min("doc_id").alias("name"))
-    nodes = stored(first.join(table.select("j.row", "j.n", "j.keys", "j.counts"), "row"), "nodes")
+    nodes = stored(table.select("j.row", "j.n", "j.counts").join(_sent(stored(first, "first")), "row"), "nodes")
     points = nodes.select(F.col("node").alias("id"), "n", "counts")
     texts = table.select("j.row", "text")
-    cells = nodes.select(F.explode("keys").alias("key"), F.col("node").alias("id"), "n")
+    cells = table.select("j.row", "j.n", "j.node", "j.keys").join(_sent(nodes.select("row")), "row").select(
+        F.explode("keys").alias("key"), F.col("node").alias("id"), "n")
     shared = stored(cells.repartition("key").sortWithinPartitions("key", "id").mapInPandas(
         _shared_keys, "key long, id long, n int, head long, head_n int"), "shared")
 
@@ -274,7 +317,7 @@ def joined(docs: DataFrame, folder: str) -> DataFrame:
     fits = (OF * F.least("n", "head_n") >= SHARED * F.greatest("n", "head_n")) & (F.col("id") != F.col("head"))
     tried = stored(bounded(shared.where(fits).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), points),
                    "tried")
-    links = stored(verified(tried, nodes.select("node", "row"), texts), "links")
+    links = verified(tried, nodes.select("node", "row"), texts, stored, "links")
     part = stored(components(links, "join-parts"), "parts")
 
     # second round: cells with members that are not connected yet
@@ -293,7 +336,7 @@ def joined(docs: DataFrame, folder: str) -> DataFrame:
         _cell_pairs, "a long, b long").distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     further = stored(found.join(known, ["a", "b"], "left_anti"), "further")
-    more = stored(verified(further, nodes.select("node", "row"), texts), "more")
+    more = verified(further, nodes.select("node", "row"), texts, stored, "more")
     ends = more.join(part.toDF("a", "pa"), "a", "left").join(part.toDF("b", "pb"), "b", "left").select(
         F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
     whole = components(ends, "join-whole")
