@@ -171,7 +171,8 @@ def _joined(one: Tree, two: Tree, same: bool, limit: float) -> pd.DataFrame:
     shift = 0 if same else len(one.ids)
     ids = one.ids if same else np.concatenate([one.ids, two.ids])
     w1, w2 = one.weights.astype(float), two.weights.astype(float)
-    n = np.bincount(i, w2[j], len(ids)) + np.bincount(j + shift, w1[i], len(ids))
+    # without a link bincount would count in whole numbers
+    n = np.bincount(i, w2[j], len(ids)).astype(float) + np.bincount(j + shift, w1[i], len(ids))
     for (a0, a1), (b0, b1) in zip(p, q, strict=True):
         n[a0:a1] += w2[b0:b1].sum()
         n[b0 + shift:b1 + shift] += w1[a0:a1].sum()
