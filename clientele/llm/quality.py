@@ -25,7 +25,7 @@ from clientele.llm.labelled import clean_labels, held_out, sample_by_class
 BUCKETS = 1 << 17
 DIMENSIONS = 8
 NGRAMS = (2, 3, 4)
-TRAIN_ROWS = 2500            # labelled rows of each class that training reads at most
+TRAIN_ROWS = 1500            # labelled rows of each class that training reads at most
 EPOCHS = 5
 RATE = 0.6
 BATCH = 1 << 21              # characters scored together
