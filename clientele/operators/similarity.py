@@ -3,8 +3,8 @@
 Exact, in two ways. Both score blocks of vectors in numpy and keep k rows per
 query and block; pairs are never listed.
 
-* strategy "scan": few queries (QUERY_ROWS at most, else an error); their matrix is
-  shipped to all tasks and the corpus is scanned where it lies - no shuffle of it;
+* strategy "scan": the query matrix is shipped to all tasks in bundles of about
+  QUERY_ROWS rows and the corpus is scanned once per bundle where it lies - no shuffle;
 * strategy "blocks": any number of queries; both sides are hashed into blocks of about BLOCK_ROWS rows and
   every query block meets every corpus block in its own task. Equality filters
   that apply before ranking become part of the block key, and a group that is
@@ -121,10 +121,13 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | No
         asked, stored = asked.where(F.col("_g").isNotNull()), stored.where(F.col("_g").isNotNull())
     options = dict(k=k, metric=metric, threshold=threshold, exclude_same_id=exclude_same_id)
     if strategy == "scan":
-        few = asked.limit(query_rows + 1).toArrow()
-        if few.num_rows > query_rows:
-            raise ValueError(f"more than {query_rows} queries: use strategy='blocks'")
-        found = _scan(few, stored, schema, options, bool(pre_filter))
+        # the same plan for each bundle of queries; one bundle at a time passes through the driver
+        bundles = max(1, -(-asked.count() // query_rows))
+        found = None
+        for i in range(bundles):
+            some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(bundles)) == i).toArrow()
+            part = _scan(some, stored, schema, options, bool(pre_filter))
+            found = part if found is None else found.unionByName(part)
     else:
         found = _blocks(asked, stored, schema, options, bool(pre_filter), block_rows)
     top = _ranked(found, k)

@@ -9,11 +9,12 @@ from clientele.functions.dates import as_date, months_before, utc_ntz
 from clientele.operators import products as prod, users as usr
 from clientele.operators.segments import segment
 from clientele.operators.sessionize import session_table
+from clientele.plans import questions as q
 from clientele.plans.dataset import PARTITION, build, demo_frames, period_of, stored_days
 from clientele.plans.dataset_queries import brands_text
 from clientele.plans.reference_sql import demo_sql, product_sql
 from clientele.plans.registry import SQL, query
-from clientele.plans.segment_queries import BRAND, _answer
+from clientele.plans.segment_queries import BRAND, COUNTRY, CUT_DAY, OTHER, _answer
 from clientele.schemas import PRODUCTS, USERS
 from clientele.session import scratch_dir
 from clientele.sources import corpus_files, demo, tables
@@ -78,13 +79,69 @@ def stored_product_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
               .withColumn("daily_product_spend", F.round("daily_product_spend", 2)))
 
 
+_BUILT: dict[tuple[str, str], str] = {}      # (application, tables): where the questions' tables are
+
+
+def _stored(spark: SparkSession, sf_dir: str, months: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Stored user_aggregates and product_daily, built once per application: users ask
+    many questions of tables that are there already. With `months` only the folders of
+    the last months are opened."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        path = scratch_dir(spark, "questions")
+        build(spark, demo.users(spark, sf_dir), demo.products(spark, sf_dir), demo.session_events(spark, sf_dir), path,
+              GRAIN, ["user_aggregates", "product_daily"])
+        _BUILT[key] = path
+    ua, daily = (tables.read_table(spark, f"{_BUILT[key]}/{name}") for name in ("user_aggregates", "product_daily"))
+    if months is None:
+        return ua, daily
+    since, until = months_before(demo.AS_OF, months), as_date(demo.AS_OF)
+    return stored_days(ua, since, until, GRAIN), stored_days(daily, since, until, GRAIN)
+
+
+@query("stored_seg_q0", SQL["seg_q0"])
+def stored_seg_q0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prod.top_products(_stored(spark, sf_dir, 12)[1], "product_id", 5)
+
+
+@query("stored_seg_q1", SQL["seg_q1"])
+def stored_seg_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(q.spenders_of_brand(_stored(spark, sf_dir)[0], BRAND, demo.AS_OF, months=24))
+
+
+@query("stored_seg_q2", SQL["seg_q2"])
+def stored_seg_q2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(q.young_locals_before(_stored(spark, sf_dir)[0], BRAND, COUNTRY, CUT_DAY))
+
+
+@query("stored_seg_q3", SQL["seg_q3"])
+def stored_seg_q3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(q.young_lapsed(_stored(spark, sf_dir)[0], BRAND, CUT_DAY))
+
+
+@query("stored_seg_q4", SQL["seg_q4"])
+def stored_seg_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(q.recent_spenders(_stored(spark, sf_dir, 3)[0], demo.AS_OF, amount=10000))
+
+
+@query("stored_seg_q5", SQL["seg_q5"])
+def stored_seg_q5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(q.loyal_without(_stored(spark, sf_dir)[0], BRAND, OTHER, demo.AS_OF))
+
+
 @query("stored_seg_q6", SQL["seg_q6"])
 def stored_seg_q6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The question over the stored table: the filter on the partition column
-    opens only the folders of the last year."""
-    ua = _build(spark, sf_dir, "user_aggregates")
-    recent = stored_days(ua, months_before(demo.AS_OF, 12), as_date(demo.AS_OF), GRAIN)
-    return _answer(segment(recent).bought(BRAND, min_items=2))
+    return _answer(segment(_stored(spark, sf_dir, 12)[0]).bought(BRAND, min_items=2))
+
+
+@query("stored_seg_q7", SQL["seg_q7"])
+def stored_seg_q7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(q.buyers_of_top(*_stored(spark, sf_dir, 3), demo.AS_OF, months=3))
+
+
+@query("stored_seg_q8", SQL["seg_q8"])
+def stored_seg_q8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answer(q.buyers_of_top(*_stored(spark, sf_dir, 12), demo.AS_OF, months=12, at_least=2))
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,8 @@ def tune(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session somebody else made, and give its workers
     this package: they do not share the driver's module path."""
     for key, value in RUNTIME_SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     ship(spark)
     return spark
 

@@ -6,6 +6,7 @@ import subprocess
 import sys
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F, types as T
 
@@ -13,7 +14,7 @@ from clientele.functions.text import strip_fences
 from clientele.operators import catalog, corpus, qlog, shape, validation
 from clientele.operators.sampling import first_n_users
 from clientele.operators.sessionize import session_table
-from clientele.operators.similarity import similar
+from clientele.operators.similarity import similar, similar_lsh
 from clientele.plans.retrieval_queries import knn_examples, knn_lsh
 from clientele.schemas import USER_AGGREGATES
 from clientele.session import scratch_dir
@@ -57,6 +58,24 @@ def test_lsh_recall(spark):
     assert len(exact & near) / len(exact) > 0.6
 
 
+def test_lsh_finds_near_copies(spark):
+    """Every one of 100 vectors has a copy with a little noise; nothing else is near."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(100, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([base, base + 0.1 * rng.normal(size=(100, 64))]))]
+    stored = spark.createDataFrame(rows, "id long, embedding array<float>")
+    asked = stored.withColumnRenamed("id", "qid")
+    found = similar_lsh(asked, stored, 1, 0.9, dimensions=64, exclude_same_id=True).collect()
+    assert sum(abs(r.qid - r.id) == 100 for r in found) >= 198 and len(found) <= 200
+
+
+def test_scan_in_bundles(spark, vectors):
+    asked, stored = vectors
+    many = asked.unionByName(asked.withColumn("qid", F.lit("r")))
+    one = similar(many, stored, 3).collect()
+    assert sorted(one) == sorted(similar(many, stored, 3, query_rows=1).collect()) and len(one) == 6
+
+
 def test_upsert_keeps_the_stored_and_the_first(spark):
     stored = spark.createDataFrame([("1", "old")], "id string, sql string")
     batch = spark.createDataFrame([("1", "new", 0), ("2", "late", 2), ("2", "early", 1)], "id string, sql string, n int")
