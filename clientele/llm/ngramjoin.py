@@ -30,7 +30,8 @@ from clientele.llm.graph import components
 
 WORDS = 4
 SHARED, OF = 85, 100              # OF * intersection >= SHARED * union
-GROUPS = 64
+GROUPS = 256                      # counts are bytes; FULL stands for "so many or more"
+FULL = 255
 LEAF = 32                         # points of a leaf
 CELL_BLOCK = 4096                 # members of a cell that one task holds; more are dealt
 FREQUENT = 1 << 16                # most frequent shingles that come last in the order
@@ -90,7 +91,7 @@ def profile(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
                 # one order for all: the infrequent by hash, then the frequent by hash
                 keys = np.concatenate([s[~late][:prefix], s[late][:max(0, prefix - int((~late).sum()))]])
                 node = textscan.mix(np.array([np.bitwise_xor.reduce(textscan.mix(s)) + _U(len(s))], _U))[0] if len(s) else _U(0)
-                counts = np.bincount((s % _U(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4")
+                counts = np.minimum(np.bincount((s % _U(GROUPS)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint8)
                 out.append((row, len(s), int(np.int64(node)), keys.view(np.int64), counts.tobytes()))
                 row += 1
             yield pd.DataFrame(out, columns=["row", "n", "node", "keys", "counts"])
@@ -138,6 +139,25 @@ def _may_link(n_a, n_b, shared) -> np.ndarray:
     return (OF * small >= SHARED * large) & (OF * shared >= SHARED * (n_a + n_b - shared))
 
 
+_LANES = _U(0x00FF00FF00FF00FF)
+
+
+def _points(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, GROUPS)
+
+
+def _most_shared(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Sums of the smaller counts along the last axis; boundless where a group is full
+    on both sides. Bytes are added eight at a time."""
+    least = np.ascontiguousarray(np.minimum(one, two))
+    words = least.view(_U)
+    sums = ((words & _LANES) + (words >> _U(8) & _LANES)).sum(axis=-1)
+    total = sum((sums >> _U(k) & _U(0xFFFF)).astype(np.int64) for k in (0, 16, 32, 48))
+    if one.max(initial=0) == FULL and two.max(initial=0) == FULL:
+        total = np.where((least == FULL).any(axis=-1), 1 << 40, total)
+    return total
+
+
 def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Pairs (a, b) whose bound allows a link; points: (id, n, counts)."""
     both = pairs.join(points.toDF("a", "n_a", "one"), "a").join(points.toDF("b", "n_b", "two"), "b")
@@ -145,9 +165,8 @@ def bounded(pairs: DataFrame, points: DataFrame) -> DataFrame:
     def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                one, two = (np.frombuffer(b"".join(batch[c]), "<u4").reshape(-1, GROUPS) for c in ("one", "two"))
                 ok = _may_link(batch["n_a"].to_numpy(np.int64), batch["n_b"].to_numpy(np.int64),
-                               np.minimum(one, two).sum(axis=1, dtype=np.int64))
+                               _most_shared(_points(batch["one"]), _points(batch["two"])))
                 yield batch.loc[ok, ["a", "b"]]
     return both.select("a", "b", "n_a", "n_b", "one", "two").mapInPandas(test, "a long, b long")
 
@@ -168,7 +187,7 @@ class Tree:
         same = other is self
         for k, start in enumerate(self.start):
             leaves = np.arange(k if same else 0, len(other.start))
-            shared = np.minimum(self.corner[k], other.corner[leaves]).sum(axis=1, dtype=np.int64)
+            shared = _most_shared(self.corner[k], other.corner[leaves])
             # the least total size of a pair, and sizes that can agree at all
             fits = ((OF + SHARED) * shared >= SHARED * (self.low[k] + other.low[leaves])) \
                 & (OF * other.high[leaves] >= SHARED * self.low[k]) & (OF * self.high[k] >= SHARED * other.low[leaves])
@@ -176,7 +195,7 @@ class Tree:
             for leaf in leaves[fits]:
                 at = other.start[leaf]
                 theirs = slice(at, at + LEAF)
-                shared = np.minimum(self.counts[mine, None], other.counts[None, theirs]).sum(axis=2, dtype=np.int64)
+                shared = _most_shared(self.counts[mine, None], other.counts[None, theirs])
                 ok = _may_link(self.n[mine, None], other.n[None, theirs], shared) & (
                     self.part[mine, None] != other.part[None, theirs])
                 if same and leaf == k:
@@ -187,31 +206,52 @@ class Tree:
 
 
 def _cell_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidate pairs of rows (key, low, high, block, id, n, part, counts) sorted by key,
-    low and high: within one block of a cell, or between two."""
+    """Candidate pairs of rows (head, low, high, block, id, n, part, keys, counts) sorted
+    by head, low and high: members of the cells of one head, within a block or between
+    two. Cells with one head have much the same members, so each pair comes out once."""
     def solve(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        def tree(rows):
-            return Tree(rows["id"].to_numpy(), rows["part"].to_numpy(), rows["n"].to_numpy(np.int64),
-                        np.frombuffer(b"".join(rows["counts"]), "<u4").reshape(-1, GROUPS))
-        low, high = frame["low"].iloc[0], frame["high"].iloc[0]
-        one = tree(frame[frame["block"] == low])
-        if low != high and not (frame["block"] == high).any():
-            return
-        found = list(one.pairs(one if low == high else tree(frame[frame["block"] == high])))
+        ids, part, n, block = (frame[c].to_numpy() for c in ("id", "part", "n", "block"))
+        counts, low, high = _points(frame["counts"]), frame["low"].iloc[0], frame["high"].iloc[0]
+
+        def tree(at) -> Tree:
+            return Tree(ids[at], part[at], n[at].astype(np.int64), counts[at])
+        if low != high:
+            sides = [np.flatnonzero(block == side) for side in (low, high)]
+            found = list(tree(sides[0]).pairs(tree(sides[1]))) if len(sides[0]) and len(sides[1]) else []
+        else:
+            row = np.repeat(np.arange(len(frame)), frame["keys"].str.len())
+            key, at, size = np.unique(np.concatenate(frame["keys"].tolist()), return_inverse=True, return_counts=True)
+            if len(frame) ** 2 <= (size.astype(float) ** 2).sum():
+                cells = [np.arange(len(frame))]          # all members at once are less work than cell by cell
+            else:
+                cells = np.split(row[np.argsort(at, kind="stable")], np.cumsum(size)[:-1])
+            found = []
+            for cell in cells:
+                if len(cell) > 1 and (part[cell] != part[cell[0]]).any():
+                    whole = tree(cell)
+                    found += whole.pairs(whole)
         if found:
             a, b = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+            yield pd.DataFrame(pairs, columns=["a", "b"])
 
-    rest = None
+    rest = []
     for batch in batches:
-        frame = batch if rest is None else pd.concat([rest, batch])
-        cell = frame[["key", "low", "high"]].to_numpy()
+        if not len(batch):
+            continue
+        cell = batch[["head", "low", "high"]].to_numpy()
         cuts = np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1)) + 1
-        for a, b in zip(np.append(0, cuts[:-1]), cuts, strict=True) if len(cuts) else []:
-            yield from solve(frame.iloc[a:b])
-        rest = frame.iloc[cuts[-1]:] if len(cuts) else frame
-    if rest is not None and len(rest):
-        yield from solve(rest)
+        if rest and (rest[0][["head", "low", "high"]].iloc[0].to_numpy() != cell[0]).any():
+            yield from solve(pd.concat(rest))
+            rest = []
+        borders = [0, *cuts.tolist(), len(batch)]
+        for x, y in zip(borders[:-1], borders[1:], strict=True):
+            rest.append(batch.iloc[x:y])
+            if y < len(batch):
+                yield from solve(pd.concat(rest))
+                rest = []
+    if rest:
+        yield from solve(pd.concat(rest))
 
 
 def _sent(small: DataFrame) -> DataFrame:
@@ -322,17 +362,18 @@ def joined(docs: DataFrame, folder: str) -> DataFrame:
 
     # second round: cells with members that are not connected yet
     member = shared.join(part.toDF("id", "part"), "id", "left").select(
-        "key", "id", "n", F.coalesce("part", "id").alias("part"))
+        "key", "head", "id", "n", F.coalesce("part", "id").alias("part"))
     open_cells = member.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("size"))
     # with two members the pair has been tried
     open_cells = open_cells.where("least <> most and size > 2").select("key", "size")
     by_size = Window.partitionBy("key").orderBy("n", "id")
     dealt = member.join(open_cells, "key").withColumn("block", F.floor((F.row_number().over(by_size) - 1) / CELL_BLOCK))
     blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / CELL_BLOCK))
-    dealt = dealt.select("key", "id", "n", "part", "block", F.explode(blocks).alias("other")).select(
-        "key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n", "part")
-    found = dealt.join(points.select("id", "counts"), "id").repartition("key", "low", "high").sortWithinPartitions(
-        "key", "low", "high").select("key", "low", "high", "block", "id", "n", "part", "counts").mapInPandas(
+    dealt = dealt.select("key", "head", "id", "n", "part", "block", F.explode(blocks).alias("other")).groupBy(
+        "head", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n",
+        "part").agg(F.collect_list("key").alias("keys"))
+    found = dealt.join(points.select("id", "counts"), "id").repartition("head", "low", "high").sortWithinPartitions(
+        "head", "low", "high").select("head", "low", "high", "block", "id", "n", "part", "keys", "counts").mapInPandas(
         _cell_pairs, "a long, b long").distinct()
     known = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     further = stored(found.join(known, ["a", "b"], "left_anti"), "further")
