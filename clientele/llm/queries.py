@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clientele.llm import chat, covertree, mixing, ngramjoin, packing, permindex, quality, tokencount, toxicity, warc
+from clientele.llm import chat, covertree, files, mixing, ngramjoin, packing, permindex, quality, tokencount, toxicity, warc
 from clientele.session import scratch_dir
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,11 +82,11 @@ def chat_formatting(spark, sf_dir):
 # ---------------------------------------------------------------- 3: web archives
 
 _WARC_SQL = """
-WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, url
+WITH d AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
            FROM pages),
 m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM d),
 k AS (SELECT *, payload_bytes >= 100 AND first_id <> page_id AS again FROM m)
-SELECT page_id, url, TRUE AS intact, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+SELECT page_id, TRUE AS intact, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN again THEN first_id END AS refers_to
 FROM k
 """
@@ -98,7 +98,7 @@ def warc_round_trip(spark, sf_dir):
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     warc.write_warc(read(spark, sf_dir, "pages"), folder, f"{folder}-digests", shards)
     return warc.resolved(warc.read_warc(spark, folder)).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "intact")
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
 # ---------------------------------------------------------------- 4: best-fit packing
@@ -115,6 +115,7 @@ def token_counts(spark, sf_dir):
     folder = scratch_dir(spark, "tokens")
     listing = f"{folder}-listing"
     tokencount.write_token_files(read(spark, sf_dir, "documents"), folder, tokenizer_path(), EOD).write.parquet(listing)
+    files.drop_temporary(folder)
     counted = tokencount.scan_separators(spark, folder, EOD)
     return counted.join(spark.read.parquet(listing), ["file", "ordinal"], "left").select(
         "doc_id", "n_tokens", "file", "ordinal", "start", "closed")
