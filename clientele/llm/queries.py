@@ -97,7 +97,7 @@ def warc_round_trip(spark, sf_dir):
     folder = scratch_dir(spark, "warc")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     warc.write_warc(read(spark, sf_dir, "pages"), folder, f"{folder}-digests", shards)
-    return warc.resolved(warc.read_warc(spark, folder)).select(
+    return warc.resolved(warc.read_warc(spark, folder), f"{folder}-records").select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 

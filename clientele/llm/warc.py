@@ -206,12 +206,16 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     return manifest.select("file").repartition(tasks, "file").mapInPandas(read, READ)
 
 
-def resolved(records: DataFrame) -> DataFrame:
-    """Records with the payload length of revisits taken from their responses."""
-    sizes = records.where("record_type = 'response'").select(
-        F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("size"))
+def resolved(records: DataFrame, folder: str) -> DataFrame:
+    """Records without payloads, the payload length of revisits taken from their
+    responses. `folder`: for the table of records, so that archives are read once and
+    the join is planned on its real size."""
+    spark = records.sparkSession
+    records.drop("payload").write.parquet(folder)
+    own = spark.read.parquet(folder)
+    sizes = own.where("record_type = 'response'").select(
+        F.col("page_id").alias("refers_to"), "payload_digest", F.col("payload_bytes").alias("size")).distinct()
     # a response holds its own length, so only revisits need the join
-    own = records.drop("payload")
     return own.where("record_type = 'response'").unionByName(
         own.where("record_type = 'revisit'").join(sizes, ["refers_to", "payload_digest"], "left")
            .withColumn("payload_bytes", F.col("size")).drop("size"))

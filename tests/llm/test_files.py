@@ -31,7 +31,7 @@ def test_archives_come_back_whole(spark, tmp_path):
     assert manifest.agg(F.sum("records")).first()[0] == len(rows) and manifest.count() > 3
     for r in manifest.collect():
         assert hashlib.sha256(open(tmp_path / "w" / r["file"], "rb").read()).hexdigest() == r["sha256"]
-    got = warc.resolved(warc.read_warc(spark, str(tmp_path / "w"))).collect()
+    got = warc.resolved(warc.read_warc(spark, str(tmp_path / "w")), str(tmp_path / "r")).collect()
     assert all(r["intact"] for r in got)
     sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
     assert sorted((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"]) for r in got) == sorted(
@@ -55,7 +55,7 @@ def test_archives_are_the_same_each_time(spark, tmp_path):
 def test_no_page_no_archive(spark, tmp_path):
     none = spark.createDataFrame([], PAGES)
     assert warc.write_warc(none, str(tmp_path / "w"), str(tmp_path / "d"), 2).count() == 0
-    assert warc.resolved(warc.read_warc(spark, str(tmp_path / "w"))).count() == 0
+    assert warc.resolved(warc.read_warc(spark, str(tmp_path / "w")), str(tmp_path / "r")).count() == 0
 
 
 def test_a_failed_attempt_leaves_nothing(tmp_path):
