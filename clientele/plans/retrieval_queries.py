@@ -302,7 +302,9 @@ def knn_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents most similar to each benchmark text, over TF-IDF vectors."""
     texts = (table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("k"), "text")
              .union(table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")), "text")))
-    embedded = vectors(term_weights(texts, "k", "text"), "k")
+    path = scratch_dir(spark, "text-vectors")       # the vectors serve both sides
+    vectors(term_weights(texts, "k", "text"), "k").write.parquet(path)
+    embedded = spark.read.parquet(path)
     asked = embedded.where(F.col("k").startswith("b")).select(F.col("k").alias("qid"), "embedding")
     stored = embedded.where(F.col("k").startswith("d")).select(F.col("k").alias("id"), "embedding")
     return _shown(similar(asked, stored, EXAMPLES, THRESHOLD))
