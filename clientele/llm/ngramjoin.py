@@ -367,7 +367,10 @@ def joined(docs: DataFrame, folder: str) -> DataFrame:
     # with two members the pair has been tried
     open_cells = open_cells.where("least <> most and size > 2").select("key", "size")
     by_size = Window.partitionBy("key").orderBy("n", "id")
-    dealt = member.join(open_cells, "key").withColumn("block", F.floor((F.row_number().over(by_size) - 1) / CELL_BLOCK))
+    # a member whose neighbours in size are too unlike in size has no partner in the cell
+    near = (SHARED * F.col("n") <= OF * F.lag("n").over(by_size)) | (SHARED * F.lead("n").over(by_size) <= OF * F.col("n"))
+    sized = member.join(open_cells, "key").withColumn("near", F.coalesce(near, F.lit(False))).where("near")
+    dealt = sized.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / CELL_BLOCK))
     blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / CELL_BLOCK))
     dealt = dealt.select("key", "head", "id", "n", "part", "block", F.explode(blocks).alias("other")).groupBy(
         "head", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "n",
