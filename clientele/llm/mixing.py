@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clientele.llm import textscan
 from clientele.llm.bpe import byte_pairs
 from clientele.llm.labelled import sample_by_class
-from clientele.llm.quality import descend, prior_shift
+from clientele.llm.quality import fit, prior_shift
 
 SYMBOLS = 64
 TRAIN_ROWS = 1000              # labelled rows of each domain that training reads at most
@@ -80,15 +80,10 @@ def learn_domains(docs: DataFrame, labels: DataFrame, names: list[str], rows: in
                                 "shares": [(n / n.sum()).astype(np.float32).tobytes() for _, n in bags]})
 
     chosen = F.broadcast(sample_by_class(labels, names, rows))         # at most rows x domains ids
-    frame = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "text").mapInPandas(
-        digest, "doc_id long, label string, ids binary, shares binary").toPandas().sort_values(["doc_id", "label"])
-    buckets = SYMBOLS ** 3
-    if not len(frame):
-        return Domains(names, np.zeros((buckets, len(names)), np.float32), np.zeros(len(names)))
-    target = np.array([names.index(n) for n in frame["label"]])
-    examples = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for i, s in zip(frame["ids"], frame["shares"], strict=True)]
-    vectors, output = descend(examples, target, len(names), buckets=buckets)
-    return Domains(names, (vectors @ output[:-1]).astype(np.float32), output[-1] + prior_shift(target, names, counts))
+    bagged = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "label", "text").mapInPandas(
+        digest, "doc_id long, label string, ids binary, shares binary")
+    table, bias, seen = fit(bagged, names, SYMBOLS ** 3)
+    return Domains(names, table, bias + prior_shift(seen, names, counts))
 
 
 def memberships(docs: DataFrame, domains: Domains, tokenizer: str) -> DataFrame:

@@ -151,22 +151,36 @@ def train(docs: DataFrame, labels: DataFrame, classes: list, rows: int = TRAIN_R
                                 "ids": [i.tobytes() for i, _ in found], "shares": [s.tobytes() for _, s in found]})
 
     kind = dict(labels.dtypes)["label"]
-    frame = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInPandas(
-        digest, f"doc_id long, label {kind}, ids binary, shares binary").toPandas()
-    frame = frame.sort_values(["doc_id", "label"], kind="stable")
-    examples = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32)) for i, s in zip(frame["ids"], frame["shares"], strict=True)]
-    target = np.array([classes.index(c) for c in frame["label"]], np.int64)
-    if not len(target):
-        return Model(classes, np.zeros((BUCKETS, len(classes)), np.float32), np.zeros(len(classes)))
-    vectors, output = descend(examples, target, len(classes))
-    shift = prior_shift(target, classes, counts)
-    return Model(classes, vectors @ output[:-1], output[-1] + shift)
-
-
-def prior_shift(target: np.ndarray, classes: list, counts: dict) -> np.ndarray:
+    bagged = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInPandas(
+        digest, f"doc_id long, label {kind}, ids binary, shares binary")
+    table, bias, seen = fit(bagged, classes, BUCKETS)
+    return Model(classes, table, bias + prior_shift(seen, classes, counts))
+
+
+def fit(bagged: DataFrame, classes: list, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, bias, rows of each class) from bagged(doc_id, label, ids, shares), a bounded
+    sample. Learned in one task, so that only the table comes to the driver."""
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(batches) or [pd.DataFrame(columns=["doc_id", "label", "ids", "shares"])])
+        frame = frame.sort_values(["doc_id", "label"], kind="stable")
+        examples = [(np.frombuffer(i, np.int32), np.frombuffer(s, np.float32))
+                    for i, s in zip(frame["ids"], frame["shares"], strict=True)]
+        target = np.array([classes.index(c) for c in frame["label"]], np.int64)
+        vectors, output = descend(examples, target, len(classes), buckets=buckets)
+        seen = np.bincount(target, minlength=len(classes))
+        yield pd.DataFrame({"table": [(vectors @ output[:-1]).astype(np.float32).tobytes()],
+                            "bias": [output[-1].astype(np.float64).tobytes()], "seen": [seen.astype(np.int64).tobytes()]})
+
+    row = bagged.repartition(1).mapInPandas(learn, "table binary, bias binary, seen binary").first()
+    return (np.frombuffer(row["table"], np.float32).reshape(buckets, len(classes)),
+            np.frombuffer(row["bias"], np.float64), np.frombuffer(row["seen"], np.int64))
+
+
+def prior_shift(seen: np.ndarray, classes: list, counts: dict) -> np.ndarray:
     """What the bias needs because training saw the classes in other shares than the
-    labels have."""
-    seen = np.bincount(target, minlength=len(classes))
+    labels have; nothing if there was no row."""
+    if not seen.sum():
+        return np.zeros(len(classes))
     want = np.array([counts.get(c, 0) for c in classes])
     return np.where(seen > 0, np.log(np.maximum(want, 1) / want.sum()) - np.log(np.maximum(seen, 1) / seen.sum()), -20.0)
 

@@ -4,12 +4,13 @@ Two interpolated models of order 4 over letters, of toxic and of ordinary docume
 Their upper levels have counts of their own; the lower ones are the continuation counts
 of both classes together, so an expression that neither class knows well gets nearly
 the same probability from both, and only what one class really says moves the score.
-Letters instead of words let inflected and newly built words share their stems.
+Letters let inflected and newly built words share their stems; a second pair of models,
+over words, knows expressions whose letters are common. Both have tables of a fixed size
+at any size of the corpus: 64^4 grams of symbols, 2^20 hashed words.
 
-The log-likelihood ratio is normalised by length: as the mean of the whole document and
-of its most toxic passage. A logistic curve makes a probability of the two. Counts cover
-all labelled rows that may be learned from. Letters fall into 64 symbols, so the table of
-ratios has 64^4 entries at any size of the corpus.
+The log-likelihood ratios are normalised by length: as the mean of the whole document and
+of its most toxic passage. A logistic curve makes a probability of these. Counts cover all
+labelled rows that may be learned from.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from clientele.llm.labelled import clean_labels, held_out, sample_by_class, with
 
 SYMBOLS, ORDER = 64, 4
 DISCOUNT = 0.75
+WORD_BITS = 20                         # 2^bits hashed words
+WORD_DISCOUNT = 2.0                    # documents with a word that say nothing about a class
 PASSAGE = 9                            # letters of the passage that counts
 CALIBRATION_ROWS = 1500                # rows of each class that fit the logistic curve
 FOLDS = 3                              # a row is rated for the curve by counts without its fold
@@ -68,65 +71,90 @@ def grams(texts) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+# ASCII other than letters and digits separates words; bytes of other signs are letters.
+_CLEAN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8).tobytes()
+
+
+def words(texts) -> tuple[np.ndarray, np.ndarray]:
+    """(word, first): slots of the words of the texts, lower case; see `grams`."""
+    hashes, first = textscan.word_hashes([t.translate(_CLEAN) for t in textscan.utf8(texts)], lower=True)
+    return (hashes & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64), first
+
+
 def _ranges(texts, limit: int):
     return textscan.batches([len(t) if isinstance(t, str) else 0 for t in texts], limit)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, fold, n0, n1): how often docs(text, label, fold) of label 0 and 1 have a
-    gram. Summed per batch before the shuffle."""
+    """(kind, gram, fold, n0, n1): how often docs(text, label, fold) of label 0 and 1 have
+    a gram of letters (kind 0), and in how many of them a word comes (kind 1). Summed per
+    batch before the shuffle."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
             group = (batch["fold"] * 2 + batch["label"]).to_numpy(np.int64)
             for a, b in _ranges(texts, 1 << 22):
-                found, first = grams(texts[a:b])
-                owner = np.repeat(group[a:b], np.diff(first))
-                for g in np.unique(owner):
-                    key, n = np.unique(found[owner == g], return_counts=True)
-                    yield pd.DataFrame({"gram": key, "fold": int(g) // 2, "n0": n * (1 - g % 2), "n1": n * (g % 2)})
-
-    return docs.select("text", "label", "fold").mapInPandas(count, "gram int, fold int, n0 long, n1 long").groupBy(
-        "gram", "fold").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+                for kind, (found, first) in enumerate((grams(texts[a:b]), words(texts[a:b]))):
+                    text = np.repeat(np.arange(b - a), np.diff(first))
+                    if kind:
+                        once = np.unique(text << WORD_BITS | found)
+                        text, found = once >> WORD_BITS, once & ((1 << WORD_BITS) - 1)
+                    owner = group[a:b][text]
+                    for g in np.unique(owner):
+                        key, n = np.unique(found[owner == g], return_counts=True)
+                        yield pd.DataFrame({"kind": kind, "gram": key, "fold": int(g) // 2, "n0": n * (1 - g % 2),
+                                            "n1": n * (g % 2)})
+
+    return docs.select("text", "label", "fold").mapInPandas(
+        count, "kind int, gram int, fold int, n0 long, n1 long").groupBy("kind", "gram", "fold").agg(
+        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 @dataclass
 class Model:
-    """Travels as its counts; the table of ratios is filled where it is used first."""
-    gram: np.ndarray           # sorted; at most 64^4
-    counts: list[np.ndarray]   # of ordinary and of toxic documents
-    weights: np.ndarray        # of the logistic curve: passage, document, constant
+    """Travels as its counts; the tables of ratios are filled where they are used first."""
+    letters: tuple[np.ndarray, np.ndarray]     # sorted grams, counts of both classes
+    vocabulary: tuple[np.ndarray, np.ndarray]  # sorted words, documents of both classes
+    weights: np.ndarray                        # of the logistic curve: three ratios, constant
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "ratio"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("letter_ratio", "word_ratio")}
 
     @cached_property
-    def ratio(self) -> np.ndarray:
+    def letter_ratio(self) -> np.ndarray:
         """Log-likelihood ratio of the last symbol of every gram."""
-        return estimate(self.gram, self.counts)
+        return estimate(self.letters[0], list(self.letters[1]))
+
+    @cached_property
+    def word_ratio(self) -> np.ndarray:
+        return estimate_words(self.vocabulary[0], self.vocabulary[1])
 
     def ratios(self, texts) -> np.ndarray:
-        """(passage, document): highest mean ratio of PASSAGE letters in a row, and the
-        mean over the whole text."""
+        """(passage, word, document): highest mean ratio of PASSAGE letters in a row,
+        highest ratio of a word, and the mean of the letters over the whole text."""
         parts = [self._ratios(texts[a:b]) for a, b in _ranges(texts, BATCH)]
-        return np.concatenate(parts) if parts else np.zeros((0, 2))
+        return np.concatenate(parts) if parts else np.zeros((0, 3))
 
     def _ratios(self, texts) -> np.ndarray:
         found, first = grams(texts)
         size = np.diff(first)
-        sums = np.concatenate([[0.0], np.cumsum(self.ratio[found], dtype=np.float64)])
-        out = np.zeros((len(texts), 2))
+        sums = np.concatenate([[0.0], np.cumsum(self.letter_ratio[found], dtype=np.float64)])
+        out = np.zeros((len(texts), 3))
         has = np.flatnonzero(size)
         if not len(has):
             return out
-        out[has, 1] = (sums[first[has + 1]] - sums[first[has]]) / size[has]
+        out[has, 2] = (sums[first[has + 1]] - sums[first[has]]) / size[has]
         # passages that begin at each place; near the end of a text they are cut short
         stop = np.minimum(np.arange(len(found)) + PASSAGE, np.repeat(first[1:], size))
         out[has, 0] = np.maximum.reduceat((sums[stop] - sums[:-1]) / PASSAGE, first[has])
+        said, first = words(texts)
+        has = np.flatnonzero(np.diff(first))
+        if len(has):
+            out[has, 1] = np.maximum.reduceat(self.word_ratio[said], first[has])
         return out
 
     def probability(self, texts) -> np.ndarray:
-        z = self.ratios(texts) @ self.weights[:2] + self.weights[2]
+        z = self.ratios(texts) @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -177,18 +205,34 @@ def estimate(gram: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
     return ratio
 
 
+def estimate_words(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Ratios of words from the documents of both classes that have them: discounted, the
+    rest shared out by the documents of both together."""
+    size, both = 1 << WORD_BITS, counts.sum(axis=0)
+    shared = np.full(size, 0.5)
+    shared[word] += both
+    shared /= shared.sum()
+    logs = []
+    for count in counts:
+        total = max(int(count.sum()), 1)
+        given = np.minimum(count, WORD_DISCOUNT).sum() / total if count.any() else 1.0
+        p = given * shared
+        p[word] += np.maximum(count - WORD_DISCOUNT, 0) / total
+        logs.append(np.log(p))
+    return (logs[1] - logs[0]).astype(np.float32)
+
+
 def calibrate(ratios: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """Logistic curve over the two ratios, by Newton steps with a small ridge. `shares`:
-    how common the classes are among all labels; rows are weighted to them."""
+    """Logistic curve over the ratios, by Newton steps with a small ridge. `shares`: how
+    common the classes are among all labels; rows are weighted to them."""
     x = np.column_stack([ratios, np.ones(len(ratios))])
-    seen = np.bincount(labels, minlength=2)
+    width, seen = x.shape[1], np.bincount(labels, minlength=2)
     if len(ratios) == 0 or seen.min() == 0:
-        return np.array([0.0, 0.0, 6.0 if seen[1] else -6.0])
+        return np.append(np.zeros(width - 1), 6.0 if seen[1] else -6.0)
     weight = (shares / shares.sum() / np.maximum(seen, 1))[labels] * len(labels)
-    w = np.zeros(3)
+    w, ridge = np.zeros(width), 1e-2 * np.append(np.ones(width - 1), 0)
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        ridge = 1e-2 * np.array([1, 1, 0])
         step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6),
                                x.T @ (weight * (p - labels)) + ridge * w)
         w -= step * min(1.0, 3.0 / max(np.abs(step).max(), 1e-12))
@@ -206,28 +250,40 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
     fold = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).cast("int")
     labels = clean_labels(labels, "toxic").where(~held_out(4, 2) & F.col("label").isin(0, 1)).withColumn("fold", fold)
     docs = docs.select("doc_id", "text")
-    rows = count_grams(with_labels(docs, labels)).toPandas()           # FOLDS x 64^4 rows at most
-    gram, at = np.unique(rows["gram"].to_numpy(np.int64), return_inverse=True)
-    counts = np.zeros((FOLDS, 2, len(gram)), np.int64)
-    for side, name in enumerate(("n0", "n1")):
-        counts[rows["fold"].to_numpy(), side, at] = rows[name].to_numpy()
-    whole = counts.sum(axis=0)
-    sent = docs.sparkSession.sparkContext.broadcast([Model(gram, list(whole - counts[f]), np.zeros(3)) for f in range(FOLDS)])
+    rows = count_grams(with_labels(docs, labels)).toPandas()           # FOLDS x (64^4 + 2^20) rows at most
+
+    def table(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        own = rows[rows["kind"] == kind]
+        key, at = np.unique(own["gram"].to_numpy(np.int64), return_inverse=True)
+        counts = np.zeros((FOLDS, 2, len(key)), np.int32)
+        for side, name in enumerate(("n0", "n1")):
+            counts[own["fold"].to_numpy(), side, at] = own[name].to_numpy()
+        return key, counts
+
+    (gram, letters), (word, documents) = table(0), table(1)
+    del rows
+
+    def model(skip: int | None, weights: np.ndarray) -> Model:
+        parts = [c.sum(axis=0) - (0 if skip is None else c[skip]) for c in (letters, documents)]
+        return Model((gram, parts[0]), (word, parts[1]), weights)
+
+    sent = docs.sparkSession.sparkContext.broadcast([model(f, np.zeros(4)) for f in range(FOLDS)])
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for f, own in batch.groupby("fold"):
                 found = sent.value[f].ratios(own["text"].tolist())
-                yield pd.DataFrame({"doc_id": own["doc_id"], "label": own["label"], "a": found[:, 0], "b": found[:, 1]})
+                yield pd.DataFrame({"doc_id": own["doc_id"], "label": own["label"], "a": found[:, 0], "b": found[:, 1],
+                                    "c": found[:, 2]})
 
     chosen = sample_by_class(labels, [0, 1], CALIBRATION_ROWS)          # bounded
     frame = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "fold", "text").mapInPandas(
-        rate, "doc_id long, label int, a double, b double").toPandas().sort_values(["doc_id", "a", "b"])
+        rate, "doc_id long, label int, a double, b double, c double").toPandas().sort_values(["doc_id", "a", "b", "c"])
     sent.unpersist()
     shares = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
-    weights = calibrate(frame[["a", "b"]].to_numpy(np.float64), frame["label"].to_numpy(np.int64),
+    weights = calibrate(frame[["a", "b", "c"]].to_numpy(np.float64), frame["label"].to_numpy(np.int64),
                         np.array([shares.get(0, 0), shares.get(1, 0)], np.float64))
-    return Model(gram, list(whole), weights)
+    return model(None, weights)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
