@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from clientele.llm import textscan
 from clientele.llm.labelled import clean_labels, held_out, sample_by_class, with_labels
+from clientele.session import scratch_dir
 
 SYMBOLS, ORDER = 64, 4
 DISCOUNT = 0.75
@@ -86,9 +87,9 @@ def _ranges(texts, limit: int):
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(kind, gram, fold, n0, n1): how often docs(text, label, fold) of label 0 and 1 have
-    a gram of letters (kind 0), and in how many of them a word comes (kind 1). Summed per
-    batch before the shuffle."""
+    """(kind, gram) and a column c<fold>_<label> for each fold and label: how often
+    docs(text, label, fold) have a gram of letters (kind 0), and in how many of them a word
+    comes (kind 1). Summed per batch before the shuffle."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch["text"].tolist()
@@ -106,15 +107,16 @@ def count_grams(docs: DataFrame) -> DataFrame:
                                             "n1": n * (g % 2)})
 
     return docs.select("text", "label", "fold").mapInPandas(
-        count, "kind int, gram int, fold int, n0 long, n1 long").groupBy("kind", "gram", "fold").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+        count, "kind int, gram int, fold int, n0 long, n1 long").groupBy("kind", "gram").agg(*[
+            F.sum(F.when(F.col("fold") == f, F.col(f"n{side}")).otherwise(0)).alias(f"c{f}_{side}")
+            for f in range(FOLDS) for side in (0, 1)])
 
 
 @dataclass
 class Model:
     """Travels as its counts; the tables of ratios are filled where they are used first."""
     letters: tuple[np.ndarray, np.ndarray]     # sorted grams, counts of both classes
-    vocabulary: tuple[np.ndarray, np.ndarray]  # sorted words, documents of both classes
+    vocabulary: tuple[np.ndarray, ...]         # see estimate_words
     weights: np.ndarray                        # of the logistic curve: three ratios, constant
 
     def __getstate__(self):
@@ -127,7 +129,7 @@ class Model:
 
     @cached_property
     def word_ratio(self) -> np.ndarray:
-        return estimate_words(self.vocabulary[0], self.vocabulary[1])
+        return estimate_words(*self.vocabulary)
 
     def ratios(self, texts) -> np.ndarray:
         """(passage, word, document): highest mean ratio of PASSAGE letters in a row,
@@ -205,19 +207,20 @@ def estimate(gram: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
     return ratio
 
 
-def estimate_words(word: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def estimate_words(word: np.ndarray, counts: np.ndarray, total: np.ndarray, given: np.ndarray) -> np.ndarray:
     """Ratios of words from the documents of both classes that have them: discounted, the
-    rest shared out by the documents of both together."""
-    size, both = 1 << WORD_BITS, counts.sum(axis=0)
+    rest shared out by the documents of both together. `total`, `given`: of all words of
+    each class, how many documents, and how many the discount takes. Words within the
+    discount in both classes may be left out of `word`: their ratio does not depend on
+    how common they are."""
+    size = 1 << WORD_BITS
     shared = np.full(size, 0.5)
-    shared[word] += both
+    shared[word] += counts.sum(axis=0)
     shared /= shared.sum()
     logs = []
-    for count in counts:
-        total = max(int(count.sum()), 1)
-        given = np.minimum(count, WORD_DISCOUNT).sum() / total if count.any() else 1.0
-        p = given * shared
-        p[word] += np.maximum(count - WORD_DISCOUNT, 0) / total
+    for count, all_, less in zip(counts, total, given, strict=True):
+        p = (less / all_ if all_ else 1.0) * shared
+        p[word] += np.maximum(count - WORD_DISCOUNT, 0) / max(all_, 1)
         logs.append(np.log(p))
     return (logs[1] - logs[0]).astype(np.float32)
 
@@ -250,24 +253,32 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
     fold = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(FOLDS)).cast("int")
     labels = clean_labels(labels, "toxic").where(~held_out(4, 2) & F.col("label").isin(0, 1)).withColumn("fold", fold)
     docs = docs.select("doc_id", "text")
-    rows = count_grams(with_labels(docs, labels)).toPandas()           # FOLDS x (64^4 + 2^20) rows at most
-
-    def table(kind: int) -> tuple[np.ndarray, np.ndarray]:
-        own = rows[rows["kind"] == kind]
-        key, at = np.unique(own["gram"].to_numpy(np.int64), return_inverse=True)
-        counts = np.zeros((FOLDS, 2, len(key)), np.int32)
-        for side, name in enumerate(("n0", "n1")):
-            counts[own["fold"].to_numpy(), side, at] = own[name].to_numpy()
-        return key, counts
-
-    (gram, letters), (word, documents) = table(0), table(1)
-    del rows
+    spark, folder = docs.sparkSession, scratch_dir(docs.sparkSession, "toxicity")
+    count_grams(with_labels(docs, labels)).write.parquet(folder)
+    counted = spark.read.parquet(folder)
+    folds = [[F.col(f"c{f}_{side}") for f in range(FOLDS)] for side in (0, 1)]
+
+    def of(side: int, skip: int | None) -> Column:
+        """The count of a class without a fold."""
+        return sum((c for f, c in enumerate(folds[side]) if f != skip), F.lit(0))
+
+    skips = [*range(FOLDS), None]
+    row = counted.where("kind = 1").agg(*[
+        F.coalesce(F.sum(c), F.lit(0)).cast("double") for k in skips for side in (0, 1)
+        for c in (of(side, k), F.least(of(side, k).cast("double"), F.lit(WORD_DISCOUNT)))]).first()
+    sums = np.array(list(row), np.float64).reshape(len(skips), 2, 2)
+    # all grams of letters, and the words that say something: 64^4 + 2^20 rows at most
+    telling = (F.col("kind") == 0) | (F.greatest(of(0, None), of(1, None)) > WORD_DISCOUNT)
+    rows = counted.where(telling).orderBy("kind", "gram").toArrow()
+    kind, key = rows["kind"].to_numpy(), rows["gram"].to_numpy().astype(np.int64)
+    counts = np.stack([np.stack([rows[f"c{f}_{side}"].to_numpy() for side in (0, 1)]) for f in range(FOLDS)]).astype(np.int32)
 
     def model(skip: int | None, weights: np.ndarray) -> Model:
-        parts = [c.sum(axis=0) - (0 if skip is None else c[skip]) for c in (letters, documents)]
-        return Model((gram, parts[0]), (word, parts[1]), weights)
+        own = counts.sum(axis=0) - (0 if skip is None else counts[skip])
+        total, given = sums[skips.index(skip)].T
+        return Model((key[kind == 0], own[:, kind == 0]), (key[kind == 1], own[:, kind == 1], total, given), weights)
 
-    sent = docs.sparkSession.sparkContext.broadcast([model(f, np.zeros(4)) for f in range(FOLDS)])
+    sent = spark.sparkContext.broadcast([model(f, np.zeros(4)) for f in range(FOLDS)])
 
     def rate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
