@@ -57,8 +57,9 @@ def grams(texts) -> tuple[np.ndarray, np.ndarray]:
     raw = textscan.utf8(texts)
     symbols = _SYMBOLS[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
     borders = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in raw), np.int64, len(raw)))])
-    keep = np.ones(len(symbols), bool)
-    keep[1:] = (symbols[1:] != 0) | (symbols[:-1] != 0)
+    # what stands before a text is a separator, also before the first one
+    keep = symbols != 0
+    keep[1:] |= symbols[:-1] != 0
     first = np.concatenate([[0], np.cumsum(keep)])[borders]
     line = np.concatenate([np.zeros(ORDER - 1, np.uint8), symbols[keep]]).astype(np.int32)
     out = np.zeros(len(line) - ORDER + 1, np.int32)
