@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 
 from clientele.llm.textscan import batches, span_hashes
 
-CACHE_WORDS = 400_000                 # distinct pre-tokens kept by a worker
-BATCH = 1 << 21                       # characters encoded together
+CACHE_WORDS = 200_000                 # distinct pre-tokens kept by a worker
+BATCH = 1 << 20                       # characters encoded together
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
 

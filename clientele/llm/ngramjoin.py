@@ -37,7 +37,7 @@ CELL_BLOCK = 4096                 # members of a cell that one task holds; more
 FREQUENT = 1 << 16                # most frequent shingles that come last in the order
 SEEN = 4                          # how often in a batch a shingle must come to be counted
 SENT_ROWS = 4_000_000             # rows of an id list that are sent to the texts at most
-BATCH = 1 << 21
+BATCH = 1 << 20
 PIVOT_MEMBERS = 512               # texts that one copy of a head is held against
 _U = np.uint64
 

@@ -28,7 +28,7 @@ NGRAMS = (2, 3, 4)
 TRAIN_ROWS = 1500            # labelled rows of each class that training reads at most
 EPOCHS = 5
 RATE = 0.6
-BATCH = 1 << 21              # characters scored together
+BATCH = 1 << 20              # characters scored together
 _U = np.uint64
 
 

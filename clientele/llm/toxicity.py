@@ -34,7 +34,7 @@ WORD_DISCOUNT = 2.0                    # documents with a word that say nothing
 PASSAGE = 9                            # letters of the passage that counts
 CALIBRATION_ROWS = 1500                # rows of each class that fit the logistic curve
 FOLDS = 3                              # a row is rated for the curve by counts without its fold
-BATCH = 1 << 20
+BATCH = 1 << 19
 
 
 def _symbol(byte: int) -> int:
@@ -95,7 +95,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch["text"].tolist()
             group = (batch["fold"] * 2 + batch["label"]).to_numpy(np.int64)
-            for a, b in _ranges(texts, 1 << 22):
+            for a, b in _ranges(texts, 2 * BATCH):
                 for kind, (found, first) in enumerate((grams(texts[a:b]), words(texts[a:b]))):
                     text = np.repeat(np.arange(b - a), np.diff(first))
                     if kind:
