@@ -28,7 +28,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose toxicity is below 0.3; others go."""
     tune(spark)
     model = toxicity.toxicity_model(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return docs.where(toxicity.score(docs, model) < 0.3).select(*COLUMNS)
+    return toxicity.scored(docs.select(*COLUMNS), model).where("score < 0.3").select(*COLUMNS)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
