@@ -5,13 +5,17 @@ each domain. The document rates r >= 0 solve
 
     least squares over domains k of (sum over d of r_d * tokens_d * p_dk - target_k)
 
-by projected gradient steps. A step needs the expected totals only, one small aggregate
-over the table of memberships; the rate itself is a function of the steps so far, so no
-vector of rates is ever stored or sent.
+and of these rates the ones nearest to 1. A document's rate is what is left of 1 + sum
+over k of shift_k * p_dk after the projection to what may be emitted, so K shifts are all
+that is stored or sent. They are found by projected gradient steps, each scaled by the
+K x K matrix of the documents that move and shortened until it helps. A step needs one
+small aggregate over the table of memberships. Steps end when the totals are met, or when
+no step helps any more: then they cannot be met, which is reported.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +30,10 @@ from clientele.llm.quality import fit, prior_shift
 
 SYMBOLS = 64
 TRAIN_ROWS = 1000              # labelled rows of each domain that training reads at most
-STEPS, TOLERANCE = 20, 1e-3    # most steps; largest relative miss of a domain's total
+TOLERANCE = 1e-4               # largest relative miss of a domain's total
+NEAR = 1e-7                    # weight of the rates' distance from 1 beside the squares
+STALLED = 1e-10                # least gain of a step, per token
+KEEP_FROM = 0.5                # a document with this rate is kept once at least
 BATCH = 1 << 20
 
 
@@ -100,43 +107,127 @@ def memberships(docs: DataFrame, domains: Domains, tokenizer: str) -> DataFrame:
     return docs.withColumn("member", member("text")).select(*docs.columns, "member.n_tokens", "member.p")
 
 
-def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], total: float | None = None,
-              shrinking: tuple[str, ...] = ()) -> Column:
-    """The rate of a row of members(n_tokens, p), as a column over them.
+@dataclass
+class Fit:
+    """Rates that were found, and how near they come to the totals."""
+    names: list[str]
+    shift: np.ndarray
+    want: np.ndarray
+    reached: np.ndarray
+    keep_from: float | None
+
+    @property
+    def miss(self) -> dict[str, float]:
+        """By how much the total of each domain is off, as a share of what is wanted (of a
+        domain that is not wanted, as a share of all tokens wanted)."""
+        unit = np.where(self.want > 0, self.want, max(self.want.sum(), 1.0))
+        return dict(zip(self.names, ((self.reached - self.want) / unit).tolist(), strict=True))
+
+    @property
+    def rate(self) -> Column:
+        return _emitted(_shifted(self.shift), self.keep_from)
+
+
+def _shifted(shift: np.ndarray) -> Column:
+    return sum((F.get("p", F.lit(k)) * float(v) for k, v in enumerate(shift)), F.lit(1.0))
+
+
+def _emitted(x: Column, keep_from: float | None) -> Column:
+    """Copies expected of a row: never less than 0, and 1 at least from `keep_from` on."""
+    rate = F.greatest(x, F.lit(0.0))
+    return rate if keep_from is None else F.when(x >= keep_from, F.greatest(x, F.lit(1.0))).otherwise(rate)
+
+
+def _area(x: Column, keep_from: float | None) -> Column:
+    """The integral of _emitted from 0 to x; convex."""
+    below = F.greatest(x, F.lit(0.0)) * F.greatest(x, F.lit(0.0)) / 2
+    if keep_from is None:
+        return below
+    first = keep_from ** 2 / 2
+    return F.when(x < keep_from, below).when(x < 1, first + (x - keep_from)).otherwise(first + (1 - keep_from) + (x * x - 1) / 2)
+
+
+def _slope(x: Column, keep_from: float | None) -> Column:
+    """How fast _emitted grows; its jump at `keep_from` is spread over half a copy."""
+    if keep_from is None:
+        return F.when(x > 0, 1.0).otherwise(0.0)
+    return (_emitted(x + 0.25, keep_from) - _emitted(x - 0.25, keep_from)) / 0.5
+
+
+def solve(members: DataFrame, names: list[str], weights: dict[str, float], total: float | None = None,
+          shrinking: tuple[str, ...] = (), keep_from: float | None = None) -> Fit:
+    """Rates of the rows of members(n_tokens, p).
 
     `weights`: the share of each domain, made to sum to 1; a domain left out gets 0.
     `total`: tokens wanted; by default the least total at which no domain outside
-    `shrinking` has to lose tokens. Domains without tokens cannot be met and are left out
-    of the squares. Without tokens every rate is 1."""
-    p = [F.get("p", F.lit(k)) for k in range(len(names))]
+    `shrinking` has to lose tokens. `keep_from`: no rate is from here to 1, such rows are
+    kept once. Domains without tokens cannot be met and are left out of the squares.
+    Without tokens every rate is 1. Totals that cannot be met are met as nearly as the
+    squares say, with a warning."""
+    size = len(names)
+    p = [F.get("p", F.lit(k)) for k in range(size)]
     share = np.array([max(0.0, weights.get(n, 0.0)) for n in names])
     share = share / share.sum()
+    pairs = [(k, m) for k in range(size) for m in range(k, size)]
+
+    def look(shift: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        x, n = F.col("x"), F.col("n_tokens")
+        row = members.withColumn("x", _shifted(shift)).withColumns(
+            {"x_emitted": n * _emitted(x, keep_from), "x_slope": n * _slope(x, keep_from)}).agg(
+            *[F.sum(F.col("x_emitted") * q) for q in p], *[F.sum(F.col("x_slope") * p[k] * p[m]) for k, m in pairs],
+            F.sum(n * _area(x, keep_from))).first()
+        found = np.array([v or 0.0 for v in row], np.float64)
+        matrix = np.zeros((size, size))
+        for (k, m), v in zip(pairs, found[size:-1], strict=True):
+            matrix[k, m] = matrix[m, k] = v
+        return found[:size], matrix, float(found[-1])
+
+    shift = np.zeros(size)
+    reached, matrix, area = look(shift)
+    held, tokens = reached, reached.sum()
+    if tokens <= 0:
+        return Fit(names, shift, np.zeros(size), held, keep_from)
+    bound = [held[k] / share[k] for k, n in enumerate(names) if share[k] > 0 and n not in shrinking]
+    want = share * (total if total is not None else max(bound, default=tokens))
+    has = held > 0
+    scale = np.maximum(held, 1e-9 * tokens)
+    near = NEAR * scale ** 2 / tokens          # squares in units of what each domain holds
+
+    def value(at: np.ndarray, area: float) -> float:
+        return area - want[has] @ at[has] + (near * at * at)[has].sum() / 2
+
+    while np.abs((reached - want) / np.maximum(want, scale))[has].max() >= TOLERANCE:
+        slope = (reached - want + near * shift)[has]
+        ridge = near[has] + 1e-12 * np.trace(matrix) / size
+        step = np.zeros(size)
+        step[has] = -np.linalg.solve(matrix[np.ix_(has, has)] + np.diag(ridge), slope)
+        gain, now, part = -(slope @ step[has]), value(shift, area), 1.0
+        while part * gain > STALLED * tokens:
+            tried = look(shift + part * step)
+            if value(shift + part * step, tried[2]) <= now - 1e-4 * part * gain:
+                break
+            part /= 2
+        else:
+            break                               # no step helps
+        shift = shift + part * step
+        reached, matrix, area = tried
+    found = Fit(names, shift, want, reached, keep_from)
+    off = {n: round(m, 5) for n, m in found.miss.items() if abs(m) > 10 * TOLERANCE}
+    if off:
+        warnings.warn(f"mixing: totals that cannot be met, off by shares of {off}", stacklevel=2)
+    return found
 
-    def totals(rate: Column) -> np.ndarray:
-        row = members.agg(*[F.sum(rate * F.col("n_tokens") * q) for q in p]).first()
-        return np.array([v or 0.0 for v in row])
 
-    rate = F.lit(1.0)
-    held = reached = totals(rate)
-    if held.sum() <= 0:
-        return rate
-    bound = [held[k] / share[k] for k, n in enumerate(names) if share[k] > 0 and n not in shrinking]
-    want = share * (total if total is not None else max(bound, default=held.sum()))
-    scale = np.maximum(held, 1e-9 * held.sum())
-    for _ in range(STEPS):
-        # gradient of the squares, each domain in units of what it holds, per token of the row
-        miss = np.where(held > 0, (reached - want) / scale, 0.0)
-        if np.abs(miss * scale / np.maximum(want, scale)).max() < TOLERANCE:
-            break
-        push = sum((q * float(m) for q, m in zip(p[1:], miss[1:], strict=True)), p[0] * float(miss[0]))
-        rate = F.greatest(F.lit(0.0), rate - push)
-        reached = totals(rate)
-    return rate
-
-
-def copies(rate: Column, keep_from: float = 0.5) -> Column:
+def fit_rates(members: DataFrame, names: list[str], weights: dict[str, float], total: float | None = None,
+              shrinking: tuple[str, ...] = (), keep_from: float | None = None) -> Column:
+    """The rate of a row of members(n_tokens, p), as a column over them; see `solve`."""
+    return solve(members, names, weights, total, shrinking, keep_from).rate
+
+
+def copies(rate: Column, keep_from: float = KEEP_FROM) -> Column:
     """Whole copies of a row: the rate, its fraction decided by a hash of doc_id. A row
-    with a rate of at least `keep_from` is kept once at least."""
+    with a rate of at least `keep_from` is kept once at least; rates fitted with the same
+    `keep_from` are the copies expected."""
     chance = F.pmod(F.xxhash64(F.lit(10), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     return F.greatest(F.floor(rate + chance), F.when(rate >= keep_from, 1).otherwise(0)).cast("int")
 
@@ -149,5 +240,5 @@ def mixed(docs: DataFrame, domains: Domains, weights: dict[str, float], tokenize
     docs = docs.drop("n_tokens", "p", "rate", "copies", "member")
     memberships(docs, domains, tokenizer).write.parquet(folder)
     members = docs.sparkSession.read.parquet(folder)
-    rate = fit_rates(members, domains.names, weights, total, shrinking)
+    rate = fit_rates(members, domains.names, weights, total, shrinking, KEEP_FROM)
     return members.withColumn("rate", rate).withColumn("copies", copies(F.col("rate")))

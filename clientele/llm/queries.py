@@ -192,7 +192,7 @@ def mixing_rates(spark, sf_dir):
     domains = domain_model(spark, sf_dir)
     mixing.memberships(docs, domains, tokenizer_path()).drop("text").write.parquet(folder)
     members = spark.read.parquet(folder)
-    rate = mixing.fit_rates(members, domains.names, WEIGHTS, shrinking=(FLAGGED,))
+    rate = mixing.fit_rates(members, domains.names, WEIGHTS, shrinking=(FLAGGED,), keep_from=mixing.KEEP_FROM)
     return members.select("doc_id", "n_tokens", *[F.get("p", F.lit(k)).alias(f"p_{n}") for k, n in enumerate(domains.names)],
                           rate.alias("rate"), mixing.copies(rate).alias("copies"))
 
