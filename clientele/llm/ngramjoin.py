@@ -6,14 +6,15 @@ corners of two boxes bound all pairs below them in the same way.
 
 A global R-tree over such points cannot part texts of like length (every box reaches
 every other, see the README), so space is first cut into cells: a text is entered for
-each of its rarest shingles, as many as a linked text cannot miss all of. Each cell holds
-an R-tree of its own, packed by size. Pairs whose bound survives are verified on whole
+each of its rarest shingles, as many as a linked text cannot miss all of. A cell
+that the first round leaves in parts gets a tree of one level of leaves, packed by size. Pairs whose bound survives are verified on whole
 shingle sets. Texts with equal sets are one node throughout.
 
 In a first round every member of a cell meets one other only, its head. Cells whose
 members are then all connected are done; in the others the trees find every further pair
 between parts that are not connected yet. No link between parts is lost, and a group of
-near copies costs its size, not the square of it.
+near copies costs its size, not the square of it. Links within a part are not all looked for,
+so they are not counted.
 """
 
 from __future__ import annotations
