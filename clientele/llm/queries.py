@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clientele.llm import chat, covertree, files, mixing, ngramjoin, packing, permindex, quality, tokencount, toxicity, warc
+from clientele.llm import chat, covertree, files, mixing, ngramjoin, packing, permindex, quality, tokencount, toxicity, trie, warc
 from clientele.session import scratch_dir
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,3 +223,61 @@ FROM documents JOIN c ON id = doc_id LEFT JOIN n USING (doc_id)
 def ngram_jaccard_join(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return ngramjoin.joined(docs, scratch_dir(spark, "jaccard")).select("doc_id", "n_shingles", "component_id")
+
+
+# ---------------------------------------------------------------- 11: prefix trie
+
+SHARED_BLOCK, SHARED_TURNS = 100, 6      # conversations c to c + 99 may begin like c; by fewer turns than this
+
+_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+-- crc32 bit by bit: the register is divided by the reversed polynomial
+c AS (
+  SELECT conv_id, max(i) AS n, conv_id - conv_id % 100 AS base, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+                             lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 6 AS h
+  FROM t GROUP BY conv_id),
+r AS (
+  SELECT c.conv_id, i AS d, role, text FROM c JOIN t ON t.conv_id = base AND i <= h
+  UNION ALL
+  SELECT c.conv_id, i - h + least(h, coalesce(b.n, 0)), role, text
+  FROM c JOIN t ON t.conv_id = c.conv_id AND i > h LEFT JOIN (SELECT conv_id, n FROM c) b ON b.conv_id = base),
+p AS (
+  SELECT conv_id, d, length(text) AS size,
+         list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, [] FROM c),
+q AS (SELECT conv_id, d, size, path, max(d) OVER (PARTITION BY conv_id) AS last FROM p),
+n AS (
+  SELECT path, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last = d), '')) AS ends_sha256
+  FROM q GROUP BY path),
+k AS (SELECT n.*, up.conv_id AS parent_conv_id, up.path AS above
+      FROM n LEFT JOIN n up ON n.depth = up.depth + 1 AND n.path[1:n.depth - 1] = up.path),
+f AS (SELECT k.*, (SELECT count(*) FROM k x WHERE x.above = k.path AND x.depth = k.depth + 1) AS n_children FROM k)
+SELECT f.conv_id, f.depth, f.parent_conv_id, f.n_convs, f.n_children, f.ends_sha256,
+       count(*) FILTER (s.n_children = 0) AS n_leaves, CAST(sum((s.n_convs - 1) * s.size) AS BIGINT) AS saved_tokens
+FROM f JOIN f s ON s.depth >= f.depth AND s.path[1:f.depth] = f.path
+GROUP BY ALL
+"""
+
+
+def rebuilt_conversations(conversations: DataFrame) -> DataFrame:
+    """(conv_id, turns): every conversation with its first turns replaced by those of the
+    first conversation of its block, none if that one is missing."""
+    own = trie.ordered_turns(conversations)
+    block = F.col("conv_id") % SHARED_BLOCK
+    first = own.where(block == 0).select(F.col("conv_id").alias("_base"), F.slice("turns", 1, SHARED_TURNS - 1).alias("_first"))
+    shared = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % SHARED_TURNS).cast("int")
+    rest = F.slice("turns", F.col("_h") + 1, F.greatest(F.size("turns") - F.col("_h"), F.lit(0)))
+    begin = F.slice("_first", F.lit(1), F.col("_h"))
+    return own.withColumns({"_base": F.col("conv_id") - block, "_h": shared}).join(first, "_base", "left").select(
+        "conv_id", F.when(F.col("_first").isNull(), rest).otherwise(F.concat(begin, rest)).alias("turns"))
+
+
+@query("op11_prefix_trie", _TRIE_SQL)
+def prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(rebuilt_conversations(read(spark, sf_dir, "conversations")), scratch_dir(spark, "trie"))
