@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from clientele.llm import chat, covertree, files, mixing, ngramjoin, packing, permindex, quality, tokencount, toxicity, trie, warc
+from clientele.llm import chat, covertree, files, mixing, ngramjoin, packing, permindex, quality, randomness, ranked, tokencount, toxicity, trie, warc
 from clientele.session import scratch_dir
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -281,3 +281,97 @@ def rebuilt_conversations(conversations: DataFrame) -> DataFrame:
 @query("op11_prefix_trie", _TRIE_SQL)
 def prefix_trie(spark, sf_dir):
     return trie.prefix_trie(rebuilt_conversations(read(spark, sf_dir, "conversations")), scratch_dir(spark, "trie"))
+
+
+# ---------------------------------------------------------------- 12: secrets
+
+
+def _secrets_sql() -> str:
+    """The battery restated over lists. Positions come from the pieces between matches."""
+    r = randomness
+    quoted = {k: p.replace("'", "''") for k, p in {"assign": r.ASSIGN, "access": r.ACCESS, "hex": r.HEX, "random": r.TOKEN}.items()}
+    kinds = " UNION ALL ".join(
+        f"""SELECT id, {i} AS kind, unnest(range(1, len(f) + 1)) AS i, f, string_split_regex(text, '{p}') AS g
+            FROM (SELECT id, text, regexp_extract_all(text, '{p}') AS f FROM d)""" for i, p in enumerate(quoted.values()))
+
+    def pick(column) -> str:
+        whens = " ".join(f"WHEN regexp_matches(body, '{e[1]}') THEN {column(k, *e[2:])}" for k, e in enumerate(r.ENCODINGS[:-1]))
+        return f"CASE {whens} ELSE {column(len(r.ENCODINGS) - 1, *r.ENCODINGS[-1][2:])} END"
+
+    family = " + ".join(f"CAST(n >= {bound} AS INT)" for bound in r.LENGTHS)
+    names = "['" + "', '".join(r.KINDS) + "']"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+s AS (SELECT id, kind, f[i] AS found, CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM ({kinds})),
+spans AS (SELECT id, kind, found, start, start + length(found) AS stop FROM s
+          WHERE kind <> 0 OR length(regexp_extract(found, '{quoted["assign"]}', 2)) >= {r.VALUE_CHARS}),
+b AS (SELECT *, rtrim(found, '=') AS body FROM spans WHERE kind = 3),
+e AS (SELECT *, CAST(length(body) AS DOUBLE) AS n, {pick(lambda k, a, e, c: k)} AS enc, {pick(lambda k, a, e, c: f"'{a}'")} AS alphabet,
+             {pick(lambda k, a, e, c: f"{e}::DOUBLE")} AS eq, {pick(lambda k, a, e, c: f"{c}::DOUBLE")} AS ch FROM b),
+f AS (SELECT *, CASE enc WHEN 5 THEN translate(body, '-_', '+/') WHEN 3 THEN body ELSE lower(body) END AS folded FROM e),
+m AS (SELECT *, list_transform(string_split(folded, ''), lambda c: 2 * strpos(alphabet, c) - 1 - length(alphabet)) AS v,
+             list_sum(list_transform(string_split(alphabet, ''),
+                      lambda c: (length(folded) - length(replace(folded, c, ''))) ** 2)) AS squares,
+             len(regexp_extract_all(folded, '{r.CLASS_RUNS}')) AS runs FROM f),
+z AS (SELECT *, (eq - (squares - n) / (n * (n - 1))) / sqrt(2 * eq * (1 - eq) / (n * (n - 1)) + 4 * {r.CUBES}::DOUBLE * eq * eq / n) AS z1,
+             CASE WHEN ch > 0 THEN ((runs - 1) / (n - 1) - ch) / sqrt(ch * (1 - ch) / (n - 1)) ELSE 0 END AS z2,
+             list_sum(list_transform(v, lambda x: x * x)) AS total,
+             list_sum(list_transform(range(1, len(v)), lambda i: v[i] * v[i + 1])) AS pairs FROM m),
+w AS (SELECT *, ({r.CORRELATION}::DOUBLE - abs(CASE WHEN total > 0 THEN CAST(pairs AS DOUBLE) / CAST(total AS DOUBLE) ELSE 1 END)) * sqrt(n) AS z3 FROM z),
+u AS (SELECT *, CASE WHEN z1 > 0 THEN z1 * z1 / 2 ELSE 0 END + CASE WHEN z2 > 0 THEN z2 * z2 / 2 ELSE 0 END
+             + CASE WHEN z3 > 0 THEN z3 * z3 / 2 ELSE 0 END AS weight FROM w),
+l AS (SELECT id, kind, start, stop, enc * {len(r.LENGTHS) + 1} + {family} AS family,
+             least(floor((weight - ln(1 + weight + weight * weight / 2)) * {r.STEPS}), {r.LEVELS}) AS level FROM u),
+k AS (SELECT family, level, sum(count(*)) OVER (PARTITION BY family) AS everything,
+             sum(count(*)) OVER (PARTITION BY family ORDER BY level DESC) AS found FROM l GROUP BY family, level),
+t AS (SELECT family, min(level) AS least_level FROM k WHERE everything * exp(-level / {r.STEPS}) <= {r.RATE}::DOUBLE * found GROUP BY family),
+o AS (SELECT id, kind, start, stop FROM spans WHERE kind < 3
+      UNION ALL SELECT id, kind, start, stop FROM l JOIN t USING (family) WHERE level >= least_level),
+j AS (SELECT id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS c, count(*) FILTER (kind = 2) AS h,
+             string_agg(({names})[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
+             string_agg(({names})[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM o GROUP BY id)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (id)"""
+
+
+@query("op12_secret_scans", _secrets_sql())
+def secret_scans(spark, sf_dir):
+    found = randomness.scan_secrets(read(spark, sf_dir, "documents"), scratch_dir(spark, "secrets"))
+
+    def number(kind: int):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    base = F.filter("spans", lambda s: s["kind"] < 3)
+    return found.select("doc_id", number(0).alias("n_assign"), number(1).alias("n_access"), number(2).alias("n_hex"),
+                        F.sha2(randomness.written(base), 256).alias("base_sha256"), randomness.written(F.col("spans")).alias("spans"))
+
+
+# ---------------------------------------------------------------- 13: ranked search
+
+_RANKED_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+i AS (
+  SELECT row, item_id, term, count(*) AS times FROM (
+    SELECT row_number() OVER () AS row, item_id, unnest(regexp_extract_all(
+      translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+n AS (SELECT id, any_value(doc_id) AS doc_id, count(*) AS n FROM d GROUP BY id),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS long FROM n),
+m AS (SELECT id, doc_id, 100 - 75 + ((75 * n * docs) // long) AS m FROM n, a),
+t AS (SELECT id, term, count(*) AS tf FROM d WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+      FROM (SELECT term, count(*) AS df FROM t GROUP BY term), a),
+s AS (SELECT i.row, i.item_id, m.doc_id, m.id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+      FROM i JOIN w USING (term) JOIN t USING (term) JOIN m USING (id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id) <= 10
+"""
+
+
+@query("op13_ranked_search", _RANKED_SQL)
+def ranked_search(spark, sf_dir):
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), scratch_dir(spark, "ranked"))
