@@ -245,6 +245,8 @@ def _searched(found: DataFrame, items: Items, documents: int, length: int, k: in
                     held, rows = [], 0
         if held:
             ask()
+        if not best:
+            return
         numbers = np.concatenate([np.full(len(b.ids), j) for j, b in enumerate(best)])
         ids = np.concatenate([b.ids for b in best])
         yield pa.RecordBatch.from_arrays(

@@ -53,10 +53,11 @@ def test_battery(spark):
 
 def test_level_grows_with_length(spark):
     rng = random.Random(6)
-    tokens = ["".join(rng.choice(randomness.ENCODINGS[5][2]) for _ in range(n)) for n in (24, 48, 96, 192)]
+    lengths = (24, 48, 96, 192)
+    tokens = ["".join(rng.choice(randomness.ENCODINGS[5][2]) for _ in range(n)) for n in lengths for _ in range(20)]
     rows = spark.createDataFrame([(tokens,)], "t array<string>").select(randomness.levels(F.col("t")).alias("m")).first()
-    levels = [m["level"] for m in rows["m"]]
-    assert levels == sorted(levels) and levels[0] < levels[3]
+    means = [sum(m["level"] for m in rows["m"][20 * i:20 * i + 20]) for i in range(len(lengths))]
+    assert means == sorted(means)
 
 
 def test_odd_rows(spark):
