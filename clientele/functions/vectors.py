@@ -59,7 +59,9 @@ class Best:
         self.score = np.full((len(qids), k), -np.inf)
         self.ids: np.ndarray | None = None
 
-    def add(self, ids: np.ndarray, corpus: np.ndarray, tenants: np.ndarray | None = None) -> None:
+    def add(self, ids: np.ndarray, corpus: np.ndarray, tenants: np.ndarray | None = None,
+            only: np.ndarray | None = None) -> None:
+        """`only`: numbers of the queries that meet these rows, by default all."""
         if not len(ids) or not len(self.qids):
             return
         order = np.argsort(ids, kind="stable")      # argmax below then prefers the lower id
@@ -69,16 +71,17 @@ class Best:
             self.ids = np.full((len(self.qids), self.k), ids[0], dtype=ids.dtype)
         elif ids.dtype.kind == "U" and ids.dtype.itemsize > self.ids.dtype.itemsize:
             self.ids = self.ids.astype(ids.dtype)
-        for start in range(0, len(self.qids), self.tile):
-            self._tile(slice(start, start + self.tile), ids, corpus, tenants)
+        for start in range(0, len(self.qids if only is None else only), self.tile):
+            part = slice(start, start + self.tile)
+            self._tile(part if only is None else only[part], ids, corpus, tenants)
 
-    def _tile(self, part: slice, ids: np.ndarray, corpus: np.ndarray, tenants: np.ndarray | None) -> None:
+    def _tile(self, part: slice | np.ndarray, ids: np.ndarray, corpus: np.ndarray, tenants: np.ndarray | None) -> None:
         sim = scores(self.queries[part], corpus, self.metric)
         sim[np.isnan(sim)] = -np.inf
         if self.exclude:
-            sim[self.qids[part, None] == ids[None, :]] = -np.inf
+            sim[self.qids[part][:, None] == ids[None, :]] = -np.inf
         if tenants is not None:
-            sim[self.tenants[part, None] != tenants[None, :]] = -np.inf
+            sim[self.tenants[part][:, None] != tenants[None, :]] = -np.inf
         if self.threshold is not None:
             sim[sim <= self.threshold] = -np.inf
         rows = np.arange(len(sim))

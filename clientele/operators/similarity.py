@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from clientele.functions.vectors import METRICS, Best, keys, matrix
+from clientele.operators.buckets import search_corpus
 
 QUERY_ROWS = 10_000
 BLOCK_ROWS = 10_000
@@ -140,35 +141,10 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | No
     return top.select("qid", "id", "similarity", "rank")
 
 
-def signatures(vector: Column, dimensions: int, tables: int, bits: int, seed: int = 0) -> Column:
-    """One bucket name per hash table: the sides of random planes a vector is on."""
-    planes = np.random.default_rng(seed).standard_normal((dimensions, tables * bits))
-
-    @F.pandas_udf("array<string>")
-    def sides(vectors: pd.Series) -> pd.Series:
-        signs = (np.stack(vectors.to_list()).astype(np.float64) @ planes) > 0
-        codes = signs.reshape(len(vectors), tables, bits) @ (1 << np.arange(bits))
-        return pd.Series([[f"{t}-{c}" for t, c in enumerate(row)] for row in codes])
-
-    return sides(vector)
-
-
-def similar_lsh(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, *, dimensions: int,
-                tables: int = 8, bits: int = 4, seed: int = 0, exclude_same_id: bool = False,
-                block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Approximate `similar`: only vectors sharing a bucket are compared.
-
-    Buckets go through the same block search, so a bucket that holds a large
-    part of the corpus is split over tasks and still answers with k rows."""
-    schema = _result_schema(queries, corpus, "qid", "id")
-
-    def hashed(df: DataFrame, key: str) -> DataFrame:
-        # aliases give each side its own columns, also when both are the same frame
-        return df.where(F.col("embedding").isNotNull()).select(
-            F.col(key).alias(key), F.col("embedding").alias("embedding"), F.explode(signatures(F.col("embedding"), dimensions, tables, bits, seed)).alias("_g"))
-
-    options = dict(k=k, metric="cosine", threshold=threshold, exclude_same_id=exclude_same_id)
-    found = _blocks(hashed(queries, "qid"), hashed(corpus, "id"), schema, options, True, block_rows)
-    return _ranked(found.distinct(), k).select("qid", "id", "similarity", "rank")
-
-
+def similar_lsh(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, *,
+                exclude_same_id: bool = False, **options) -> DataFrame:
+    """Approximate `similar` by cosine, see `buckets`: only vectors in visited cells are
+    compared. `options` are those of `buckets.search_corpus` and `buckets.Tables`."""
+    found = search_corpus(queries, corpus, k, threshold, exclude_same_id=exclude_same_id, **options)
+    near = found.where(F.col("qid").isNotNull()).select("qid", "id", "similarity").distinct()
+    return _ranked(near, k).select("qid", "id", "similarity", "rank")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clientele.operators import corpus as corp
+from clientele.operators import buckets, corpus as corp
 from clientele.operators.similarity import similar, similar_lsh
 from clientele.operators.text_vectors import term_weights, vectors
 from clientele.plans.registry import query
@@ -149,10 +149,61 @@ def model_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corp.model_route(asked, similar(asked, stored, EXAMPLES, ROUTE_THRESHOLD, exclude_same_id=True))
 
 
-@query("knn_lsh")
+def _buckets_sql(body: str, hashes: int = 12) -> str:
+    """The bucket-length search restated: `met` holds the pairs of each table that share a
+    visited cell. The directions are written out; up to `hashes` of them are used, by the
+    count of the corpus."""
+    t = buckets.Tables(64, hashes, 0)
+    directions, offsets = t.directions(), t.offsets()
+    rows = ", ".join(f"({i}, {j + 1}, {directions[i, :, j].tolist()}::DOUBLE[], {float(offsets[i, j])!r}::DOUBLE)"
+                     for i in range(t.tables) for j in range(hashes))
+    return f"""
+WITH RECURSIVE e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM e WHERE list_inner_product(v, v) > 0),
+m AS (SELECT greatest(4, CAST(floor(ln(count(*))) AS INT)) AS m FROM e),
+directions(t, j, d, o) AS (VALUES {rows}),
+p AS (SELECT vec_id, t, j, list_inner_product(v, d) / {t.length}::DOUBLE + o AS p FROM u, directions, m WHERE j <= m),
+c AS (SELECT vec_id, t, list(CAST(floor(p) AS INT) ORDER BY j) AS cell FROM p GROUP BY ALL),
+b AS (SELECT vec_id, t, j, -1 AS s, p - floor(p) AS far FROM p UNION ALL SELECT vec_id, t, j, 1, 1 - (p - floor(p)) FROM p),
+o AS (SELECT vec_id, t, list({{'j': j, 's': s}} ORDER BY far, s, j) AS borders FROM b GROUP BY ALL),
+cost AS (SELECT j, CASE WHEN j <= m THEN j * (j + 1)
+                   ELSE 4 * (m + 1) * (m + 2) - 4 * (m + 2) * (2 * m + 1 - j) + (2 * m + 1 - j) * (2 * m + 2 - j) END AS cost
+         FROM m, range(1, 2 * m + 1) r(j)),
+sets AS (SELECT []::BIGINT[] AS s, 0::BIGINT AS cost UNION ALL
+         SELECT list_append(s, j), sets.cost + cost.cost FROM sets, cost, m
+         WHERE len(s) < least({buckets.CROSSED}, m) AND (len(s) = 0 OR j > s[-1]) AND NOT list_contains(s, 2 * m + 1 - j)),
+chosen AS (SELECT s FROM sets ORDER BY cost, len(s), s LIMIT (SELECT CAST(floor(7 * 1.6 ** m) AS BIGINT) FROM m)),
+visits AS (SELECT vec_id, t, list_transform(cell, lambda x, i: CAST(x + coalesce(list_sum(list_transform(s,
+             lambda k: CASE WHEN borders[k].j = i THEN borders[k].s ELSE 0 END)), 0) AS INT)) AS cell
+           FROM c JOIN o USING (vec_id, t), chosen),
+met AS (SELECT t, q.vec_id AS qid, x.vec_id AS id FROM (SELECT DISTINCT * FROM visits) q JOIN c x USING (t, cell)),
+scored AS (SELECT qid, id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM (SELECT DISTINCT qid, id FROM met WHERE qid <> id)
+           JOIN e a ON a.vec_id = qid JOIN e b ON b.vec_id = id),
+top AS (SELECT qid, id, s, row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) AS rank FROM scored
+        WHERE s > {THRESHOLD} QUALIFY rank <= {EXAMPLES})
+{body}"""
+
+
+@query("knn_lsh", _buckets_sql(_KNN))
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, stored = _sides(spark, sf_dir)
-    return similar_lsh(asked, stored, EXAMPLES, THRESHOLD, dimensions=64, exclude_same_id=True)
+    return _shown(similar_lsh(asked, stored, EXAMPLES, THRESHOLD, exclude_same_id=True))
+
+
+@query("knn_lsh_recall", _buckets_sql(f""",
+pairs AS (SELECT a.vec_id AS qid, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+exact AS (SELECT qid, id FROM pairs WHERE s > {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, id) <= {EXAMPLES})
+SELECT count(*) AS wanted, count(top.id) AS found, count(top.id) >= 0.9 * count(*) AS enough,
+       (SELECT count(*) FROM met) AS compared FROM exact LEFT JOIN top USING (qid, id)"""))
+def knn_lsh_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the three nearest the approximate search finds, and what it compares."""
+    asked, stored = _sides(spark, sf_dir)
+    found = buckets.search_corpus(asked, stored, EXAMPLES, THRESHOLD, exclude_same_id=True)
+    near = found.where(F.col("qid").isNotNull()).select("qid", "id").distinct().withColumn("hit", F.lit(1))
+    exact = similar(asked, stored, EXAMPLES, THRESHOLD, exclude_same_id=True, strategy="blocks").select("qid", "id")
+    counts = exact.join(near, ["qid", "id"], "left").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"))
+    pairs = found.agg(F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
+    return counts.withColumn("enough", F.col("found") >= 0.9 * F.col("wanted")).withColumn("compared", pairs.scalar())
 
 
 # ------------------------------------------------------ questions and answers
