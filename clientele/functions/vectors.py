@@ -38,10 +38,8 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
-    """Similarity matrix, larger = closer: cosine, inner product or minus L2."""
-    if metric == "cosine":
-        out = unit(queries) @ unit(corpus).T
-    elif metric == "ip":
+    """Similarity matrix, larger = closer: cosine of unit vectors, inner product or minus L2."""
+    if metric in ("cosine", "ip"):
         out = queries @ corpus.T
     else:
         squares = (queries ** 2).sum(1)[:, None] + (corpus ** 2).sum(1)[None, :] - 2 * (queries @ corpus.T)
@@ -54,7 +52,7 @@ class Best:
 
     def __init__(self, qids: np.ndarray, queries: np.ndarray, k: int, metric: str, threshold: float | None,
                  exclude_same_id: bool, tenants: np.ndarray | None = None, tile: int = 1024):
-        self.qids, self.queries, self.k, self.metric = qids, queries, k, metric
+        self.qids, self.queries, self.k, self.metric = qids, unit(queries) if metric == "cosine" else queries, k, metric
         self.threshold, self.exclude, self.tenants, self.tile = threshold, exclude_same_id, tenants, tile
         self.score = np.full((len(qids), k), -np.inf)
         self.ids: np.ndarray | None = None
@@ -65,7 +63,7 @@ class Best:
         if not len(ids) or not len(self.qids):
             return
         order = np.argsort(ids, kind="stable")      # argmax below then prefers the lower id
-        ids, corpus = ids[order], corpus[order]
+        ids, corpus = ids[order], unit(corpus[order]) if self.metric == "cosine" else corpus[order]
         tenants = None if tenants is None else tenants[order]
         if self.ids is None:
             self.ids = np.full((len(self.qids), self.k), ids[0], dtype=ids.dtype)
@@ -84,6 +82,11 @@ class Best:
             sim[self.tenants[part][:, None] != tenants[None, :]] = -np.inf
         if self.threshold is not None:
             sim[sim <= self.threshold] = -np.inf
+        # only queries that may gain something are ranked again
+        rising = np.flatnonzero((sim.max(axis=1) >= self.score[part, -1]) & (sim.max(axis=1) > -np.inf))
+        if not len(rising):
+            return
+        sim, part = sim[rising], np.arange(len(self.qids))[part][rising]
         rows = np.arange(len(sim))
         found, found_ids = [self.score[part]], [self.ids[part]]
         for _ in range(min(self.k, len(ids))):

@@ -3,12 +3,13 @@
 Exact, in two ways. Both score blocks of vectors in numpy and keep k rows per
 query and block; pairs are never listed.
 
-* strategy "scan": the query matrix is shipped to all tasks in bundles of about
-  QUERY_ROWS rows and the corpus is scanned once per bundle where it lies - no shuffle;
-* strategy "blocks": any number of queries; both sides are hashed into blocks of about BLOCK_ROWS rows and
-  every query block meets every corpus block in its own task. Equality filters
-  that apply before ranking become part of the block key, and a group that is
-  large gets more blocks.
+* strategy "scan": up to QUERY_ROWS queries are shipped to all tasks and the corpus is
+  scanned once where it lies - no shuffle. More queries go through "blocks";
+* strategy "blocks": any number of queries, which stay a table. Distances to pivots tell
+  which blocks of the corpus a query has to meet, see `pivots`. With equality filters that
+  apply before ranking, both sides are hashed into blocks of about BLOCK_ROWS rows within
+  their group, and every query block of a group meets every corpus block of it; so does the
+  inner product, which is no distance.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from clientele.functions.vectors import METRICS, Best, keys, matrix
+from clientele.operators import pivots
 from clientele.operators.buckets import search_corpus
 
 QUERY_ROWS = 10_000
@@ -105,7 +107,7 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | No
     """(qid, id, similarity, rank) of the k nearest rows above a threshold.
 
     pre_filter   columns that must be equal before ranking
-    strategy     "scan" or "blocks", see above; the caller's choice, never the data's
+    strategy     "scan" or "blocks", see above; the rows are the same
     post_filter  columns that must be equal after ranking: a query may then get
                  fewer than k rows although more would qualify
     Similarity is 1 - cosine distance, the inner product, or minus the L2
@@ -122,15 +124,13 @@ def similar(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | No
         asked, stored = asked.where(F.col("_g").isNotNull()), stored.where(F.col("_g").isNotNull())
     options = dict(k=k, metric=metric, threshold=threshold, exclude_same_id=exclude_same_id)
     if strategy == "scan":
-        # the same plan for each bundle of queries; one bundle at a time passes through the driver
-        bundles = max(1, -(-asked.count() // query_rows))
-        found = None
-        for i in range(bundles):
-            some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(bundles)) == i).toArrow()
-            part = _scan(some, stored, schema, options, bool(pre_filter))
-            found = part if found is None else found.unionByName(part)
-    else:
+        few = asked.limit(query_rows + 1).toArrow()
+    if strategy == "scan" and len(few) <= query_rows:
+        found = _scan(few, stored, schema, options, bool(pre_filter))
+    elif pre_filter or metric == "ip":
         found = _blocks(asked, stored, schema, options, bool(pre_filter), block_rows)
+    else:
+        found = pivots.search(asked, stored, schema, _arrow(schema), options, block_rows)
     top = _ranked(found, k)
     if post_filter:
         mine = queries.select(F.col(qid).alias("qid"), *[F.col(c).alias(f"_q_{c}") for c in post_filter])
