@@ -86,6 +86,59 @@ def life_arrays(lines: DataFrame) -> DataFrame:
                  _nest(LIFE_BRAND.fieldNames()).alias(TOTAL_ARRAY)))
 
 
+# A user with more purchase lines than this gets more than one task.
+HEAVY_LINES = 1_000_000
+HEAVY_USERS, TRACKED = 1000, 100_000         # bounds of the sketch that looks for them
+
+
+def heavy_users(lines: DataFrame, most: int | None = None) -> list:
+    """Users with more than `most` lines, by a frequent-items sketch: one pass that shuffles
+    sketches only. At most HEAVY_USERS of them are named; a user that is missed costs time,
+    not rows."""
+    top = lines.where(F.col("user_id").isNotNull()).agg(
+        F.expr(f"approx_top_k(user_id, {HEAVY_USERS}, {TRACKED})").alias("top")).first()["top"]
+    return sorted(t["item"] for t in top or [] if t["count"] > (HEAVY_LINES if most is None else most))
+
+
+def _cells(by_user: DataFrame) -> DataFrame:
+    """Per user, day and brand, with what the coarser levels need."""
+    return by_user.groupBy("user_id", "session_day", "brand_name").agg(
+        F.collect_set("category").alias("_categories"), F.collect_set("product_id").alias("_ids"),
+        F.count(F.lit(1)).alias("purchased_items"), F.sum("item_price").alias("_spend"),
+        F.min("session_created_at").alias("_first"), F.max("session_created_at").alias("_last"))
+
+
+def _shown(categories: Column, ids: Column) -> list[Column]:
+    return [F.when(F.size(categories) > 0, F.array_join(F.sort_array(categories), ",")).alias("category"),
+            F.sort_array(ids).alias("product_ids"), as_money(F.col("_spend")).alias("brand_spend")]
+
+
+def user_history(lines: DataFrame, heavy: list | tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """`day_arrays` and `life_arrays` from one distribution of the lines.
+
+    The lines are hashed by user once; every level - day and brand, day, brand, lifetime -
+    groups within these partitions, and a join of both results by user moves nothing
+    either. All lines of a user meet in one task. For users named in `heavy` they do not:
+    theirs are pre-aggregated and distributed by user and day."""
+    many = F.col("user_id").isin(list(heavy))
+    cells = _cells((lines.where(F.col("user_id").isNull() | ~many) if heavy else lines).repartition("user_id"))
+    days = cells.select("*", *_shown(F.col("_categories"), F.col("_ids"))).groupBy("user_id", "session_day").agg(
+        F.sum("purchased_items").alias("daily_purchased_items"), as_money(F.sum("_spend")).alias("daily_spend"),
+        _nest(DAY_BRAND.fieldNames()).alias(DAILY_ARRAY))
+    brands = cells.groupBy("user_id", "brand_name").agg(
+        F.array_distinct(F.flatten(F.collect_list("_categories"))).alias("_categories"),
+        F.array_distinct(F.flatten(F.collect_list("_ids"))).alias("_ids"), F.sum("purchased_items").alias("purchased_items"),
+        F.sum("_spend").alias("_spend"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    life = brands.select("*", *_shown(F.col("_categories"), F.col("_ids"))).groupBy("user_id").agg(
+        F.sum("purchased_items").alias("total_purchased_items"), as_money(F.sum("_spend")).alias("total_spend"),
+        F.min("_first").alias("first_purchase_date"), F.max("_last").alias("last_purchase_date"),
+        _nest(LIFE_BRAND.fieldNames()).alias(TOTAL_ARRAY))
+    if heavy:
+        theirs = lines.where(many)
+        days, life = days.unionByName(day_arrays(theirs)), life.unionByName(life_arrays(theirs))
+    return days, life
+
+
 def user_daily(users: DataFrame, lines: DataFrame) -> DataFrame:
     """Every user with their purchase days; one row with NULLs if there is none."""
     days = day_arrays(lines).withColumnRenamed("user_id", "id")
@@ -114,12 +167,14 @@ def cart_copies(marks: DataFrame, include_never_purchased: bool = False) -> Data
 
 
 def user_global(users: DataFrame, lines: DataFrame, marks: DataFrame, *, dedupe_carts: bool = True,
-                include_never_purchased: bool = False, arrays: bool = True) -> DataFrame:
-    """One row per user: who they are and what they did so far.
+                include_never_purchased: bool = False, arrays: bool = True, life: DataFrame | None = None) -> DataFrame:
+    """One row per user: who they are and what they did so far. `life`: lifetime rows with
+    arrays that were made already.
 
     With `dedupe_carts=False` a user comes back once per abandoned session, the
     way a plain left join to those sessions would do it."""
-    life = life_arrays(lines) if arrays else user_orders_global(lines)
+    if life is None:
+        life = life_arrays(lines) if arrays else user_orders_global(lines)
     out = (users.select("id", "age", "gender", "country")
            .join(life.withColumnRenamed("user_id", "id"), "id", "left")
            .join(cart_flags(marks, include_never_purchased).withColumnRenamed("user_id", "id"), "id", "left"))

@@ -21,10 +21,14 @@ class Frames:
     lines: DataFrame       # one row per purchased item
     paid: DataFrame        # keys of the sessions that were paid for
 
-    def user_aggregates(self, daily: bool = True, total: bool = True) -> DataFrame:
-        """`daily` / `total` = False leaves that array (and its shuffles) out of
+    def user_aggregates(self, daily: bool = True, total: bool = True, heavy: list | tuple = ()) -> DataFrame:
+        """With both arrays the lines are distributed once, but for those of `heavy` users. `daily` / `total` = False leaves that array (and its shuffles) out of
         the plan when a question does not read it. Days are joined to the user
         rows directly; going through `user_daily` would read the users twice."""
+        if daily and total:
+            days, life = usr.user_history(self.lines, heavy)
+            out = usr.user_global(self.users, self.lines, self.marks, life=life)
+            return usr.user_aggregates(out, days.withColumnRenamed("user_id", "id"), "left")
         days = usr.day_arrays(self.lines) if daily else usr.user_day_orders(self.lines)
         life = usr.user_global(self.users, self.lines, self.marks, arrays=total)
         return usr.user_aggregates(life, days.withColumnRenamed("user_id", "id"), "left")

@@ -229,3 +229,35 @@ def test_negative_price_can_make_a_total_worthless(spark, shop):
     stored = dataset.from_events(users, sess.build_events(raw, refund))
     assert rows(flat.lines, "session_created_at", "item_cost") == [(day(2), 20.0)] * 3
     assert rows(stored.lines, "session_created_at", "item_cost") == [(day(2), 20.0)] * 3
+
+
+@pytest.mark.parametrize("most", [None, 0, 2])
+def test_one_distribution_gives_the_same_history(frames, most):
+    """All users in one pass, all of them heavy, and some of each."""
+    heavy = [] if most is None else usr.heavy_users(frames.lines, most)
+    assert heavy == sorted(r.user_id for r in frames.lines.groupBy("user_id").count().collect()
+                           if r.user_id is not None and most is not None and r["count"] > most)
+    days, life = usr.user_history(frames.lines, heavy)
+    for mine, known in ((days, usr.day_arrays(frames.lines)), (life, usr.life_arrays(frames.lines))):
+        assert mine.columns == known.columns and mine.count() == known.count()
+        assert mine.exceptAll(known).count() == 0
+    whole = frames.user_aggregates(heavy=heavy)
+    assert whole.exceptAll(frames.user_aggregates()).count() == 0 and whole.count() == frames.user_aggregates().count()
+
+
+def test_purchase_lines_are_shuffled_once(spark, tmp_path):
+    """Every level and the join of days and lifetime stand on one exchange."""
+    lines = spark.createDataFrame([("u", None, None, "b", 1, "c")], "user_id string, session_created_at timestamp, session_day timestamp, "
+                                  "brand_name string, product_id long, category string").withColumn("item_price", F.lit(1).cast("decimal(38,9)"))
+    lines.write.parquet(str(tmp_path / "lines"))
+    days, life = usr.user_history(spark.read.parquet(str(tmp_path / "lines")))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")        # the plan then shows what is reused
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = days.join(life, "user_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line]
+    assert sum("ReusedExchange" not in line for line in exchanges) == 1, plan
