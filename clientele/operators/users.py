@@ -100,7 +100,7 @@ def heavy_users(lines: DataFrame, most: int | None = None) -> list:
     return sorted(t["item"] for t in top or [] if t["count"] > (HEAVY_LINES if most is None else most))
 
 
-def _cells(by_user: DataFrame) -> DataFrame:
+def brand_cells(by_user: DataFrame) -> DataFrame:
     """Per user, day and brand, with what the coarser levels need."""
     return by_user.groupBy("user_id", "session_day", "brand_name").agg(
         F.collect_set("category").alias("_categories"), F.collect_set("product_id").alias("_ids"),
@@ -113,26 +113,35 @@ def _shown(categories: Column, ids: Column) -> list[Column]:
             F.sort_array(ids).alias("product_ids"), as_money(F.col("_spend")).alias("brand_spend")]
 
 
-def user_history(lines: DataFrame, heavy: list | tuple = ()) -> tuple[DataFrame, DataFrame]:
-    """`day_arrays` and `life_arrays` from one distribution of the lines.
-
-    The lines are hashed by user once; every level - day and brand, day, brand, lifetime -
-    groups within these partitions, and a join of both results by user moves nothing
-    either. All lines of a user meet in one task. For users named in `heavy` they do not:
-    theirs are pre-aggregated and distributed by user and day."""
-    many = F.col("user_id").isin(list(heavy))
-    cells = _cells((lines.where(F.col("user_id").isNull() | ~many) if heavy else lines).repartition("user_id"))
-    days = cells.select("*", *_shown(F.col("_categories"), F.col("_ids"))).groupBy("user_id", "session_day").agg(
+def cell_days(cells: DataFrame) -> DataFrame:
+    """`day_arrays` from brand cells."""
+    return cells.select("*", *_shown(F.col("_categories"), F.col("_ids"))).groupBy("user_id", "session_day").agg(
         F.sum("purchased_items").alias("daily_purchased_items"), as_money(F.sum("_spend")).alias("daily_spend"),
         _nest(DAY_BRAND.fieldNames()).alias(DAILY_ARRAY))
+
+
+def cell_life(cells: DataFrame) -> DataFrame:
+    """`life_arrays` from brand cells."""
     brands = cells.groupBy("user_id", "brand_name").agg(
         F.array_distinct(F.flatten(F.collect_list("_categories"))).alias("_categories"),
         F.array_distinct(F.flatten(F.collect_list("_ids"))).alias("_ids"), F.sum("purchased_items").alias("purchased_items"),
         F.sum("_spend").alias("_spend"), F.min("_first").alias("_first"), F.max("_last").alias("_last"))
-    life = brands.select("*", *_shown(F.col("_categories"), F.col("_ids"))).groupBy("user_id").agg(
+    return brands.select("*", *_shown(F.col("_categories"), F.col("_ids"))).groupBy("user_id").agg(
         F.sum("purchased_items").alias("total_purchased_items"), as_money(F.sum("_spend")).alias("total_spend"),
         F.min("_first").alias("first_purchase_date"), F.max("_last").alias("last_purchase_date"),
         _nest(LIFE_BRAND.fieldNames()).alias(TOTAL_ARRAY))
+
+
+def user_history(lines: DataFrame, heavy: list | tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """`day_arrays` and `life_arrays` from one distribution of the lines.
+
+    The lines are hashed by user once; every level - day and brand, day, brand, lifetime -
+    groups within these partitions, and a join of both results by user moves nothing
+    either. All lines of a user meet in one task. For users named in `heavy` they do not:
+    theirs are pre-aggregated and distributed by user and day."""
+    many = F.col("user_id").isin(list(heavy))
+    cells = brand_cells((lines.where(F.col("user_id").isNull() | ~many) if heavy else lines).repartition("user_id"))
+    days, life = cell_days(cells), cell_life(cells)
     if heavy:
         theirs = lines.where(many)
         days, life = days.unionByName(day_arrays(theirs)), life.unionByName(life_arrays(theirs))

@@ -3,10 +3,12 @@ scratch folder of the session and reads its own result back."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clientele.functions.dates import as_date, months_before, utc_ntz
-from clientele.operators import products as prod, users as usr
+from clientele.operators import history, products as prod, users as usr
 from clientele.operators.segments import segment
 from clientele.operators.sessionize import session_table
 from clientele.plans import questions as q
@@ -65,7 +67,11 @@ def _build(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @query("stored_user_aggregates", SQL["user_aggregates"])
 def stored_user_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All tables written and read step by step, from the nested events on."""
-    return _build(spark, sf_dir, "user_aggregates").select(
+    return shown_aggregates(_build(spark, sf_dir, "user_aggregates"))
+
+
+def shown_aggregates(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "user_id", "age", "gender", "country", "total_purchased_items", F.round("total_spend", 2).alias("total_spend"),
         "first_purchase_date", "last_purchase_date", "session_day", "daily_purchased_items",
         F.round("daily_spend", 2).alias("daily_spend"), brands_text(usr.DAILY_ARRAY).alias("daily_brands"),
@@ -82,7 +88,7 @@ def stored_product_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BUILT: dict[tuple[str, str], str] = {}      # (application, tables): where the questions' tables are
 
 
-def _stored(spark: SparkSession, sf_dir: str, months: int | None = None) -> tuple[DataFrame, DataFrame]:
+def stored_tables(spark: SparkSession, sf_dir: str, months: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Stored user_aggregates and product_daily, built once per application: users ask
     many questions of tables that are there already. With `months` only the folders of
     the last months are opened."""
@@ -101,47 +107,47 @@ def _stored(spark: SparkSession, sf_dir: str, months: int | None = None) -> tupl
 
 @query("stored_seg_q0", SQL["seg_q0"])
 def stored_seg_q0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prod.top_products(_stored(spark, sf_dir, 12)[1], "product_id", 5)
+    return prod.top_products(stored_tables(spark, sf_dir, 12)[1], "product_id", 5)
 
 
 @query("stored_seg_q1", SQL["seg_q1"])
 def stored_seg_q1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answer(q.spenders_of_brand(_stored(spark, sf_dir)[0], BRAND, demo.AS_OF, months=24))
+    return _answer(q.spenders_of_brand(stored_tables(spark, sf_dir)[0], BRAND, demo.AS_OF, months=24))
 
 
 @query("stored_seg_q2", SQL["seg_q2"])
 def stored_seg_q2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answer(q.young_locals_before(_stored(spark, sf_dir)[0], BRAND, COUNTRY, CUT_DAY))
+    return _answer(q.young_locals_before(stored_tables(spark, sf_dir)[0], BRAND, COUNTRY, CUT_DAY))
 
 
 @query("stored_seg_q3", SQL["seg_q3"])
 def stored_seg_q3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answer(q.young_lapsed(_stored(spark, sf_dir)[0], BRAND, CUT_DAY))
+    return _answer(q.young_lapsed(stored_tables(spark, sf_dir)[0], BRAND, CUT_DAY))
 
 
 @query("stored_seg_q4", SQL["seg_q4"])
 def stored_seg_q4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answer(q.recent_spenders(_stored(spark, sf_dir, 3)[0], demo.AS_OF, amount=10000))
+    return _answer(q.recent_spenders(stored_tables(spark, sf_dir, 3)[0], demo.AS_OF, amount=10000))
 
 
 @query("stored_seg_q5", SQL["seg_q5"])
 def stored_seg_q5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answer(q.loyal_without(_stored(spark, sf_dir)[0], BRAND, OTHER, demo.AS_OF))
+    return _answer(q.loyal_without(stored_tables(spark, sf_dir)[0], BRAND, OTHER, demo.AS_OF))
 
 
 @query("stored_seg_q6", SQL["seg_q6"])
 def stored_seg_q6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answer(segment(_stored(spark, sf_dir, 12)[0]).bought(BRAND, min_items=2))
+    return _answer(segment(stored_tables(spark, sf_dir, 12)[0]).bought(BRAND, min_items=2))
 
 
 @query("stored_seg_q7", SQL["seg_q7"])
 def stored_seg_q7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answer(q.buyers_of_top(*_stored(spark, sf_dir, 3), demo.AS_OF, months=3))
+    return _answer(q.buyers_of_top(*stored_tables(spark, sf_dir, 3), demo.AS_OF, months=3))
 
 
 @query("stored_seg_q8", SQL["seg_q8"])
 def stored_seg_q8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answer(q.buyers_of_top(*_stored(spark, sf_dir, 12), demo.AS_OF, months=12, at_least=2))
+    return _answer(q.buyers_of_top(*stored_tables(spark, sf_dir, 12), demo.AS_OF, months=12, at_least=2))
 
 
 def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,3 +309,28 @@ def stream_qlog_late(spark: SparkSession, sf_dir: str) -> DataFrame:
         events.where(part).write.mode("append").parquet(source)
         stored = stream.log_sink(_log_rows(stream.read_events(spark, source)), "late", out)
     return stored.withColumn("ts", utc_ntz(F.col("ts")))
+
+
+# From this day on, days are added to tables that were built without them.
+LATER_DAY, CORRECTED_DAY = dt.date(2000, 6, 1), dt.date(1999, 3, 4)
+
+
+@query("history_user_aggregates", SQL["user_aggregates"])
+def history_user_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built up to a day without one of the days, then the later days are added in one run,
+    twice, and the missing one. Every day is replaced alone, in folders of a month."""
+    f = demo_frames(spark, sf_dir)
+    path = scratch_dir(spark, "history")
+
+    f.lines.write.parquet(f"{path}/arrived/lines")         # as they come in, day by day
+    f.marks.write.parquet(f"{path}/arrived/marks")
+    lines, marks = (spark.read.parquet(f"{path}/arrived/{name}") for name in ("lines", "marks"))
+
+    def at(test):
+        return lines.where(test(F.to_date("session_day"))), marks.where(test(F.to_date("session_created_at")))
+
+    later, corrected = F.lit(LATER_DAY), F.lit(CORRECTED_DAY)
+    history.create(*at(lambda day: (day < later) & (day != corrected)), path, grain="MONTH")
+    for test in (lambda day: day >= later, lambda day: day >= later, lambda day: day == corrected):
+        history.add_days(*at(test), path, grain="MONTH")
+    return shown_aggregates(history.read_aggregates(spark, f.users, path))

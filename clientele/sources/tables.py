@@ -61,3 +61,11 @@ def replace_days(df: DataFrame, path: str, partition: str, day: str = "session_d
 def capped(df: DataFrame, rows: int = 100) -> DataFrame:
     """At most so many result rows for display."""
     return df.limit(rows)
+
+
+def swap_table(df: DataFrame, path: str) -> None:
+    """Replace a small table by rows that may be read from it: they wait in the scratch
+    folder while it is overwritten."""
+    spark, kept = df.sparkSession, scratch_dir(df.sparkSession, "swapped")
+    df.write.parquet(kept)
+    spark.read.parquet(kept).write.mode("overwrite").parquet(path)
