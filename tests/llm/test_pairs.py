@@ -159,7 +159,7 @@ def test_search_of_odd_vectors(spark, tmp_path, monkeypatch):
 
 
 def test_recall_on_the_largest_table(spark):
-    sf_dir = "/root/testdata/check_s"
+    sf_dir = "/root/testdata/sf0.1"
     rows = queries.read(spark, sf_dir, "embeddings").toPandas().sort_values("vec_id")
     points, ids = np.stack(rows["embedding"]).astype(float), rows["vec_id"].to_numpy()
     got = queries.approximate_neighbours(spark, sf_dir).toPandas()
