@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 HEAD, END = "### ", "</turn>"
-_TURN = "(?s)^### ((?:[^\\\\:]|\\\\.)*): (.*)$"
+# possessive: matching does not go back, so a long role does not deepen the stack
+_TURN = "(?s)^### ((?:[^\\\\:]++|\\\\.)*+): (.*+)$"
 
 
 def escaped(text: Column) -> Column:
@@ -40,16 +41,17 @@ def fold_messages(events: DataFrame) -> DataFrame:
     event = F.struct("seq", F.coalesce("kind", F.lit("delta")).alias("kind"),
                      F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     log = events.groupBy("conv_id", "turn").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    # the fold: a message or an edit starts the text anew, a regeneration starts it empty
+    # the text starts anew at the last message, edit or regeneration; deltas after it are joined at once
     state = F.aggregate(
-        "log", F.struct(F.lit("").alias("role"), F.array().cast("array<string>").alias("parts")),
+        "log", F.struct(F.lit("").alias("role"), F.lit(0).alias("at"), F.lit(0).alias("start")),
         lambda s, e: F.struct(
             F.when((e["kind"] == "message") | (s["role"] == ""), e["role"]).otherwise(s["role"]).alias("role"),
-            F.when(e["kind"].isin("message", "edit"), F.array(e["text"]))
-             .when(e["kind"] == "regenerate", F.array().cast("array<string>"))
-             .otherwise(F.concat(s["parts"], F.array(e["text"]))).alias("parts")))
-    return log.select("conv_id", "turn", state.alias("s")).select(
-        "conv_id", "turn", F.col("s.role").alias("role"), F.array_join("s.parts", "").alias("text"))
+            (s["at"] + 1).alias("at"),
+            F.when(e["kind"].isin("message", "edit"), s["at"]).when(e["kind"] == "regenerate", s["at"] + 1)
+             .otherwise(s["start"]).alias("start")))
+    said = F.transform(F.slice("log", F.col("s.start") + 1, F.size("log")), lambda e: e["text"])
+    return log.withColumn("s", state).select(
+        "conv_id", "turn", F.col("s.role").alias("role"), F.array_join(said, "").alias("text"))
 
 
 def format_chats(events: DataFrame, loss_role: str = "assistant") -> DataFrame:

@@ -1,6 +1,7 @@
 """Web archives: a deterministic sharded writer and its reader.
 
-Records are range-sorted by page, a shard rolls to its next file when the compressed
+Records are range-sorted by page and digest, between borders that depend on the rows alone
+and not on how they are dealt to tasks; a shard rolls to its next file when the compressed
 bytes reach a limit, headers and digests are made anew from the payload, and each file
 appears by a rename. The manifest, written last, lists the files that count.
 """
@@ -12,9 +13,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clientele.llm import files
 
@@ -23,6 +24,7 @@ LEAST_SHARED = 100                     # shorter payloads are never stored as re
 MANIFEST = "file string, records long, bytes long, sha256 string"
 READ = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, " \
        "payload_digest string, intact boolean"
+SAMPLED = 32                           # rows a shard from which its border is taken
 _CHUNK = 1 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -90,54 +92,77 @@ class _Shard:
             self.out, self.part = None, self.part + 1
 
 
+def _place(page_id: Column, digest: Column) -> Column:
+    """Text that sorts as (page_id, digest), without page_id first."""
+    signed = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(signed, F.lit("")), F.lit(" "), digest)
+
+
+def borders(places: DataFrame, shards: int) -> list[str]:
+    """The first place of each shard but the first, from the SAMPLED * shards places with
+    the smallest hashes: equal rows in any order give equal borders."""
+    found = places.select("place").orderBy(F.xxhash64("place"), "place").limit(SAMPLED * shards).collect()
+    found = sorted(r["place"] for r in found)
+    return [found[len(found) * i // shards] for i in range(1, shards)] if found else []
+
+
 def write_warc(pages: DataFrame, folder: str, digests: str, shards: int, file_bytes: int = 64 << 20) -> DataFrame:
     """Write pages(page_id, url, html) as archives below `folder`; returns the manifest.
 
     Null html is an empty payload. Of equal payloads of at least LEAST_SHARED bytes
     the record of the smallest page_id is the response; the others, and further rows
     with that very page_id, are revisits. Rows without page_id are written first.
-    Rows with equal page_id go by url, then digest. Other columns are left out. No
-    page gives an empty manifest. `digests`: a path for the table of payload digests,
-    so that payloads are hashed once."""
+    Rows with equal page_id go by digest, then url (null first). The same rows give the
+    same files whatever order they come in. Other columns are left out. No page gives an
+    empty manifest. `digests`: a path for the table of payload digests."""
     spark = pages.sparkSession
     files.make_folder(folder)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     # Python's int here, so that the key of the rows and of the reference agree in type
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
-    pages.select("page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("size")) \
-         .write.parquet(digests)
-    seen = spark.read.parquet(digests).where(F.col("size") >= LEAST_SHARED)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"),
+                         F.sha2(payload, 256).alias("digest"))
+    pages.select("page_id", "digest", F.octet_length("payload").alias("size")).write.parquet(digests)
+    hashed = spark.read.parquet(digests)
+    first = np.array(borders(hashed.select(_place(F.col("page_id"), F.col("digest")).alias("place")), shards), "S")
+    seen = hashed.where(F.col("size") >= LEAST_SHARED)
     firsts = seen.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1")
     references = seen.join(firsts, "digest").select("page_id", "digest", "refers_to").distinct()
     # References travel beside the pages, so payloads are shuffled once, by the sort.
-    both = pages.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("string").alias("digest"),
+    both = pages.select("page_id", F.lit(1).alias("kind"), "url", "payload", "digest",
                         F.lit(None).cast("long").alias("refers_to")).unionByName(
         references.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"),
                           F.lit(None).cast("binary").alias("payload"), "digest", "refers_to"))
 
+    @F.pandas_udf("int")
+    def shard_of(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(first, place.to_numpy().astype("S"), "right").astype(np.int32))
+
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard = _Shard(folder, TaskContext.get().partitionId(), file_bytes)
-        current, known, used = object(), {}, set()
+        shard, done, current = None, [], None
         for batch in batches:
-            for page_id, kind, url, body, digest, refers_to in batch.itertuples(index=False, name=None):
+            for number, page_id, kind, url, body, digest, refers_to in batch.itertuples(index=False, name=None):
                 page_id = None if pd.isna(page_id) else int(page_id)
-                if page_id != current:
-                    current, known, used = page_id, {}, set()
+                if shard is None or shard.number != number:
+                    if shard is not None:
+                        shard.close()
+                    shard = _Shard(folder, number, file_bytes)
+                    shard.done = done
+                if current != (page_id, digest):
+                    current, target, answered = (page_id, digest), None, False
                 if kind == 0:
-                    known[digest] = None if pd.isna(refers_to) else int(refers_to)
+                    target = None if pd.isna(refers_to) else int(refers_to)
                     continue
-                body = bytes(body)
-                digest = hashlib.sha256(body).hexdigest()
-                target = known.get(digest)
-                if target == page_id and digest not in used:
-                    used.add(digest)
-                    target = None
-                shard.add(_page_record(page_id, None if pd.isna(url) else url, body, digest, target))
-        shard.close()
-        yield pd.DataFrame(shard.done, columns=["file", "records", "bytes", "sha256"])
-
-    written = (both.repartitionByRange(shards, "page_id").sortWithinPartitions("page_id", "kind", "url", "digest")
-               .select("page_id", "kind", "url", "payload", "digest", "refers_to").mapInPandas(write, MANIFEST))
+                again = target if answered or target != page_id else None
+                answered = True
+                shard.add(_page_record(page_id, None if pd.isna(url) else url, bytes(body), digest, again))
+        if shard is not None:
+            shard.close()
+        yield pd.DataFrame(done, columns=["file", "records", "bytes", "sha256"])
+
+    # a shard has a number, and the partition of that number is its own
+    written = (both.withColumn("place", _place(F.col("page_id"), F.col("digest"))).withColumn("shard", shard_of("place"))
+               .repartitionById(shards, "shard").sortWithinPartitions("place", "kind", "url")
+               .select("shard", "page_id", "kind", "url", "payload", "digest", "refers_to").mapInPandas(write, MANIFEST))
     written.write.mode("overwrite").parquet(f"{folder}/manifest")
     files.drop_temporary(folder)
     return spark.read.parquet(f"{folder}/manifest")

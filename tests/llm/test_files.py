@@ -52,6 +52,20 @@ def test_archives_are_the_same_each_time(spark, tmp_path):
     assert found[0] == found[1]
 
 
+def test_archives_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Rows of one page_id and url with unlike html, copies, and rows without page_id."""
+    rows = [(1, "u", prose(i, 40)) for i in range(50)] + [(i % 7 or None, f"u{i % 3}", prose(i % 5, 40)) for i in range(120)]
+    found = []
+    for name, seed in (("a", 1), ("b", 2), ("c", 3)):
+        random.Random(seed).shuffle(rows)
+        frame = spark.createDataFrame(rows, PAGES).repartition(seed)
+        warc.write_warc(frame, str(tmp_path / name), str(tmp_path / f"{name}d"), 4, file_bytes=3000)
+        found.append({n: open(tmp_path / name / n, "rb").read() for n, _ in files.sizes(str(tmp_path / name), ".gz")})
+    assert found[0] == found[1] == found[2]
+    # more than one shard holds the rows of page 1, which are dealt by digest
+    assert len({n[:11] for n in found[0]}) == 4
+
+
 def test_no_page_no_archive(spark, tmp_path):
     none = spark.createDataFrame([], PAGES)
     assert warc.write_warc(none, str(tmp_path / "w"), str(tmp_path / "d"), 2).count() == 0
@@ -170,6 +184,21 @@ def test_folding_of_events(spark):
     assert chat.format_chats(spark.createDataFrame([], EVENTS)).count() == 0
 
 
+@pytest.mark.parametrize("role", ["r" * 100_000, ":" * 100_000, "\\" * 100_000, "a\n: " * 30_000])
+def test_long_roles_and_texts(spark, role):
+    text = "### </turn>\n" * 20_000
+    rows = [(1, 1, role, text), (1, 2, "assistant", text)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    read = chat.read_chats(chat.format_chats(queries.conversation_events(frame))).first()
+    assert [tuple(t) for t in read["turns"]] == [(role, text), ("assistant", text)] and read["loss_texts"] == [text]
+
+
+def test_many_deltas(spark):
+    rows = [(1, i, 1, "message" if i == 0 else "regenerate" if i == 5 else "delta", "assistant", f"{i},") for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "conv_id long, seq long, turn long, kind string, role string, text string")
+    assert chat.fold_messages(frame).first()["text"] == "".join(f"{i}," for i in range(6, 20_000))
+
+
 def test_control_strings_come_back(spark):
     signs = ["\\", "#", "##", "### ", "</turn>", "<\\/turn>", "</turn>\n", ": ", ":", "user", "\n", "", "### assistant: ", "中", "\U0001F600", "$1"]
     rng = random.Random(4)
