@@ -7,8 +7,8 @@ the same probability from both, and only what one class really says moves the sc
 Letters let inflected and newly built words share their stems; a second pair of models,
 over words, knows expressions whose letters are common. Letters are code points, words are
 known by 64-bit hashes; the table of ratios is computed in Spark from the counts and grows
-with them. Of a table of more than SENT_ROWS rows the most frequent ones are sent to the
-workers; what a text has of the others is joined to it. Both give the same scores.
+with them. Workers read the most frequent SENT_ROWS rows of it from the shared folder; what a
+text has of the others is joined to it. Both give the same scores. The driver sees no row of it.
 
 The log-likelihood ratios are normalised by length: as the mean of the whole document and
 of its most toxic passage. A logistic curve makes a probability of these. Counts cover all
@@ -22,19 +22,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from clientele.llm import textscan
+from clientele.llm import files, textscan
 from clientele.llm.labelled import clean_labels, held_out, sample_by_class, with_labels
 from clientele.session import scratch_dir
 
 ORDER = 4
 POINT = 21                             # bits of a code point
 LETTERS, CONTEXT, SHORT, SHORT_CONTEXT, WORD = range(5)    # kinds of rows of the table of ratios
-SYMBOLS = 64                           # of the dense form, see `grams`
 DISCOUNT = 0.75
-SENT_ROWS = 2_000_000                  # most rows of the table of ratios that are sent (12 bytes each)
+SENT_ROWS = 2_000_000                  # most rows of the table of ratios in a worker (12 bytes each)
 WORD_DISCOUNT = 2.0                    # documents with a word that say nothing about a class
 PASSAGE = 9                            # letters of the passage that counts
 CALIBRATION_ROWS = 1500                # rows of each class that fit the logistic curve
@@ -42,44 +43,6 @@ FOLDS = 3                              # a row is rated for the curve by counts
 BATCH = 1 << 19
 
 
-# The dense form of a level over 64 symbols; tests hold `letter_ratios` against it.
-
-def _symbol(byte: int) -> int:
-    """0 separates words; then letters, digits, the bytes of other signs."""
-    char = chr(byte).lower()
-    if byte < 128:
-        return ord(char) - 96 if char.isalpha() else 27 if char.isdigit() else 0
-    if byte < 0xC0:
-        return 28 + (byte & 31)
-    return 60 if byte < 0xC4 else 61 if byte < 0xE0 else 62 if byte < 0xF0 else 63
-
-
-_SYMBOLS = np.array([_symbol(b) for b in range(256)], np.uint8)
-
-
-def grams(texts) -> tuple[np.ndarray, np.ndarray]:
-    """(gram, first): number of the ORDER symbols that end at each place of the texts.
-    Separators in a row count as one, and one opens each text; grams first[d] to
-    first[d + 1] belong to text d."""
-    raw = textscan.utf8(texts)
-    symbols = _SYMBOLS[np.frombuffer(b" ".join(raw) + b" ", np.uint8)]
-    borders = np.concatenate([[0], np.cumsum(np.fromiter((len(t) + 1 for t in raw), np.int64, len(raw)))])
-    # what stands before a text is a separator, also before the first one
-    keep = symbols != 0
-    keep[1:] |= symbols[:-1] != 0
-    first = np.concatenate([[0], np.cumsum(keep)])[borders]
-    line = np.concatenate([np.zeros(ORDER - 1, np.uint8), symbols[keep]]).astype(np.int32)
-    out = np.zeros(len(line) - ORDER + 1, np.int32)
-    for k in range(ORDER):
-        out = out * SYMBOLS + line[k:k + len(out)]
-    # no gram reaches back into the text before
-    for k in range(ORDER - 2):
-        at = first[1:-1] + k
-        at = at[at < np.repeat(first[-1], len(at))]
-        out[at] %= SYMBOLS ** (k + 1) * SYMBOLS
-    return out, first
-
-
 # ASCII other than letters and digits separates words; all digits are one letter.
 _ASCII = np.array([ord(chr(b).lower()) if chr(b).isalpha() else 48 if chr(b).isdigit() else 0 for b in range(128)], np.int64)
 _CLEAN = np.array([b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)], np.uint8).tobytes()
@@ -194,28 +157,34 @@ def _contexts(rows: DataFrame, keys: list[str], count, total: str, back: str) ->
         F.col(f"{total}{j}_{s}") > 0, F.col(f"given{j}_{s}") / F.col(f"{total}{j}_{s}")).otherwise(1.0).alias(f"{back}{j}_{s}")))
 
 
-def letter_ratios(counted: DataFrame) -> DataFrame:
+def letter_ratios(counted: DataFrame, folder: str) -> DataFrame:
     """(kind, a, b, n, r<model>): log-likelihood ratios of what count_grams found; n: how
     often it comes. A letter after a context that is not in the table has the ratio of its
     CONTEXT (0 if that is not there) and of SHORT, without the first letter, or where that
-    is not there, of SHORT_CONTEXT (or 0): what both classes share cancels out."""
+    is not there, of SHORT_CONTEXT (or 0): what both classes share cancels out. `folder`: for
+    the tables of the levels, each of which several others read."""
+    def written(frame: DataFrame, name: str) -> DataFrame:
+        frame.write.parquet(f"{folder}/{name}")
+        return frame.sparkSession.read.parquet(f"{folder}/{name}")
+
     grams_ = counted.where(F.col("kind") == LETTERS).withColumn("a2", F.col("a").bitwiseAND(F.lit(_LAST_TWO))).withColumn(
-        "n", _of(0, None) + _of(1, None)).drop("kind").repartition("a2")     # all joins below are within a2
-    long = _contexts(grams_, ["a2", "a"], lambda j, s: _of(s, SKIPS[j]), "t", "k")
-    short = grams_.groupBy("a2", "b").agg(F.sum("n").alias("n"), *_each(
-        lambda j, s: F.count(F.when(_of(s, SKIPS[j]) > 0, 1)).alias(f"m{j}_{s}")))
-    short_long = _contexts(short, ["a2"], lambda j, s: F.col(f"m{j}_{s}"), "u", "l")
+        "n", _of(0, None) + _of(1, None)).drop("kind")
+    long = written(_contexts(grams_, ["a2", "a"], lambda j, s: _of(s, SKIPS[j]), "t", "k"), "long")
+    short = written(grams_.groupBy("a2", "b").agg(F.sum("n").alias("n"), *_each(
+        lambda j, s: F.count(F.when(_of(s, SKIPS[j]) > 0, 1)).alias(f"m{j}_{s}"))), "short")
+    short_long = written(_contexts(short, ["a2"], lambda j, s: F.col(f"m{j}_{s}"), "u", "l"), "short_long")
     # the lowest levels know both classes together
     last = F.col("a2").bitwiseAND(F.lit((1 << POINT) - 1)).alias("a1")
-    two = short.select(last, "b").groupBy("a1", "b").agg(F.count(F.lit(1)).alias("m"))
+    two = written(short.select(last, "b").groupBy("a1", "b").agg(F.count(F.lit(1)).alias("m")), "two")
     before = two.groupBy("a1").agg(F.sum("m").alias("all"), F.sum(F.least(F.col("m").cast("double"), F.lit(DISCOUNT))).alias("less"))
     one = two.groupBy("b").agg(F.count(F.lit(1)).alias("k"))
     row = one.agg(F.count(F.lit(1)), F.coalesce(F.sum("k"), F.lit(0))).first()
     letter = (F.col("k") + 0.5) / F.lit(max(0.5 * row[0] + row[1], 0.5))
     two = two.join(before, "a1").join(one, "b").select("a1", "b", _discounted(
         F.col("m"), F.col("all").cast("double"), letter, F.col("less") / F.col("all")).alias("shared"))
-    middle = short.join(short_long.drop("n"), "a2").withColumn("a1", last).join(two, ["a1", "b"]).select("a2", "b", "n", *_each(
-        lambda j, s: _discounted(F.col(f"m{j}_{s}"), F.col(f"u{j}_{s}"), F.col("shared"), F.col(f"l{j}_{s}")).alias(f"p{j}_{s}")))
+    middle = written(short.join(short_long.drop("n"), "a2").withColumn("a1", last).join(two, ["a1", "b"]).select("a2", "b", "n", *_each(
+        lambda j, s: _discounted(F.col(f"m{j}_{s}"), F.col(f"u{j}_{s}"), F.col("shared"), F.col(f"l{j}_{s}")).alias(f"p{j}_{s}"))),
+        "middle")
     whole = grams_.join(long.drop("n"), ["a2", "a"]).join(middle.drop("n"), ["a2", "b"]).select("a", "b", "n", *_each(
         lambda j, s: _discounted(_of(s, SKIPS[j]), F.col(f"t{j}_{s}"), F.col(f"p{j}_{s}"), F.col(f"k{j}_{s}")).alias(f"q{j}_{s}")))
 
@@ -261,23 +230,57 @@ def _found(key: np.ndarray, keys: np.ndarray, ratio: np.ndarray) -> np.ndarray:
 
 
 @dataclass
-class Model:
-    keys: np.ndarray                   # sorted; the most frequent rows of the table of ratios
+class Sent:
+    """The most frequent rows of the table of ratios, sorted by key."""
+    keys: np.ndarray
     ratio: np.ndarray
+
+
+_read: dict[tuple, Sent] = {}          # of this worker: the rows it read last
+
+
+def _sent(folder: str, column: str) -> Sent:
+    """One model's column of a table in the shared folder, read once per worker."""
+    if (folder, column) not in _read:
+        tables = []
+        for name, _ in files.sizes(folder, ".parquet"):
+            with files.open_file(folder, name) as stream:
+                tables.append(pq.read_table(stream, columns=["key", column]))
+        rows = pa.concat_tables(tables).sort_by("key") if tables else None
+        _read.clear()
+        _read[folder, column] = Sent(np.zeros(0, np.int64), np.zeros(0, np.float32)) if rows is None else Sent(
+            rows["key"].to_numpy(), rows[column].to_numpy())
+    return _read[folder, column]
+
+
+@dataclass
+class Model:
+    folder: str                        # of the most frequent rows of the table of ratios
+    column: str                        # the column of this model there
     unknown: float                     # ratio of a word that is not in the table
     weights: np.ndarray                # of the logistic curve: three ratios, constant
     rest: DataFrame | None = None      # (key, ratio) of the other rows, if there are any
+    own: Sent | None = None            # used in place of the folder
 
     def __getstate__(self):
         return {**self.__dict__, "rest": None}
 
+    @property
+    def keys(self) -> np.ndarray:
+        return (self.own or _sent(self.folder, self.column)).keys
+
+    @property
+    def ratio(self) -> np.ndarray:
+        return (self.own or _sent(self.folder, self.column)).ratio
+
     def joined_with(self, key: np.ndarray, ratio: np.ndarray) -> Model:
         """The model that also knows these rows of the rest."""
         if not len(key):
             return self
         key, at = np.unique(key, return_index=True)
         to = np.searchsorted(self.keys, key)
-        return Model(np.insert(self.keys, to, key), np.insert(self.ratio, to, ratio[at]), self.unknown, self.weights)
+        return Model(self.folder, self.column, self.unknown, self.weights,
+                     own=Sent(np.insert(self.keys, to, key), np.insert(self.ratio, to, ratio[at])))
 
     def probes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(text, key): what texts in lower case need of the rest of the table, once each."""
@@ -337,21 +340,21 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def with_rest(docs: DataFrame, sent, rest: DataFrame) -> DataFrame:
+def with_rest(docs: DataFrame, model: Model) -> DataFrame:
     """docs(text, ...) and the columns rest_keys, rest_ratios: the rows of the rest of the
-    table that a text needs, found by joins. Equal texts share them. `sent`: a broadcast
-    model, whose rows are not looked for."""
+    table that a text needs, found by joins. Equal texts share them. Rows that workers
+    read by themselves are not looked for."""
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = _lower(batch["text"])
             for start, end in _ranges(texts, BATCH // 4):
-                text, key = sent.value.probes(texts[start:end])
+                text, key = model.probes(texts[start:end])
                 yield pd.DataFrame({"text_a": batch["text_a"].to_numpy()[start:end][text],
                                     "text_b": batch["text_b"].to_numpy()[start:end][text], "key": key})
 
     docs = docs.withColumns({"text_a": F.xxhash64("text"), "text_b": F.xxhash64(F.lit(1), "text")})
     needed = docs.select("text_a", "text_b", "text").mapInPandas(look, "text_a long, text_b long, key long").distinct()
-    found = needed.join(rest, "key").groupBy("text_a", "text_b").agg(F.collect_list(F.struct("key", "ratio")).alias("rest"))
+    found = needed.join(model.rest, "key").groupBy("text_a", "text_b").agg(F.collect_list(F.struct("key", "ratio")).alias("rest"))
     return docs.join(found, ["text_a", "text_b"], "left").withColumns(
         {"rest_keys": F.col("rest.key"), "rest_ratios": F.col("rest.ratio")}).drop("text_a", "text_b", "rest")
 
@@ -364,18 +367,6 @@ def _rest_of(keys, ratios) -> tuple[np.ndarray, np.ndarray]:
             np.concatenate([empty.astype(np.float32), *[np.asarray(ratios[i], np.float32) for i in has]]))
 
 
-def _level(gram: np.ndarray, count: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of one level: discounted counts, the rest shared out as `lower`."""
-    contexts = len(lower)
-    total = np.bincount(gram // SYMBOLS, count, contexts)
-    given = np.bincount(gram // SYMBOLS, np.minimum(count, DISCOUNT), contexts)
-    back = np.where(total > 0, given / np.maximum(total, 1), 1.0)
-    # the lower level does not know the first symbol of the context
-    out = (back.reshape(SYMBOLS, -1, 1) * lower.reshape(1, -1, SYMBOLS)).reshape(-1).astype(np.float32)
-    out[gram] += np.maximum(count - DISCOUNT, 0) / np.maximum(total[gram // SYMBOLS], 1)
-    return out
-
-
 def calibrate(ratios: np.ndarray, labels: np.ndarray, shares: np.ndarray) -> np.ndarray:
     """Logistic curve over the ratios, by Newton steps with a small ridge. `shares`: how
     common the classes are among all labels; rows are weighted to them."""
@@ -409,21 +400,19 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
     counted = spark.read.parquet(f"{folder}/counts")
     table, unknown = word_ratios(counted)
     names = [f"r{j}" for j in range(len(SKIPS))]
-    letter_ratios(counted).unionByName(table).where(       # a context with ratios of 0 is as one that is not there
+    letter_ratios(counted, f"{folder}/levels").unionByName(table).where(       # a context with ratios of 0 is as one that is not there
         ~F.col("kind").isin(CONTEXT, SHORT_CONTEXT) | (F.greatest(*[F.abs(r) for r in names]) > 0)).select(
         _key("kind", "a", "b").alias("key"), "n", *names).write.parquet(f"{folder}/ratios")
     ratios = spark.read.parquet(f"{folder}/ratios")
-    rest, most = None, ratios
+    rest, most = None, f"{folder}/ratios"
     if ratios.count() > SENT_ROWS:
-        ratios.orderBy(F.desc("n"), "key").limit(SENT_ROWS).write.parquet(f"{folder}/sent")
-        most = spark.read.parquet(f"{folder}/sent")
-        ratios.join(most.select("key"), "key", "left_anti").write.parquet(f"{folder}/rest")
+        most = f"{folder}/sent"
+        ratios.orderBy(F.desc("n"), "key").limit(SENT_ROWS).write.parquet(most)
+        ratios.join(spark.read.parquet(most).select("key"), "key", "left_anti").write.parquet(f"{folder}/rest")
         rest = spark.read.parquet(f"{folder}/rest")
-    rows = most.select("key", *names).orderBy("key").toArrow()
-    keys, columns = rows["key"].to_numpy(), [rows[r].to_numpy() for r in names]
 
     def model(j: int, weights: np.ndarray) -> Model:
-        return Model(keys, columns[j], unknown[j], weights,
+        return Model(most, names[j], unknown[j], weights,
                      None if rest is None else rest.select("key", F.col(names[j]).alias("ratio")))
 
     chosen = F.broadcast(sample_by_class(labels, [0, 1], CALIBRATION_ROWS))          # bounded
@@ -431,11 +420,10 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
     frames = []
     for f in range(FOLDS):
         own = model(f, np.zeros(4))
-        sent = spark.sparkContext.broadcast(own)
 
-        def rate(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def rate(batches: Iterator[pd.DataFrame], own=own) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                used = sent.value.joined_with(*_rest_of(batch["rest_keys"], batch["rest_ratios"]))
+                used = own.joined_with(*_rest_of(batch["rest_keys"], batch["rest_ratios"]))
                 found = used.ratios(batch["text"].tolist())
                 yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "a": found[:, 0], "b": found[:, 1],
                                     "c": found[:, 2]})
@@ -444,9 +432,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
         if own.rest is None:
             rated = rated.withColumns({"rest_keys": F.lit(None).cast("array<long>"), "rest_ratios": F.lit(None).cast("array<float>")})
         else:
-            rated = with_rest(rated, sent, own.rest)
+            rated = with_rest(rated, own)
         frames.append(rated.mapInPandas(rate, "doc_id long, label int, a double, b double, c double").toPandas())
-        sent.unpersist()
     frame = pd.concat(frames).sort_values(["doc_id", "a", "b", "c"])
     shares = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     weights = calibrate(frame[["a", "b", "c"]].to_numpy(np.float64), frame["label"].to_numpy(np.int64),
@@ -457,20 +444,19 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> Model:
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs(text, ...) and score, the probability that the text is toxic. Clashing column
     names of docs are replaced."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     docs = docs.drop("score")
     if model.rest is None:
         @F.pandas_udf("double")
         def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
-                yield pd.Series(sent.value.probability(batch.tolist()))
+                yield pd.Series(model.probability(batch.tolist()))
         return docs.withColumn("score", probability("text"))
 
     @F.pandas_udf("double")
     def joined_probability(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, keys, ratios in batches:
-            yield pd.Series(sent.value.joined_with(*_rest_of(keys, ratios)).probability(text.tolist()))
-    docs = with_rest(docs.drop("rest", "rest_keys", "rest_ratios", "text_a", "text_b"), sent, model.rest)
+            yield pd.Series(model.joined_with(*_rest_of(keys, ratios)).probability(text.tolist()))
+    docs = with_rest(docs.drop("rest", "rest_keys", "rest_ratios", "text_a", "text_b"), model)
     return docs.withColumn("score", joined_probability("text", "rest_keys", "rest_ratios")).drop("rest_keys", "rest_ratios")
 
 

@@ -55,15 +55,6 @@ def test_models_without_usable_labels(spark):
             assert len(rows) == 15 and all(0 <= r["score"] <= 1 for r in rows)
 
 
-def test_letter_model_adds_up_to_one():
-    """Probabilities of all symbols after a context sum to one, known or not."""
-    found, _ = toxicity.grams(["the cat sat on the mat", "the dog"])
-    gram, n = np.unique(found, return_counts=True)
-    lower = np.full((64 * 64, 64), 1 / 64).reshape(-1)
-    p = toxicity._level(gram.astype(np.int64), n.astype(float), lower).reshape(-1, 64)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
-
-
 def test_rates_are_those_of_plain_projected_gradient(spark, tmp_path):
     rng = np.random.default_rng(3)
     p, tokens = rng.dirichlet([0.3] * 3, 200), rng.integers(0, 500, 200)

@@ -43,11 +43,11 @@ def test_letters_are_code_points():
     assert a[first[2]:first[3]].tolist() == alone[0].tolist() and b[first[2]:first[3]].tolist() == alone[1].tolist()
 
 
-def test_probabilities_after_a_context_are_those_of_kneser_ney(spark):
+def test_probabilities_after_a_context_are_those_of_kneser_ney(spark, tmp_path):
     """Ratios of seen letters against the same levels, written as a plain loop."""
     rows = [("abracadabra cadabra", 0, 0), ("abba dab cab", 1, 1), ("bad abracad", 1, 2), ("cab cad", 0, 1)]
     counted = toxicity.count_grams(spark.createDataFrame(rows, "text string, label int, fold int"))
-    got = {(r["a"], r["b"]): r["r3"] for r in toxicity.letter_ratios(counted).where("kind = 0").collect()}
+    got = {(r["a"], r["b"]): r["r3"] for r in toxicity.letter_ratios(counted, str(tmp_path / 'levels')).where("kind = 0").collect()}
     counts = [{}, {}]
     for text, label, _ in rows:
         a, b, _ = toxicity.letters([text])
