@@ -10,8 +10,9 @@ known by 64-bit hashes; the table of ratios is computed in Spark from the counts
 with them. Workers read the most frequent SENT_ROWS rows of it from the shared folder; what a
 text has of the others is joined to it. Both give the same scores. The driver sees no row of it.
 
-The log-likelihood ratios are normalised by length: as the mean of the whole document and
-of its most toxic passage. A logistic curve makes a probability of these. Counts cover all
+The log-likelihood ratios are normalised by length: letters as the mean of the whole document
+and of its most toxic passage, words as what the different ones say beyond an unknown word,
+over the square root of their number, as chance alone would let the sum grow. A logistic curve makes a probability of these. Counts cover all
 labelled rows that may be learned from.
 """
 
@@ -37,6 +38,7 @@ LETTERS, CONTEXT, SHORT, SHORT_CONTEXT, WORD = range(5)    # kinds of rows of th
 DISCOUNT = 0.75
 SENT_ROWS = 2_000_000                  # most rows of the table of ratios in a worker (12 bytes each)
 WORD_DISCOUNT = 2.0                    # documents with a word that say nothing about a class
+TELLING = 1.0                          # by how much a word must exceed an unknown one to count
 PASSAGE = 9                            # letters of the passage that counts
 CALIBRATION_ROWS = 1500                # rows of each class that fit the logistic curve
 FOLDS = 3                              # a row is rated for the curve by counts without its fold
@@ -258,7 +260,7 @@ class Model:
     folder: str                        # of the most frequent rows of the table of ratios
     column: str                        # the column of this model there
     unknown: float                     # ratio of a word that is not in the table
-    weights: np.ndarray                # of the logistic curve: three ratios, constant
+    weights: np.ndarray                # of the logistic curve: passage, words, document, constant
     rest: DataFrame | None = None      # (key, ratio) of the other rows, if there are any
     own: Sent | None = None            # used in place of the folder
 
@@ -296,8 +298,9 @@ class Model:
         return out["text"].to_numpy()[missing], key[missing]
 
     def ratios(self, texts) -> np.ndarray:
-        """(passage, word, document): highest mean ratio of PASSAGE letters in a row,
-        highest ratio of a word, and the mean of the letters over the whole text."""
+        """(passage, words, document): highest mean ratio of PASSAGE letters in a row, the
+        sum of what different words say beyond an unknown one and TELLING over the root of
+        their number, and the mean of the letters over the whole text."""
         texts = _lower(texts)
         parts = [self._ratios(texts[a:b]) for a, b in _ranges(texts, BATCH)]
         return np.concatenate(parts) if parts else np.zeros((0, 3))
@@ -327,12 +330,12 @@ class Model:
         stop = np.minimum(np.arange(len(a)) + PASSAGE, np.repeat(first[1:], size))
         out[has, 0] = np.maximum.reduceat((sums[stop] - sums[:-1]) / PASSAGE, first[has])
         said, first = words(texts)
-        has = np.flatnonzero(np.diff(first))
-        if len(has):
-            key = table_key(WORD, said, np.zeros(len(said), np.int64))
-            codes, at = _distinct(key)
-            ratio = _found(key[at], self.keys, self.ratio)
-            out[has, 1] = np.maximum.reduceat(np.where(np.isnan(ratio), self.unknown, ratio)[codes], first[has])
+        key = table_key(WORD, said, np.zeros(len(said), np.int64))
+        codes, at = _distinct(key)
+        once = np.unique(textscan.owner(first) * np.int64(max(len(at), 1)) + codes)
+        text, word = once // max(len(at), 1), once % max(len(at), 1)
+        beyond = np.maximum(np.nan_to_num(_found(key[at], self.keys, self.ratio) - self.unknown - TELLING), 0)
+        out[:, 1] = np.bincount(text, beyond[word], len(texts)) / np.sqrt(1 + np.bincount(text, minlength=len(texts)))
         return out
 
     def probability(self, texts) -> np.ndarray:

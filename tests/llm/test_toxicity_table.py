@@ -80,6 +80,41 @@ def test_probabilities_after_a_context_are_those_of_kneser_ney(spark, tmp_path):
     assert set(got) == every
 
 
+def test_words_are_weighed_as_in_a_plain_loop(spark, tmp_path):
+    """Ratios of words and what a text's different words say, against sets and dictionaries."""
+    pool = ["idiot", "trash", "the", "cat", "sat", "on", "mat", "dog", "réeux", "x"]
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(90):
+        label = int(rng.random() < 0.3)
+        said = [*rng.choice(pool[2:], 6), *(rng.choice(pool[:2], 2) if label and i % 4 else [])]
+        rows.append((" ".join(map(str, said)), label, i % 3))
+    counted = toxicity.count_grams(spark.createDataFrame(rows, "text string, label int, fold int")).cache()
+    table, unknown = toxicity.word_ratios(counted)
+    got = {r["a"]: [r[f"r{j}"] for j in range(4)] for r in table.collect()}
+    said = [{w: int(toxicity.words([w])[0][0]) for w in pool}[w] for w in pool]
+    for j, skip in enumerate(toxicity.SKIPS):
+        n = [[sum(w in t.split() and y == s and f != skip for t, y, f in rows) for w in pool] for s in (0, 1)]
+        both = sum(map(sum, n)) + 0.5 * len(pool)
+        back = [sum(min(k, 2.0) for k in n[s]) / sum(n[s]) for s in (0, 1)]
+        assert np.isclose(unknown[j], np.log(back[1] / back[0]))
+        for i in range(len(pool)):
+            p = [back[s] * (n[0][i] + n[1][i] + 0.5) / both + max(n[s][i] - 2.0, 0) / sum(n[s]) for s in (0, 1)]
+            assert np.isclose(got[said[i]][j], np.log(p[1] / p[0]), atol=1e-5)
+    ratios = {h: r[3] for h, r in got.items()}
+    keys = toxicity.table_key(toxicity.WORD, np.array(sorted(ratios)), np.zeros(len(ratios), np.int64))
+    order = np.argsort(keys)
+    sent = toxicity.Sent(keys[order], np.array([ratios[h] for h in sorted(ratios)], np.float32)[order])
+    model = toxicity.Model("", "r3", unknown[3], np.zeros(4), own=sent)
+    texts = ["idiot idiot the cat", "", None, "nobody knows these", "trash, IDIOT. réeux", "the cat sat on the mat"]
+    found = model.ratios(texts)[:, 1]
+    for text, value in zip(texts, found):
+        parts = {w.strip(",.").lower() for w in (text or "").split()}
+        say = [max(ratios[int(toxicity.words([w])[0][0])] - unknown[3] - 1.0, 0) for w in parts if w in pool]
+        assert np.isclose(value, sum(say) / np.sqrt(1 + len(parts)), atol=1e-5)
+    assert found[0] > 0 and found[4] > 0 and found[1] == found[2] == found[3] == 0
+
+
 def test_rest_of_the_table_gives_the_same_scores(spark, monkeypatch):
     docs, labels = queries.read(spark, SF_DIR, "documents"), queries.read(spark, SF_DIR, "labels")
     both = docs.select("doc_id", "text").unionByName(odd_documents(spark).select("doc_id", "text"))
