@@ -19,7 +19,7 @@ from clientele.plans.registry import SQL, query
 from clientele.plans.segment_queries import BRAND, COUNTRY, CUT_DAY, OTHER, _answer
 from clientele.schemas import PRODUCTS, USERS
 from clientele.session import scratch_dir
-from clientele.sources import corpus_files, demo, tables
+from clientele.sources import corpus_files, demo, tables, versions
 from clientele.streaming import daily as stream
 
 # --------------------------------------------------------------------- files
@@ -224,6 +224,17 @@ def stored_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _summary(tables.read_table(spark, f"{path}/product_daily"))
 
 
+@query("versioned_days", "SELECT event_id, ts, user_id, value, date_trunc('day', ts)::DATE AS session_date FROM events")
+def versioned_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by day, stored with false values from one day on, then corrected in a new version."""
+    path, events = scratch_dir(spark, "versioned"), demo.table(spark, sf_dir, "events")
+    rows = events.select("event_id", "ts", "user_id", "value", F.to_date("ts").alias("session_date"))
+    wrong = F.col("ts") >= "2024-01-10"
+    versions.replace_days(rows.withColumn("value", F.when(~wrong, F.col("value"))), path, "session_date", "ts")
+    versions.replace_days(rows.where(wrong), path, "session_date", "ts")
+    return versions.read(spark, path, rows.schema)
+
+
 # ------------------------------------------------------------------- streams
 
 
@@ -240,7 +251,8 @@ FROM events WHERE {only} GROUP BY 1, 2"""
 
 
 def _stream_daily(rows: DataFrame, key: str) -> DataFrame:
-    parts = stream.run_batches(rows, lambda batch: stream.daily_parts(batch, [key]), f"{key}-daily")
+    parts = stream.run_batches(rows, lambda batch: stream.daily_parts(batch, [key]), f"{key}-daily",
+                               merge=lambda runs: stream.merge_days(runs, [key]))
     return stream.daily_totals(parts, [key]).withColumn("total", F.round("total", 2))
 
 
@@ -254,6 +266,21 @@ def stream_type_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stream_daily(_events(spark, sf_dir), "event_type")
 
 
+def _deliveries(spark: SparkSession, sf_dir: str, files: int) -> DataFrame:
+    """All events as a stream of so many batches; rows of a day or user come in any of them."""
+    source = scratch_dir(spark, "deliveries")
+    demo.table(spark, sf_dir, "events").repartition(files, "event_id").write.parquet(source)
+    return stream.read_events(spark, source, files_per_batch=1)
+
+
+@query("stream_days_compacted", _day_sql("user_id"))
+def stream_days_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten batches whose parts are merged three at a time while they come in."""
+    parts = stream.run_batches(_deliveries(spark, sf_dir, 10), lambda batch: stream.daily_parts(batch, ["user_id"]), "compacted",
+                               merge=lambda runs: stream.merge_days(runs, ["user_id"]), fan_in=3)
+    return stream.daily_totals(parts, ["user_id"]).withColumn("total", F.round("total", 2))
+
+
 _SESSIONS = """
 WITH marked AS (
   SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events
@@ -270,22 +297,37 @@ def sessionize_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_table(demo.table(spark, sf_dir, "events")).withColumn("total", F.round("total", 2))
 
 
-@query("sessionize_nested", _SESSIONS + """
+_NESTED = _SESSIONS + """
 SELECT user_id, session_start, n_events, total, types FROM sessions JOIN (
   SELECT user_id, no, string_agg(event_type || ':' || CAST(event_id AS VARCHAR), ' ' ORDER BY ts, event_id) AS types
-  FROM numbered GROUP BY user_id, no) USING (user_id, no)""")
-def sessionize_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions with their events as an array, here written out as text."""
-    found = session_table(demo.table(spark, sf_dir, "events"), fields=["ts", "event_id", "event_type", "value"])
+  FROM numbered GROUP BY user_id, no) USING (user_id, no)"""
+_EVENT = ["ts", "event_id", "event_type", "value"]
+
+
+def _as_text(found: DataFrame) -> DataFrame:
     words = F.transform("session", lambda e: F.concat(e["event_type"], F.lit(":"), e["event_id"].cast("string")))
     return found.select("user_id", "session_start", "n_events", F.round("total", 2).alias("total"),
                         F.array_join(words, " ").alias("types"))
 
 
+@query("sessionize_nested", _NESTED)
+def sessionize_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with their events as an array, here written out as text."""
+    return _as_text(session_table(demo.table(spark, sf_dir, "events"), fields=_EVENT))
+
+
+@query("stream_sessions_nested", _NESTED)
+def stream_sessions_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from five batches, each with events of any time, compacted three at a time."""
+    parts = stream.run_batches(_deliveries(spark, sf_dir, 5), lambda batch: stream.session_parts(batch, fields=_EVENT),
+                               "nested-sessions", merge=stream.merge_sessions, fan_in=3)
+    return _as_text(stream.merge_sessions(parts))
+
+
 @query("stream_sessions", _SESSIONS + """
 SELECT user_id, session_start, session_end, n_events, total FROM sessions""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = stream.run_batches(_events(spark, sf_dir), stream.session_parts, "sessions")
+    parts = stream.run_batches(_events(spark, sf_dir), stream.session_parts, "sessions", merge=stream.merge_sessions)
     return stream.merge_sessions(parts).withColumn("total", F.round("total", 2))
 
 

@@ -14,6 +14,7 @@ from clientele.functions.money import numeric_sum
 from clientele.operators.corpus import store_new
 from clientele.operators.sessionize import session_table
 from clientele.session import scratch_dir
+from clientele.sources import versions
 
 GAP_MINUTES = 30
 
@@ -34,22 +35,23 @@ def read_events(spark: SparkSession, path: str, schema: T.StructType = RAW_EVENT
 
 
 def run_batches(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], name: str, out: str | None = None,
-                checkpoint: str | None = None) -> DataFrame:
+                checkpoint: str | None = None, merge: Callable[[DataFrame], DataFrame] | None = None,
+                fan_in: int = versions.FAN_IN) -> DataFrame:
     """Reduce every batch of the stream with `partial`, store the result, and read all
     results. Nothing waits for a watermark, so late rows and open days count.
 
-    A batch has a folder of its own that a repeated batch overwrites; with the same
-    `out` and `checkpoint` the next call goes on where this one stopped."""
+    A batch is a run of its own; a repeated batch is stored once. With `merge` (see
+    `versions.add_run`) runs are compacted, so that a read meets few of them. With the same
+    `out` and `checkpoint` the next call goes on where this one stopped; the two belong together."""
     spark = stream.sparkSession
     out = out or scratch_dir(spark, name)
     schema = partial(spark.createDataFrame([], stream.schema)).schema
 
     def store(rows: DataFrame, number: int) -> None:
-        partial(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        versions.add_run(partial(rows), out, number, merge, fan_in)
 
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{out}/batch=-1")
     _run(stream, store, checkpoint or f"{out}-checkpoint")
-    return spark.read.schema(schema).parquet(out).drop("batch")
+    return versions.read(spark, out, schema)
 
 
 def _run(stream: DataFrame, store: Callable[[DataFrame, int], None], checkpoint: str) -> None:
@@ -64,26 +66,35 @@ def daily_parts(rows: DataFrame, keys: list[str], value: str = "value") -> DataF
         F.count(F.lit(1)).alias("n_events"), numeric_sum(F.col(value)).alias("total"))
 
 
+def merge_days(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts of several batches as the parts of one."""
+    return parts.groupBy(*keys, "day").agg(F.sum("n_events").alias("n_events"), F.sum("total").alias("total"))
+
+
 def daily_totals(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Days put together from the parts of all batches."""
-    return parts.groupBy(*keys, "day").agg(F.sum("n_events").alias("n_events"), F.sum("total").cast("double").alias("total"))
+    return merge_days(parts, keys).withColumn("total", F.col("total").cast("double"))
 
 
-def session_parts(rows: DataFrame, gap_minutes: int = GAP_MINUTES) -> DataFrame:
-    """Sessions within one batch."""
-    return session_table(rows.withColumn("ts", utc_ntz(F.col("ts"))), gap_minutes).drop("session_no")
+def session_parts(rows: DataFrame, gap_minutes: int = GAP_MINUTES, fields: list[str] | None = None) -> DataFrame:
+    """Sessions within one batch; `fields`: with their events as an array `session`."""
+    zoneless = rows.withColumn("ts", utc_ntz(F.col("ts")))
+    return session_table(zoneless, gap_minutes, fields=fields).drop("session_no")
 
 
 def merge_sessions(parts: DataFrame) -> DataFrame:
     """Sessions of a user whose pauses a later batch has filled become one; the end of
-    a part already includes the gap. Sorts the parts of a user, not the events."""
+    a part already includes the gap. Sorts the parts of a user, not the events. Arrays of
+    events are joined and keep their order."""
     by_start = Window.partitionBy("user_id").orderBy("session_start", "session_end")
     before = F.max("session_end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     new = (before.isNull() | (F.col("session_start") > before)).cast("long")
     numbered = parts.withColumn("_new", new).withColumn("_no", F.sum("_new").over(by_start))
+    nested = [F.array_sort(F.flatten(F.collect_list("session"))).alias("session")] if "session" in parts.columns else []
     return numbered.groupBy("user_id", "_no").agg(
         F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"),
-        F.sum("n_events").alias("n_events"), F.sum(F.col("total").cast("decimal(38,9)")).cast("double").alias("total")).drop("_no")
+        F.sum("n_events").alias("n_events"), F.sum(F.col("total").cast("decimal(38,9)")).cast("double").alias("total"),
+        *nested).drop("_no")
 
 
 def log_sink(rows: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None,
