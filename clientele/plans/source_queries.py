@@ -353,6 +353,16 @@ def stream_qlog_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.withColumn("ts", utc_ntz(F.col("ts")))
 
 
+@query("stream_qlog_indexed", "SELECT event_id AS id, ts, event_type, user_id FROM events")
+def stream_qlog_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six batches, each row in two of them, stored once by an index of the ids."""
+    source, events = scratch_dir(spark, "twice-in"), demo.table(spark, sf_dir, "events")
+    for seed in (1, 2):
+        events.repartition(3, F.xxhash64("event_id", F.lit(seed))).write.mode("append").parquet(source)
+    rows = _log_rows(stream.read_events(spark, source, files_per_batch=1))
+    return stream.indexed_sink(rows, "indexed-log").withColumn("ts", utc_ntz(F.col("ts")))
+
+
 # From this day on, days are added to tables that were built without them.
 LATER_DAY, CORRECTED_DAY = dt.date(2000, 6, 1), dt.date(1999, 3, 4)
 

@@ -1,7 +1,7 @@
 """Incremental versions: daily sums, sessions and the log sink.
 
-A batch leaves partial results that are merged when the table is read. No state is
-kept between batches and no row is too late to count."""
+A batch leaves partial results that are merged when the table is read; no row is too
+late to count. Only `indexed_sink` keeps state between batches: the ids it has seen."""
 
 from __future__ import annotations
 
@@ -111,3 +111,38 @@ def log_sink(rows: DataFrame, name: str, out: str | None = None, checkpoint: str
     spark.createDataFrame([], rows.schema).write.mode("append").parquet(out)
     _run(rows, store, checkpoint or f"{out}-checkpoint")
     return spark.read.schema(rows.schema).parquet(out)
+
+
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a batch uploads what it has changed, not the whole store
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def indexed_sink(rows: DataFrame, name: str, out: str | None = None, checkpoint: str | None = None,
+                 id_: str = "id") -> DataFrame:
+    """As `log_sink`, but a batch never reads what is stored: the ids seen are state, dealt by
+    their hash and kept on disk, and a batch asks for its own ids only. Ids are not forgotten, so a
+    copy may come at any time; no watermark is needed.
+
+    Copies of an id are taken for the same row: of different ones with that id the first batch
+    decides, within a batch any one is stored (`log_sink` takes the earliest). All rows without an id
+    count as copies of each other. The number of shuffle partitions of the first run stays."""
+    spark = rows.sparkSession
+    out = out or scratch_dir(spark, name)
+    before = {key: spark.conf.get(key, None) for key in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
+    try:
+        (rows.dropDuplicates([id_]).writeStream.format("parquet").outputMode("append").queryName(name)
+         .option("path", out).option("checkpointLocation", checkpoint or f"{out}-checkpoint")
+         .trigger(availableNow=True).start().awaitTermination())
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+    return spark.read.schema(rows.schema).parquet(out)

@@ -1,9 +1,11 @@
 """Versioned tables: what a reader sees during and after a change, and compaction."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from clientele.operators.sessionize import session_table
 from clientele.sources import versions
@@ -104,3 +106,39 @@ def test_compacted_sessions_are_those_of_the_batch_with_their_arrays(spark, tmp_
     merged, whole = daily.merge_sessions(run()).select(*columns), session_table(raw, fields=fields).select(*columns)
     assert merged.exceptAll(whole).count() == 0 and merged.count() == whole.count()
     assert daily.merge_sessions(run()).count() == whole.count()         # nothing new
+
+
+def test_an_index_of_ids_stores_every_id_once_across_restarts(spark, tmp_path):
+    """Copies in the same run, in a later run, out of order; a batch asks the state for its own rows only."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "log")
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet").cache()
+    asked = []
+
+    class Progress(StreamingQueryListener):
+        def onQueryStarted(self, event):
+            pass
+
+        def onQueryProgress(self, event):
+            for state in event.progress.stateOperators:
+                asked.append((event.progress.numInputRows, state.customMetrics["rocksdbGetCount"]))
+
+        def onQueryTerminated(self, event):
+            pass
+
+    listener = Progress()
+    spark.streams.addListener(listener)
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    rows = events.count()
+    for n, (part, stored) in enumerate([("event_id % 2 = 0", None), ("true", rows), ("event_id % 100 = 7", rows)]):
+        events.where(part).unionByName(events.where(part)).coalesce(1).write.mode("append").parquet(source)
+        log = daily.read_events(spark, source).select(F.col("event_id").alias("id"), "ts")
+        found = daily.indexed_sink(log, f"log{n}", out)
+        assert found.count() == found.select("id").distinct().count()
+        assert stored is None or found.count() == stored
+    deadline = time.time() + 20
+    while len([a for a in asked if a[0]]) < 3 and time.time() < deadline:
+        time.sleep(0.2)
+    spark.streams.removeListener(listener)
+    came = [a for a in asked if a[0]]
+    assert len(came) == 3 and all(gets <= 2 * number for number, gets in came)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
