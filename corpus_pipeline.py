@@ -38,8 +38,9 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     tune(spark)
     found = ngramjoin.joined(docs.select(*COLUMNS), scratch_dir(spark, "pipeline-jaccard"))
     kept = found.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
+    # the least of repeated rows as one struct: a text travels once
     alone = kept.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
-        *[F.min_by(c, F.struct("text", "lang", "source", "n_chars")).alias(c) for c in COLUMNS[1:]])
+        F.min(F.struct("text", "lang", "source", "n_chars")).alias("_row")).select("doc_id", "_row.*")
     rest = kept.where((F.col("n_shingles") == 0) | F.col("doc_id").isNull())
     return rest.select(*COLUMNS).unionByName(alone.select(*COLUMNS))
 
