@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -23,6 +24,13 @@ RUNTIME_SETTINGS = {
 }
 
 
+# A shuffle may be cut into so many parts, and the adaptive planner gathers small ones up to
+# this size, so that the memory of a task does not grow with the tables. Rows of keys and
+# prices take up to 30 times as much in a hash table as on the wire.
+LEAST_PARTS, PART_BYTES = 400, 8 << 20
+_PARTS, _SIZE = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+
+
 def build_session(app: str = "clientele", master: str | None = None, **settings: str) -> SparkSession:
     """A session for tests, benchmarks and scripts. On a cluster `spark-submit`
     names the master and the memory; here only the SQL settings are fixed."""
@@ -46,6 +54,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)i?b?\s*", size.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
+def bound_tasks(spark: SparkSession) -> SparkSession:
+    """Shuffles in parts of bounded size; a session that asks for more or smaller parts keeps its own."""
+    if _bytes(spark.conf.get(_SIZE, "64m")) > PART_BYTES:
+        spark.conf.set(_SIZE, str(PART_BYTES))
+    if int(spark.conf.get(_PARTS, None) or spark.conf.get("spark.sql.shuffle.partitions")) < LEAST_PARTS:
+        spark.conf.set(_PARTS, str(LEAST_PARTS))
+    return spark
+
+
+def free_tasks(spark: SparkSession) -> SparkSession:
+    """Takes the number of parts back that `bound_tasks` has set."""
+    if spark.conf.get(_PARTS, None) == str(LEAST_PARTS):
+        spark.conf.unset(_PARTS)
+    return spark
+
+
 _shipped: set[str] = set()          # applications whose workers have the package
 
 
