@@ -74,9 +74,16 @@ def session_totals(priced: DataFrame) -> DataFrame:
     return sums.select(*FACT_KEYS, total.alias("total_cost"), "has_purchase", "has_cart", "n_events")
 
 
-def nest_sessions(priced: DataFrame) -> DataFrame:
+def nest_sessions(priced: DataFrame, gathered: bool = False) -> DataFrame:
     """The `events` table: one row per session, its events as an ordered array and its
-    total, from a single grouping."""
+    total, from a single grouping.
+
+    Events move as plain rows, once; before that, gathering them into arrays would only
+    make them larger. What follows from other columns is made afterwards. `gathered`: the
+    events of a session are in one partition already, by a join on it."""
+    rows = priced.select(*SESSION_KEYS, *[c for c in EVENT_FIELDS if c != "uri"])
+    rows = rows if gathered else rows.repartition(*SESSION_KEYS)
+    priced = rows.withColumns({"uri": event_uri(), "price": numeric(F.col("cost"))})
     # sorted by sequence_number; `_events.e` then takes the events out again
     numbered = F.struct("sequence_number", F.struct(*EVENT_FIELDS).alias("e"))
     return (priced.groupBy(*SESSION_KEYS)

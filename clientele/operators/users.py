@@ -148,9 +148,10 @@ def user_history(lines: DataFrame, heavy: list | tuple = ()) -> tuple[DataFrame,
     return days, life
 
 
-def user_daily(users: DataFrame, lines: DataFrame) -> DataFrame:
-    """Every user with their purchase days; one row with NULLs if there is none."""
-    days = day_arrays(lines).withColumnRenamed("user_id", "id")
+def user_daily(users: DataFrame, lines: DataFrame, days: DataFrame | None = None) -> DataFrame:
+    """Every user with their purchase days; one row with NULLs if there is none. `days`: rows
+    of days that were made already."""
+    days = (day_arrays(lines) if days is None else days).withColumnRenamed("user_id", "id")
     return users.select("id").join(days, "id", "left").select(
         "id", "session_day", "daily_purchased_items", "daily_spend", DAILY_ARRAY)
 

@@ -68,6 +68,13 @@ def demo_frames(spark: SparkSession, sf_dir: str, country: bool = False) -> Fram
                        demo.session_events(spark, sf_dir, country))
 
 
+def demo_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`build_events` over the provided tables: the same rows, priced before their sessions are joined."""
+    products = demo.products(spark, sf_dir)
+    return sess.nest_sessions(demo.looked_up_events(spark, sf_dir, lambda pages: sess.price_events(pages, products).drop("uri", "price")),
+                              gathered=True)
+
+
 PARTITION = "session_date"
 
 
@@ -89,7 +96,7 @@ NEEDS = {"events": (), "user_daily": ("events",), "user_global": ("events",), "u
 
 
 def build(spark: SparkSession, users: DataFrame, products: DataFrame, raw: DataFrame, out: str,
-          grain: str = "DAY", wanted: list[str] | None = None) -> dict[str, DataFrame]:
+          grain: str = "DAY", wanted: list[str] | None = None, events: DataFrame | None = None) -> dict[str, DataFrame]:
     """Write the wanted tables (all by default) and those they are made from below
     `out`, and hand back readers for them.
 
@@ -97,7 +104,7 @@ def build(spark: SparkSession, users: DataFrame, products: DataFrame, raw: DataF
     lineage, survives lost executors and lets the later steps prune columns and
     days. Overwrites, so a second run leaves the same tables. `grain` DAY, MONTH
     or YEAR sets the size of a partition: days for large data, longer periods
-    where a day would be a file of a few rows."""
+    where a day would be a file of a few rows. `events`: nested sessions that are made already."""
     needed = set(wanted or NEEDS)
     while more := {n for name in needed for n in NEEDS[name]} - needed:
         needed |= more
@@ -108,13 +115,15 @@ def build(spark: SparkSession, users: DataFrame, products: DataFrame, raw: DataF
             rows = df()
             if day:
                 rows = rows.withColumn(PARTITION, period_of(F.col(day), grain))
-            tables.write_table(rows, f"{out}/{name}", PARTITION if day else None, comments=schemas.of_table(name))
+            tables.write_table(rows, f"{out}/{name}", PARTITION if day else None, comments=schemas.of_table(name), gather=grain != "YEAR")
             made[name] = tables.read_table(spark, f"{out}/{name}")
 
-    store("events", lambda: sess.build_events(raw, products), "session_created_at")
+    store("events", lambda: sess.build_events(raw, products) if events is None else events, "session_created_at")
     base = from_events(users, made["events"].drop(PARTITION))
-    store("user_daily", lambda: usr.user_daily(users, base.lines), "session_day")
-    store("user_global", lambda: usr.user_global(users, base.lines, base.marks))
+    heavy = usr.heavy_users(base.lines) if "user_daily" in needed or "user_global" in needed else ()
+    days, life = usr.user_history(base.lines, heavy)
+    store("user_daily", lambda: usr.user_daily(users, base.lines, days), "session_day")
+    store("user_global", lambda: usr.user_global(users, base.lines, base.marks, life=life))
     store("user_aggregates", lambda: usr.conforms(usr.user_aggregates(
         made["user_global"], made["user_daily"].drop(PARTITION))), "session_day")
     store("product_daily", lambda: prod.product_daily(base.priced), "session_day")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clientele.operators import products as prod, sessions as sess, users as usr
 from clientele.operators.sampling import first_n_users, random_n_of_top_m
-from clientele.plans.dataset import demo_frames
+from clientele.plans.dataset import demo_frames, demo_nested
 from clientele.plans.reference_sql import brands_text_sql, demo_sql, product_sql, user_sql
 from clientele.plans.registry import query
 from clientele.sources import demo
@@ -34,7 +34,7 @@ FROM facts f JOIN (
          ',' ORDER BY sequence_number, event_type, product_id) AS trail FROM priced GROUP BY session_id) t
 ON f.session_id = t.session_id"""))
 def events_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = sess.build_events(demo.session_events(spark, sf_dir), demo.products(spark, sf_dir))
+    events = demo_nested(spark, sf_dir)
     step = F.transform("session", lambda e: F.concat_ws(
         ":", e["sequence_number"].cast("string"), e["event_type"], e["product_id"].cast("string")))
     return events.select("user_id", "country", "session_id", "traffic_source", "session_created_at",
@@ -47,7 +47,7 @@ SELECT p.session_id, p.user_id, sequence_number, event_type, product_id,
        p.session_created_at + to_minutes(sequence_number) AS created_at, cost, brand, round(total_cost, 2) AS total_cost
 FROM priced p JOIN facts f ON p.session_id = f.session_id"""))
 def unnest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = sess.build_events(demo.session_events(spark, sf_dir), demo.products(spark, sf_dir))
+    events = demo_nested(spark, sf_dir)
     return sess.unnest_session(events).select("session_id", "user_id", "sequence_number", "event_type", "product_id",
                                               "created_at", "cost", "brand", _money("total_cost"))
 

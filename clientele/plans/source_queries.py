@@ -12,7 +12,7 @@ from clientele.operators import history, products as prod, users as usr
 from clientele.operators.segments import segment
 from clientele.operators.sessionize import session_table
 from clientele.plans import questions as q
-from clientele.plans.dataset import PARTITION, build, demo_frames, period_of, stored_days
+from clientele.plans.dataset import PARTITION, build, demo_frames, demo_nested, period_of, stored_days
 from clientele.plans.dataset_queries import brands_text
 from clientele.plans.reference_sql import demo_sql, product_sql
 from clientele.plans.registry import SQL, query
@@ -61,7 +61,7 @@ GRAIN = "YEAR"      # the provided tables hold a handful of rows per day
 
 def _build(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return build(spark, demo.users(spark, sf_dir), demo.products(spark, sf_dir), demo.session_events(spark, sf_dir),
-                 scratch_dir(spark, "tables"), GRAIN, [table])[table]
+                 scratch_dir(spark, "tables"), GRAIN, [table], demo_nested(spark, sf_dir))[table]
 
 
 @query("stored_user_aggregates", SQL["user_aggregates"])
@@ -96,7 +96,7 @@ def stored_tables(spark: SparkSession, sf_dir: str, months: int | None = None) -
     if key not in _BUILT:
         path = scratch_dir(spark, "questions")
         build(spark, demo.users(spark, sf_dir), demo.products(spark, sf_dir), demo.session_events(spark, sf_dir), path,
-              GRAIN, ["user_aggregates", "product_daily"])
+              GRAIN, ["user_aggregates", "product_daily"], demo_nested(spark, sf_dir))
         _BUILT[key] = path
     ua, daily = (tables.read_table(spark, f"{_BUILT[key]}/{name}") for name in ("user_aggregates", "product_daily"))
     if months is None:

@@ -22,17 +22,18 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 
 
 def write_table(df: DataFrame, path: str, partition: str | None = None, mode: str = "overwrite",
-                comments: T.StructType | None = None) -> None:
+                comments: T.StructType | None = None, gather: bool = True) -> None:
     """Create or replace a table, by day if a partition column is named.
 
     `comments`: a schema whose descriptions are stored with the columns of the same
     name. `rebalance` lets the adaptive planner gather the rows of a day into few files
-    and split a day that is larger than the target size."""
+    and split a day that is larger than the target size; that moves all rows once more, so
+    `gather` = False leaves it out where periods are few and a task has rows of each anyway."""
     if comments is not None:
         described = {f.name: f.metadata for f in comments.fields if f.metadata}
         df = df.select(*[F.col(c).alias(c, metadata=described[c]) if c in described else F.col(c) for c in df.columns])
     if partition:
-        df.hint("rebalance", partition).write.mode(mode).partitionBy(partition).parquet(path)
+        (df.hint("rebalance", partition) if gather else df).write.mode(mode).partitionBy(partition).parquet(path)
     else:
         df.write.mode(mode).parquet(path)
 
