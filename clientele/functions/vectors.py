@@ -9,6 +9,7 @@ METRICS = ("cosine", "l2", "ip")
 # Similarities are compared after rounding, so that the last bits of a float
 # product decide neither a threshold nor a tie.
 DIGITS = 9
+CELLS = 1 << 20              # similarities held at once
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -39,16 +40,24 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 def scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
     """Similarity matrix, larger = closer: cosine of unit vectors, inner product or minus L2."""
-    if metric in ("cosine", "ip"):
-        out = queries @ corpus.T
-    else:
-        squares = (queries ** 2).sum(1)[:, None] + (corpus ** 2).sum(1)[None, :] - 2 * (queries @ corpus.T)
-        out = -np.sqrt(np.maximum(squares, 0))
-    return np.round(out, DIGITS)
+    return np.round(_scores(queries, corpus, metric), DIGITS)
+
+
+def _scores(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarray:
+    """The same, not rounded yet."""
+    out = queries @ corpus.T
+    if metric == "l2":
+        out *= -2
+        out += (queries ** 2).sum(1)[:, None] + (corpus ** 2).sum(1)[None, :]
+        np.sqrt(np.maximum(out, 0, out=out), out=out)
+        np.negative(out, out=out)
+    return out
 
 
 class Best:
-    """The k best corpus ids per query seen so far. Equal scores go by id."""
+    """The k best corpus ids per query seen so far. Equal scores go by id.
+
+    Queries meet the corpus in tiles of at most CELLS similarities, whatever the blocks."""
 
     def __init__(self, qids: np.ndarray, queries: np.ndarray, k: int, metric: str, threshold: float | None,
                  exclude_same_id: bool, tenants: np.ndarray | None = None, tile: int = 1024):
@@ -69,12 +78,23 @@ class Best:
             self.ids = np.full((len(self.qids), self.k), ids[0], dtype=ids.dtype)
         elif ids.dtype.kind == "U" and ids.dtype.itemsize > self.ids.dtype.itemsize:
             self.ids = self.ids.astype(ids.dtype)
-        for start in range(0, len(self.qids if only is None else only), self.tile):
-            part = slice(start, start + self.tile)
-            self._tile(part if only is None else only[part], ids, corpus, tenants)
+        step = max(1, CELLS // self.tile)
+        for low in range(0, len(ids), step):
+            some = slice(low, low + step)
+            for start in range(0, len(self.qids if only is None else only), self.tile):
+                part = slice(start, start + self.tile)
+                self._tile(part if only is None else only[part], ids[some], corpus[some], None if tenants is None else tenants[some])
 
     def _tile(self, part: slice | np.ndarray, ids: np.ndarray, corpus: np.ndarray, tenants: np.ndarray | None) -> None:
-        sim = scores(self.queries[part], corpus, self.metric)
+        sim = _scores(self.queries[part], corpus, self.metric)
+        # most queries gain nothing from most tiles; rounding keeps the order, so the largest
+        # one tells. A NaN is no less than anything: such rows are looked at.
+        top = np.round(sim.max(axis=1), DIGITS)
+        least = self.score[part, -1] if self.threshold is None else np.maximum(self.score[part, -1], self.threshold)
+        look = np.flatnonzero(~(top < least))
+        if not len(look):
+            return
+        sim, part = np.round(sim[look], DIGITS), np.arange(len(self.qids))[part][look]
         sim[np.isnan(sim)] = -np.inf
         if self.exclude:
             sim[self.qids[part][:, None] == ids[None, :]] = -np.inf
@@ -86,7 +106,7 @@ class Best:
         rising = np.flatnonzero((sim.max(axis=1) >= self.score[part, -1]) & (sim.max(axis=1) > -np.inf))
         if not len(rising):
             return
-        sim, part = sim[rising], np.arange(len(self.qids))[part][rising]
+        sim, part = sim[rising], part[rising]
         rows = np.arange(len(sim))
         found, found_ids = [self.score[part]], [self.ids[part]]
         for _ in range(min(self.k, len(ids))):

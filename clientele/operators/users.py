@@ -115,6 +115,8 @@ def _shown(categories: Column, ids: Column) -> list[Column]:
 
 def cell_days(cells: DataFrame) -> DataFrame:
     """`day_arrays` from brand cells."""
+    # always true: days then read what the lifetime reads, so that Spark shares the exchange below both
+    cells = cells.where(F.col("_last").isNull() | (F.col("_first") <= F.col("_last")))
     return cells.select("*", *_shown(F.col("_categories"), F.col("_ids"))).groupBy("user_id", "session_day").agg(
         F.sum("purchased_items").alias("daily_purchased_items"), as_money(F.sum("_spend")).alias("daily_spend"),
         _nest(DAY_BRAND.fieldNames()).alias(DAILY_ARRAY))
