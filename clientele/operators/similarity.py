@@ -26,6 +26,7 @@ from clientele.operators.buckets import search_corpus
 
 QUERY_ROWS = 10_000
 BLOCK_ROWS = 10_000
+MOVED_ROWS = 4096
 
 
 def _result_schema(queries: DataFrame, corpus: DataFrame, qid: str, id_: str) -> T.StructType:
@@ -64,9 +65,10 @@ def _scan(few: pa.Table, corpus: DataFrame, schema: T.StructType, options: dict,
 
 def _blocks(queries: DataFrame, corpus: DataFrame, schema: T.StructType, options: dict, grouped: bool,
             block_rows: int) -> DataFrame:
-    """Query blocks against corpus blocks, within a group."""
+    """Query blocks against corpus blocks, within a group. Every row moves once for each block
+    of the other side, so blocks that move are not smaller than MOVED_ROWS."""
     def blocks(rows: Column) -> Column:
-        return F.ceil(rows / F.lit(block_rows)).cast("int")
+        return F.ceil(rows / F.lit(max(block_rows, MOVED_ROWS))).cast("int")
 
     if grouped:
         sizes = (queries.groupBy("_g").agg(blocks(F.count(F.lit(1))).alias("_nq"))
@@ -90,8 +92,9 @@ def _blocks(queries: DataFrame, corpus: DataFrame, schema: T.StructType, options
         best.add(keys(stored["id"]), matrix(stored["embedding"]))
         return best.table(out)
 
-    return (q.select(*key, "qid", "embedding").groupBy(*key)
-            .cogroup(v.select(*key, "id", "embedding").groupBy(*key)).applyInArrow(search, schema))
+    # the join with the sizes leaves a group in one task; its block pairs are to be spread
+    q, v = (side.repartition(*key) for side in (q.select(*key, "qid", "embedding"), v.select(*key, "id", "embedding")))
+    return q.groupBy(*key).cogroup(v.groupBy(*key)).applyInArrow(search, schema)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
