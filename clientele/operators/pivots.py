@@ -25,6 +25,7 @@ from clientele.session import scratch_dir
 PIVOTS = 32
 MAX_BLOCKS = 16_384
 AT_ONCE = 1 << 16            # pairs of a query and a block that are judged together
+REGION_ROWS = 8192           # vectors move to regions of neighbouring blocks, of so many rows, in bundles of so many queries
 SLACK = 1e-6                 # similarities are rounded; bounds must not cut at the last digits
 
 
@@ -54,14 +55,17 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _dealt(corpus: DataFrame, block_rows: int) -> DataFrame:
-    """Adds `block`: by the nearest pivot, large ones in several parts."""
+def _dealt(corpus: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+    """Adds `block`: by the nearest pivot, large ones in several parts, and `region`: so many
+    neighbouring blocks, the second result. Ranges leave out blocks, rows move by region."""
     sizes = {r["home"]: r["n"] for r in corpus.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = max(block_rows, -(-sum(sizes.values()) // (MAX_BLOCKS - PIVOTS)))
     parts = [-(-sizes.get(h, 0) // rows) for h in range(PIVOTS)]
     first = np.concatenate([[0], np.cumsum(parts)]).tolist()
     part = F.pmod(F.xxhash64("id"), F.get(F.array(*[F.lit(max(1, p)) for p in parts]), F.col("home")))
-    return corpus.withColumn("block", (F.get(F.array(*[F.lit(f) for f in first]), F.col("home")) + part).cast("int"))
+    joined = max(1, REGION_ROWS // rows)
+    corpus = corpus.withColumn("block", (F.get(F.array(*[F.lit(f) for f in first]), F.col("home")) + part).cast("int"))
+    return corpus.withColumn("region", F.floor(F.col("block") / joined).cast("int")), joined
 
 
 class Ranges:
@@ -86,32 +90,50 @@ class Ranges:
 
 
 def _meet(queries: DataFrame, corpus: DataFrame, schema: T.StructType, out: pa.Schema, options: dict, block_rows: int) -> DataFrame:
-    """Queries(qid, embedding, block) against the rows of their blocks; a block that many
-    queries go to is met in several tasks."""
-    visits = queries.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_parts"))
-    asked = queries.join(visits, "block").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int"))
-    stored = corpus.join(visits, "block").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    """Queries(qid, embedding, region, blocks) against the rows of their blocks; a region that
+    many queries go to is met in several tasks."""
+    visits = queries.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / max(block_rows, REGION_ROWS)).cast("int").alias("_parts"))
+    asked = queries.join(visits, "region").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int"))
+    stored = corpus.join(visits, "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
 
     def search(some: pa.Table, rows: pa.Table) -> pa.Table:
         best = Best(keys(some["qid"]), matrix(some["embedding"]), **options)
-        best.add(keys(rows["id"]), matrix(rows["embedding"]))
+        ids, vectors, of_row = keys(rows["id"]), matrix(rows["embedding"]), rows["block"].to_numpy()
+        wanted = some["blocks"].combine_chunks()
+        who = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
+        named = wanted.flatten().to_numpy()
+        blocks, visitors = np.unique(named, return_counts=True)
+        all_go = np.isin(of_row, blocks[visitors == len(wanted)])
+        best.add(ids[all_go], vectors[all_go])
+        for block in blocks[visitors < len(wanted)].tolist():
+            at = np.flatnonzero(of_row == block)
+            best.add(ids[at], vectors[at], only=who[named == block])
         return best.table(out)
 
-    return (asked.select("block", "part", "qid", "embedding").groupBy("block", "part")
-            .cogroup(stored.select("block", "part", "id", "embedding").groupBy("block", "part")).applyInArrow(search, schema))
+    return (asked.select("region", "part", "qid", "embedding", "blocks").groupBy("region", "part")
+            .cogroup(stored.select("region", "part", "id", "embedding", "block").groupBy("region", "part")).applyInArrow(search, schema))
 
 
-def _visits(queries: DataFrame, ranges, choose: Callable, with_far: bool) -> DataFrame:
-    """A row for every block a query goes to; `choose` gives queries x blocks, true or false."""
+def _visits(queries: DataFrame, ranges, joined: int, choose: Callable, with_far: bool) -> DataFrame:
+    """A row for every region a query goes to, with its blocks there; `choose` gives queries x
+    blocks, true or false."""
     def go(batches):
-        step = max(1, AT_ONCE // len(ranges.value.blocks))
+        order = np.argsort(ranges.value.blocks)
+        blocks = ranges.value.blocks[order].astype(np.int32)
+        regions, starts = np.unique(blocks // joined, return_index=True)
+        step = max(1, AT_ONCE // len(blocks))
         for batch in (b.slice(i, step) for b in batches for i in range(0, len(b), step)):
-            who, where = np.nonzero(choose(ranges.value, batch))
+            chosen = choose(ranges.value, batch)[:, order]
+            counts = np.add.reduceat(chosen.astype(np.int32), starts, axis=1)
+            who, where = np.nonzero(counts)
+            ends = np.concatenate([[0], np.cumsum(counts[who, where])])
             kept = batch.select(names).take(pa.array(who))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(ranges.value.blocks[where].astype(np.int32))], [*names, "block"])
+            there = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(blocks[np.nonzero(chosen)[1]]))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(regions[where].astype(np.int32)), there], [*names, "region", "blocks"])
 
     names = ["qid", "embedding", *(["far"] if with_far else [])]
-    schema = T.StructType([*(queries.schema[n] for n in names), T.StructField("block", T.IntegerType())])
+    schema = T.StructType([*(queries.schema[n] for n in names), T.StructField("region", T.IntegerType()),
+                           T.StructField("blocks", T.ArrayType(T.IntegerType()))])
     return queries.mapInArrow(go, schema)
 
 
@@ -126,7 +148,7 @@ def _first(ranges: Ranges, batch: pa.RecordBatch) -> np.ndarray:
 
 def _rest(ranges: Ranges, batch: pa.RecordBatch) -> np.ndarray:
     """All other blocks that may hold a row as near as the bound."""
-    other = ranges.blocks[None, :] != batch["block"].to_numpy()[:, None]
+    other = ranges.blocks[None, :] != batch["blocks"].flatten().to_numpy()[:, None]       # each has one
     return other & (ranges.nearest(matrix(batch["far"])) <= batch["bound"].to_numpy()[:, None] + SLACK)
 
 
@@ -140,15 +162,15 @@ def search(asked: DataFrame, stored: DataFrame, schema: T.StructType, out: pa.Sc
     sample = matrix(stored.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("embedding").toArrow()["embedding"])
     pivots = unit(sample) if cosine and len(sample) else sample
     pivots = pivots[np.isfinite(pivots).all(axis=1)] if len(pivots) else np.empty((0, 0))
-    corpus = _dealt(_written(_placed(stored, "id", pivots, cosine), f"{folder}/corpus"), block_rows)
+    corpus, joined = _dealt(_written(_placed(stored, "id", pivots, cosine), f"{folder}/corpus"), block_rows)
     queries = _written(_placed(asked, "qid", pivots, cosine), f"{folder}/queries")
     found_ranges = Ranges(corpus, len(pivots))
     if not len(found_ranges.blocks):
         return spark.createDataFrame([], schema)
     ranges = spark.sparkContext.broadcast(found_ranges)
-    rows = corpus.select("id", "embedding", "block")
-    home = _written(_visits(queries, ranges, _first, True), f"{folder}/home")
-    first = _written(_meet(home.select("qid", "embedding", "block"), rows, schema, out, options, block_rows), f"{folder}/first")
+    rows = corpus.select("id", "embedding", "block", "region")
+    home = _written(_visits(queries, ranges, joined, _first, True), f"{folder}/home")
+    first = _written(_meet(home.drop("far"), rows, schema, out, options, block_rows), f"{folder}/first")
 
     def distance(similarity):
         return F.sqrt(F.greatest(2 - 2 * similarity, F.lit(0.0))) if cosine else -similarity
@@ -157,7 +179,7 @@ def search(asked: DataFrame, stored: DataFrame, schema: T.StructType, out: pa.Sc
     limits = first.groupBy("qid").agg(bound.alias("bound"))
     beyond = F.lit(np.inf) if threshold is None else distance(F.lit(float(threshold)))
     left = home.join(limits, "qid", "left").withColumn("bound", F.least(F.coalesce("bound", F.lit(np.inf)), beyond))
-    rest = _visits(left, ranges, _rest, False)
+    rest = _visits(left, ranges, joined, _rest, False)
     if met is not None:
-        met += [home, rest, found_ranges]
+        met += [*(v.select("qid", F.explode("blocks").alias("block")) for v in (home, rest)), found_ranges]
     return first.unionByName(_meet(rest, rows, schema, out, options, block_rows))
