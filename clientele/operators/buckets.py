@@ -12,6 +12,7 @@ a stated set; they go to the index in bundles of QUERY_ROWS, each written before
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from dataclasses import dataclass
@@ -40,6 +41,7 @@ def probes_for(hashes: int) -> int:
     return int(7 * 1.6 ** hashes)
 
 
+@functools.lru_cache(maxsize=8)
 def crossings(hashes: int, probes: int) -> list[tuple[int, ...]]:
     """Sets of borders to cross, the most promising first. A query's 2 x hashes borders are
     numbered from 1 by their distance from it; border j and the opposite one, which comes
@@ -149,14 +151,15 @@ def _search(index: DataFrame, bundle: pa.Table, tables: Tables, schema: T.Struct
             kind = batch["id"].type
             for t in np.unique(of_row).tolist():
                 if t not in ready:
-                    cells = tables.visited(asked, t)
-                    order = np.argsort(cells, axis=None, kind="stable")
-                    ready[t] = cells.ravel()[order], (order // cells.shape[1]).astype(np.int32)
+                    ready[t] = tables.visited(asked, t)
                     best[t] = Best(names, asked, **options)
-                visits, visitors = ready[t]
                 rows = np.flatnonzero(of_row == t)
                 part = batch.take(pa.array(rows))
                 cells, ids, vectors = part["cell"].to_numpy(), keys(part["id"]), matrix(part["embedding"])
+                # rows come in the order of their cells: only visits to the few of this batch are sorted
+                near = np.flatnonzero((ready[t].ravel() >= cells.min()) & (ready[t].ravel() <= cells.max()))
+                near = near[np.argsort(ready[t].ravel()[near], kind="stable")]
+                visits, visitors = ready[t].ravel()[near], (near // ready[t].shape[1]).astype(np.int32)
                 ends = np.append(np.flatnonzero(np.diff(cells, prepend=cells[0] - 1)), len(cells))
                 lo, hi = np.searchsorted(visits, cells[ends[:-1]]), np.searchsorted(visits, cells[ends[:-1]], "right")
                 for a, b, i, j in zip(ends[:-1], ends[1:], lo, hi, strict=True):

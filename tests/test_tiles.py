@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clientele.functions import vectors as vec
-from clientele.operators import pivots, similarity
+from clientele.operators import buckets, pivots, similarity
 from clientele.operators.similarity import similar
 from tests.test_similarity import clustered, plain, table
 
@@ -66,3 +66,16 @@ def test_blocks_within_groups_are_not_copied_for_every_few_rows(spark):
     known = similar(asked, rows, 3, exclude_same_id=True, pre_filter=["label"])
     assert found.exceptAll(known).count() == 0 and found.count() == known.count()
     assert similarity.MOVED_ROWS >= 1024
+
+
+def test_visits_are_those_of_the_template():
+    """Summed by borders they are what the product with the template is, which is made once."""
+    tables = buckets.Tables(32, 7, 400)
+    asked = np.random.default_rng(8).normal(size=(60, 32))
+    sets, names = buckets.crossings(7, 400), tables._names()[1]
+    at = tables.places(asked, 1)
+    borders = np.argsort(np.concatenate([at - np.floor(at), 1 - (at - np.floor(at))], axis=1), axis=1, kind="stable")
+    wanted = [[int(c) + sum(int(np.concatenate([-names, names])[borders[q, j - 1]]) for j in s) for s in sets]
+              for q, c in enumerate(tables.cells(asked, 1))]
+    assert [[w & (2 ** 64 - 1) for w in row] for row in wanted] == tables.visited(asked, 1).astype(np.uint64).tolist()
+    assert buckets.crossings(7, 400) is sets
