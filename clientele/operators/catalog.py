@@ -11,7 +11,7 @@ tables       project_id, owner, table_name, comments
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -84,10 +84,14 @@ def table_comments(options: DataFrame, names: list[str] | None = None) -> DataFr
         *TABLE_KEY, unquote(F.col("option_value")).alias("comments"))
 
 
-def _texts(rows: DataFrame, on: list[str], order: list[str], text: Column, sep: str, name: str) -> DataFrame:
-    """One ordered text per table. The number of rows is the width of a table."""
-    parts = F.sort_array(F.collect_list(F.struct(*order, text.alias("_t"))))
-    return rows.groupBy(*on).agg(parts.alias("_p")).select(*on, F.array_join("_p._t", sep).alias(name))
+def _texts(rows: DataFrame, on: list[str], order: list[str], more: list[str], text: Callable[[Column], Column], sep: str,
+           name: str) -> DataFrame:
+    """One ordered text per table, of a line per row; `more`: what a line says besides its order.
+    The number of rows is the width of a table. Rows move by the name of their table, as the
+    tables do, and lines are made where they have come together."""
+    got = rows.repartition("table_name").groupBy(*on).agg(F.collect_list(F.struct(*order, *more)).alias("_p"))
+    lines = F.transform("_p", lambda row: F.struct(*[row[c].alias(c) for c in order], text(row).alias("_t")))
+    return got.withColumn("_p", F.sort_array(lines)).select(*on, F.array_join("_p._t", sep).alias(name))
 
 
 def table_descriptions(tables: DataFrame, fields: DataFrame, primary: DataFrame, foreign: DataFrame) -> DataFrame:
@@ -96,14 +100,18 @@ def table_descriptions(tables: DataFrame, fields: DataFrame, primary: DataFrame,
         # keys listed for a single project may come without its name
         return [c for c in TABLE_KEY if c in rows.columns]
 
-    column = F.concat(F.lit("- "), "field_path", F.lit(" ("), "data_type", F.lit(") - "),
-                      F.coalesce("description", F.lit("")))
-    reference = F.concat(
-        F.lit(f"{FK_INDENT}Column "), "column_name", F.lit(" is equal to column "), "r_column_name",
-        F.lit(" in table "), "r_owner", F.lit("."), "r_table_name", F.lit(FK_INDENT))
-    cols = _texts(fields, owned(fields), ["column_name", "field_path"], column, COLUMN_SEPARATOR, "_columns")
-    pks = _texts(primary, owned(primary), ["column_name"], F.col("column_name"), ",", "_pk")
-    fks = _texts(foreign, owned(foreign), ["column_name", "r_owner", "r_table_name", "r_column_name"], reference, ",", "_fk")
+    def column(row: Column) -> Column:
+        return F.concat(F.lit("- "), row["field_path"], F.lit(" ("), row["data_type"], F.lit(") - "),
+                        F.coalesce(row["description"], F.lit("")))
+
+    def reference(row: Column) -> Column:
+        return F.concat(
+            F.lit(f"{FK_INDENT}Column "), row["column_name"], F.lit(" is equal to column "), row["r_column_name"],
+            F.lit(" in table "), row["r_owner"], F.lit("."), row["r_table_name"], F.lit(FK_INDENT))
+
+    cols = _texts(fields, owned(fields), ["column_name", "field_path"], ["data_type", "description"], column, COLUMN_SEPARATOR, "_columns")
+    pks = _texts(primary, owned(primary), ["column_name"], [], lambda row: row["column_name"], ",", "_pk")
+    fks = _texts(foreign, owned(foreign), ["column_name", "r_owner", "r_table_name", "r_column_name"], [], reference, ",", "_fk")
     joined = tables.join(cols, owned(cols), "left").join(pks, owned(pks), "left").join(fks, owned(fks), "left")
     full = F.concat_ws(".", "project_id", "owner", "table_name")
     text = F.concat(

@@ -50,21 +50,25 @@ _OWNERS = ["1-URGENT", "5-LOW"]
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Columns and paths meet the orders by table name: what the catalogue does next goes by it
+    too, so they need not move again. Up to there they move as numbers, not as texts."""
+    def name(key: str) -> Column:
+        return F.concat(F.lit("order_"), F.col(key).cast("string")).alias("table_name")
+
     orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.lit("shop").alias("project_id"), F.col("o_orderpriority").alias("owner"),
-        F.concat(F.lit("order_"), F.col("o_orderkey").cast("string")).alias("table_name"), "o_orderstatus")
+        "o_orderkey", F.lit("shop").alias("project_id"), F.col("o_orderpriority").alias("owner"), name("o_orderkey"), "o_orderstatus")
     lines = table(spark, sf_dir, "lineitem")
     number = F.concat(F.lit("c"), F.col("l_linenumber").cast("string"))
     part = F.concat(F.lit("p"), F.col("l_partkey").cast("string"))
-    columns = (lines.select("l_orderkey", number.alias("column_name")).distinct()
-               .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-               .select(*cat.TABLE_KEY, "column_name", F.lit(True).alias("is_nullable")))
+    columns = (lines.select(name("l_orderkey"), "l_linenumber").repartition("table_name").distinct()
+               .join(orders.select(*cat.TABLE_KEY), "table_name")
+               .select(*cat.TABLE_KEY, number.alias("column_name"), F.lit(True).alias("is_nullable")))
     scope = F.when(F.col("p_size") > 25, "global").when(F.col("p_size") > 5, "time-dependent").otherwise("none")
-    paths = (lines.select("l_orderkey", "l_partkey", number.alias("column_name"),
-                          F.concat(number, F.lit("."), part).alias("field_path")).distinct()
-             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    paths = (lines.select("l_orderkey", "l_partkey", "l_linenumber").distinct()
              .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-             .select(*cat.TABLE_KEY, "column_name", "field_path",
+             .select(name("l_orderkey"), "l_linenumber", "l_partkey", "p_name", "p_size")
+             .join(orders.select(*cat.TABLE_KEY), "table_name")
+             .select(*cat.TABLE_KEY, number.alias("column_name"), F.concat(number, F.lit("."), part).alias("field_path"),
                      F.when(F.col("p_size") % 2 == 0, "STRING").otherwise("INT64").alias("data_type"),
                      F.concat("p_name", F.lit(" - Scope: "), scope).alias("description")))
     kinds = F.explode(F.array(F.struct(F.lit("pk").alias("p"), F.lit("PRIMARY KEY").alias("constraint_type")),
@@ -74,9 +78,10 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "k.constraint_type")
     prefix = F.when(F.col("l_linestatus") == "O", "pk_").otherwise("fk_")
     usage = lines.select(
-        F.concat(prefix, F.col("l_orderkey").cast("string")).alias("constraint_name"), number.alias("column_name"),
-        F.lit("stock").alias("r_owner"), F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("r_table_name"),
-        part.alias("r_column_name")).distinct()
+        F.concat(prefix, F.col("l_orderkey").cast("string")).alias("constraint_name"), "l_linenumber", "l_suppkey",
+        "l_partkey").repartition("constraint_name").distinct().select(
+        "constraint_name", number.alias("column_name"), F.lit("stock").alias("r_owner"),
+        F.concat(F.lit("supplier_"), F.col("l_suppkey").cast("string")).alias("r_table_name"), part.alias("r_column_name"))
     options = orders.select(*cat.TABLE_KEY, F.lit("description").alias("option_name"),
                             F.concat(F.lit('"Order in state '), "o_orderstatus", F.lit('"')).alias("option_value"))
     return {"columns": columns, "paths": paths, "constraints": constraints, "usage": usage, "options": options}

@@ -6,7 +6,7 @@ import pytest
 
 from clientele import session
 from clientele.operators import sessions as sess
-from clientele.plans import dataset
+from clientele.plans import answer_queries, dataset
 from clientele.sources import demo
 
 
@@ -61,6 +61,45 @@ def test_events_are_gathered_after_they_moved(spark, shop_dir):
             assert join < min(moved)
 
 
+@pytest.fixture(scope="module")
+def catalogue_dir(spark, tmp_path_factory):
+    """Lines that come twice, without order, number, part or supplier; a part and an order that come twice."""
+    path = str(tmp_path_factory.mktemp("catalogue"))
+    made = {
+        "part": ([(1, "p1", 30), (2, "p2", 7), (2, "p2b", None)], "p_partkey long, p_name string, p_size int"),
+        "orders": ([(1, "F", "1-URGENT"), (2, "O", "5-LOW"), (2, "P", "5-LOW"), (3, None, "5-LOW"), (4, "F", None), (None, "F", "5-LOW")],
+                   "o_orderkey long, o_orderstatus string, o_orderpriority string"),
+        "lineitem": ([(1, 1, 7, 2, "O"), (1, 1, 7, 2, "O"), (1, 2, 7, 1, "F"), (1, 2, 8, 1, None), (1, None, 7, 3, "O"), (1, 1, 7, None, "F"),
+                      (2, 1, None, 1, "F"), (4, 1, 7, 1, "O"), (None, 1, 7, 1, "O"), (9, 1, 7, 1, "O")],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_linestatus string")}
+    for name, (rows, schema) in made.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+def test_rows_of_a_catalogue_move_by_table(spark, catalogue_dir):
+    """Fields and tables move by the name of the table alone, so they are joined and gathered without moving again."""
+    found = answer_queries.table_descriptions(session.tune(spark), catalogue_dir)
+    moved = [line.split("hashpartitioning(")[1].split("]")[0] for line in _plan(spark, found)
+             if "Exchange hashpartitioning(" in line and "Reused" not in line]
+    several = [keys for keys in moved if keys.count("#") > 1]
+    assert len(several) == 1 and "l_partkey" in several[0], moved      # the distinct lines, as numbers
+
+    def text(n, owner, columns, primary, foreign, comment):
+        lines = " \n  ".join(f"- {c} ({kind}) - {said}" for c, kind, said in columns)
+        refs = ",".join(f"\n      Column {c} is equal to column {p} in table stock.{s}\n      " for c, p, s in foreign) or "None"
+        return (f"\n  Table: `shop.{owner}.order_{n}`\n  Owner: {owner}\n  Columns:\n  {lines}\n  Primary Key: {primary}"
+                f"\n  Foreign Keys: {refs}\n  Project_id: shop\n  Table Description: {comment}")
+    one = [("c1.p2", "INT64", "p2 - Scope: time-dependent"), ("c1.p2", "INT64", "p2b - Scope: none"), ("c2.p1", "STRING", "p1 - Scope: global")]
+    # a repeated order doubles its columns and its paths
+    known = [text(1, "1-URGENT", one, "c2,c3", [("c1", "p2", "supplier_7"), ("c1", "p2", "supplier_8")], "Order in state F"),
+             text(3, "5-LOW", [], "None", [], "None")]
+    got = sorted(r["detailed_description"] or "" for r in found.collect())
+    assert [t for t in got if "order_1`" in t or "order_3`" in t] == known
+    doubled = [t for t in got if "order_2`" in t]
+    assert len(doubled) == 2 and all(t.count("- c1.p1 (STRING) - p1 - Scope: global") == 4 for t in doubled), doubled
+
+
 def test_parts_of_shuffles_are_bounded(spark):
     size, parts = session._SIZE, session._PARTS
     mine = spark.newSession()
