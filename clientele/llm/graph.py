@@ -13,17 +13,20 @@ from clientele.session import scratch_dir
 
 
 def _star(edges: DataFrame) -> DataFrame:
-    """Edges (a, b): every b is pointed at the smallest b of its a."""
+    """Edges (a, b): every b is pointed at the smallest b of its a. Both sides come by a, so
+    the join is a merge where they meet; a broadcast would be one more round of tasks and
+    pass the driver."""
     least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    return edges.join(least, "a")
+    return edges.join(least.hint("merge"), "a")
 
 
 def _round(edges: DataFrame) -> DataFrame:
+    """Three rounds of tasks: large star, small star, the different edges."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    large = _star(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
-    small = _star(large)
-    return small.select(F.col("b").alias("a"), F.col("least").alias("b")).where("a <> b").unionByName(
-        small.select("a", F.col("least").alias("b"))).distinct()
+    large = _star(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "least").alias("b")).repartition("a").distinct()
+    # once to each end, so that the small star is not made twice
+    ends = F.explode(F.array(F.struct(F.col("b").alias("a"), "least"), F.struct("a", "least"))).alias("end")
+    return _star(large).select(ends).select(F.col("end.a").alias("a"), F.col("end.least").alias("b")).where("a <> b").distinct()
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:

@@ -98,6 +98,21 @@ def test_components(spark):
     assert graph.components(frame.limit(0)).count() == 0
 
 
+def test_a_round_of_components_moves_three_times(spark, tmp_path):
+    """Star by star and the different edges: no broadcast, and no star is made twice."""
+    spark.range(50).selectExpr("id + 1 as a", "id as b").write.parquet(str(tmp_path / "edges"))
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = graph._round(spark.read.parquet(str(tmp_path / "edges")))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
+    moves = [line for line in plan.splitlines() if "Exchange " in line]
+    assert "Broadcast" not in plan
+    # both sides of the large star, the small star (its other side is reused) and the result
+    assert sum("ReusedExchange" not in line for line in moves) == 4 and len(moves) == 5, plan
+
+
 def odd_vectors(spark):
     rng = np.random.default_rng(7)
     centres = rng.normal(size=(12, 16))
