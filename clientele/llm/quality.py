@@ -28,7 +28,7 @@ NGRAMS = (2, 3, 4)
 TRAIN_ROWS = 2500            # labelled rows of each class that training reads at most
 EPOCHS = 5
 RATE = 0.6
-BATCH = 1 << 20              # characters scored together
+BATCH = 1 << 18              # characters scored together; a worker keeps what its largest batch took
 _U = np.uint64
 
 

@@ -42,7 +42,7 @@ TELLING = 1.0                          # by how much a word must exceed an unkno
 PASSAGE = 9                            # letters of the passage that counts
 CALIBRATION_ROWS = 1500                # rows of each class that fit the logistic curve
 FOLDS = 3                              # a row is rated for the curve by counts without its fold
-BATCH = 1 << 19
+BATCH = 1 << 17                        # characters scored together; a worker keeps what its largest batch took
 
 
 # ASCII other than letters and digits separates words; all digits are one letter.
@@ -244,14 +244,16 @@ _read: dict[tuple, Sent] = {}          # of this worker: the rows it read last
 def _sent(folder: str, column: str) -> Sent:
     """One model's column of a table in the shared folder, read once per worker."""
     if (folder, column) not in _read:
+        _read.clear()                  # not two tables at a time
         tables = []
         for name, _ in files.sizes(folder, ".parquet"):
             with files.open_file(folder, name) as stream:
                 tables.append(pq.read_table(stream, columns=["key", column]))
         rows = pa.concat_tables(tables).sort_by("key") if tables else None
-        _read.clear()
         _read[folder, column] = Sent(np.zeros(0, np.int64), np.zeros(0, np.float32)) if rows is None else Sent(
             rows["key"].to_numpy(), rows[column].to_numpy())
+        del tables, rows
+        pa.default_memory_pool().release_unused()
     return _read[folder, column]
 
 
@@ -350,7 +352,7 @@ def with_rest(docs: DataFrame, model: Model) -> DataFrame:
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = _lower(batch["text"])
-            for start, end in _ranges(texts, BATCH // 4):
+            for start, end in _ranges(texts, BATCH):
                 text, key = model.probes(texts[start:end])
                 yield pd.DataFrame({"text_a": batch["text_a"].to_numpy()[start:end][text],
                                     "text_b": batch["text_b"].to_numpy()[start:end][text], "key": key})

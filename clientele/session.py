@@ -28,6 +28,10 @@ RUNTIME_SETTINGS = {
 # this size, so that the memory of a task does not grow with the tables. Rows of keys and
 # prices take up to 30 times as much in a hash table as on the wire.
 LEAST_PARTS, PART_BYTES = 400, 8 << 20
+# Rows go to Python in batches of up to so many bytes: 10,000 texts, as Spark deals them out by
+# default, are tens of MB in each worker and as much again beside the heap.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _PARTS, _SIZE = "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
@@ -68,11 +72,18 @@ def bound_tasks(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Batches of bounded size for Python; a session that asks for smaller ones keeps its own."""
+    if _bytes(spark.conf.get(_BATCH)) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
+
+
 def free_tasks(spark: SparkSession) -> SparkSession:
-    """Takes the number of parts back that `bound_tasks` has set."""
+    """Takes the number of parts back that `bound_tasks` has set; batches are bounded instead."""
     if spark.conf.get(_PARTS, None) == str(LEAST_PARTS):
         spark.conf.unset(_PARTS)
-    return spark
+    return bound_batches(spark)
 
 
 _shipped: set[str] = set()          # applications whose workers have the package

@@ -12,21 +12,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clientele.llm import mixing, ngramjoin, packing, quality, toxicity
 from clientele.llm.queries import FLAGGED, WEIGHTS, domain_model, read, tokenizer_path
-from clientele.session import scratch_dir, tune
+from clientele.session import free_tasks, scratch_dir, tune
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier gives at least 0.5; others go."""
-    tune(spark)
+    free_tasks(tune(spark))
     model = quality.quality_model(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return docs.where(quality.score(model, 1) >= 0.5).select(*COLUMNS)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below 0.3; others go."""
-    tune(spark)
+    free_tasks(tune(spark))
     model = toxicity.toxicity_model(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return toxicity.scored(docs.select(*COLUMNS), model).where("score < 0.3").select(*COLUMNS)
 
@@ -35,7 +35,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group of near copies: the one with the smallest doc_id. A
     document without words is in no group and stays. Rows that repeat a doc_id and have
     words leave one; without doc_id a row stays."""
-    tune(spark)
+    free_tasks(tune(spark))
     found = ngramjoin.joined(docs.select(*COLUMNS), scratch_dir(spark, "pipeline-jaccard"))
     kept = found.where((F.col("doc_id") == F.col("component_id")) | (F.col("n_shingles") == 0) | F.col("doc_id").isNull())
     # the least of repeated rows as one struct: a text travels once
@@ -48,7 +48,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as its rate says, so that the expected tokens of the
     domains match the target weights. No language has to lose tokens."""
-    tune(spark)
+    free_tasks(tune(spark))
     found = mixing.mixed(docs.select(*COLUMNS), domain_model(spark, sf_dir), WEIGHTS, tokenizer_path(),
                          scratch_dir(spark, "pipeline-mixing"), shrinking=(FLAGGED,))
     return found.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
@@ -56,7 +56,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in the sequences."""
-    tune(spark)
+    free_tasks(tune(spark))
     return packing.packed_documents(docs, tokenizer_path(), scratch_dir(spark, "pipeline-pieces"))
 
 
