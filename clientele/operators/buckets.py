@@ -6,8 +6,10 @@ of directions follows from the counted corpus, so cells hold few rows at any siz
 visits, in each table, its own cell and those around it that a near vector is most probably
 in: the nearest bucket borders are crossed first, in the order of a fixed template of sets.
 
-Only vectors of visited cells are compared. The index is a table sorted by cell. Queries are
-a stated set; they go to the index in bundles of QUERY_ROWS, each written before the next.
+Only vectors of visited cells are compared. The index is a table sorted by cell and cut into
+shards of SHARD_ROWS; queries stay a table, cut into bundles of QUERY_ROWS. Every bundle meets
+every shard in a task of its own: there the cells that the bundle visits are looked up among
+those of the shard, and a cell is compared with all its visitors at once.
 """
 
 from __future__ import annotations
@@ -20,13 +22,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from clientele.functions.vectors import Best, keys, matrix, unit
 from clientele.session import scratch_dir
 
 LENGTH = 2.5                 # of a bucket; projections of unlike vectors differ by 1.4 on average
 TABLES = 2
-QUERY_ROWS = 4096
+QUERY_ROWS, SHARD_ROWS = 65_536, 131_072     # at most; fewer if there were less than TASKS bundles and shards to meet
+LEAST_ROWS, TASKS = 4096, 32
+SLICE, VISITS = 64, 1 << 23          # queries that are looked up at once, and visits that are sorted at once
+FIRST = 16                           # this part of the visits, the most promising ones, comes first
 CROSSED = 5                  # borders crossed at once, at most
 
 
@@ -58,6 +64,19 @@ def crossings(hashes: int, probes: int) -> list[tuple[int, ...]]:
     return sorted(sets, key=lambda s: (sum(map(cost, s)), len(s), s))[:probes]
 
 
+@functools.lru_cache(maxsize=8)
+def _grown(hashes: int, probes: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For sets of 1, 2, ... borders: their places in `crossings`, those of the sets without
+    the last border, which cost less and so come before them, and the last borders."""
+    sets = crossings(hashes, probes)
+    at = {s: i for i, s in enumerate(sets)}
+    out = []
+    for n in range(1, max(map(len, sets), default=0) + 1):
+        mine = [s for s in sets if len(s) == n]
+        out.append((np.array([at[s] for s in mine]), np.array([at[s[:-1]] for s in mine]), np.array([s[-1] - 1 for s in mine])))
+    return out
+
+
 @dataclass(frozen=True)
 class Tables:
     """Directions, offsets and the template; the same for the same sizes and seed."""
@@ -68,6 +87,7 @@ class Tables:
     length: float = LENGTH
     seed: int = 0
 
+    @functools.lru_cache(maxsize=8)
     def directions(self) -> np.ndarray:
         """tables x dimensions x hashes. Orthogonal within a table; fewer hashes take the first ones."""
         rng = np.random.default_rng(self.seed)
@@ -96,12 +116,12 @@ class Tables:
         into = at - low
         borders = np.argsort(np.concatenate([into, 1 - into], axis=1), axis=1, kind="stable")
         names = self._names()[table]
-        steps = np.concatenate([-names, names])[borders]
-        sets = crossings(self.hashes, self.probes)
-        crossed = np.zeros((2 * self.hashes, len(sets)), np.int64)
-        for i, s in enumerate(sets):
-            crossed[[j - 1 for j in s], i] = 1
-        return (low.astype(np.int64) * names).sum(axis=1)[:, None] + steps @ crossed
+        steps = np.concatenate([-names, names])[borders].T
+        cells = np.empty((len(crossings(self.hashes, self.probes)), len(vectors)), np.int64)
+        cells[:1] = (low.astype(np.int64) * names).sum(axis=1)
+        for mine, shorter, last in _grown(self.hashes, self.probes):
+            cells[mine] = cells[shorter] + steps[last]
+        return cells.T
 
 
 def tables_for(corpus: DataFrame, vector: str = "embedding", probes: int | None = None, **options) -> Tables:
@@ -112,9 +132,11 @@ def tables_for(corpus: DataFrame, vector: str = "embedding", probes: int | None
     return Tables(dimensions, hashes, probes or probes_for(hashes), **options)
 
 
-def write_index(corpus: DataFrame, tables: Tables, folder: str, id_: str = "id", vector: str = "embedding") -> DataFrame:
-    """The index (hash_table, cell, id, embedding), a row for each vector and table, in the
-    order of the cells. Null and zero vectors are left out."""
+def write_index(corpus: DataFrame, tables: Tables, folder: str, id_: str = "id", vector: str = "embedding",
+                shards: int = 1) -> DataFrame:
+    """The index (hash_table, cell, id, embedding, shard), a row for each vector and table, in
+    the order of the cells; a large cell may go on in the next shard. Null and zero vectors are
+    left out."""
     kind = corpus.schema[id_].dataType
 
     def put(batches):
@@ -129,76 +151,130 @@ def write_index(corpus: DataFrame, tables: Tables, folder: str, id_: str = "id",
                     [pa.array(np.full(len(usable), t, np.int32)), pa.array(tables.cells(vectors[usable], t)), *kept.columns],
                     ["hash_table", "cell", "id", "embedding"])
 
+    numbers = _numbers(corpus, vector)
     schema = T.StructType([T.StructField("hash_table", T.IntegerType()), T.StructField("cell", T.LongType()),
-                           T.StructField("id", kind), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
-    rows = corpus.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).cast("array<double>").alias("embedding"))
-    rows.mapInArrow(put, schema).repartitionByRange("hash_table", "cell").sortWithinPartitions("hash_table", "cell").write.parquet(folder)
-    return corpus.sparkSession.read.parquet(folder)
-
-
-def _search(index: DataFrame, bundle: pa.Table, tables: Tables, schema: T.StructType, options: dict) -> DataFrame:
-    """(qid, id, similarity, compared) of one bundle: the best k of each task and table,
-    and how many pairs were compared, on the first row of a task."""
-    shipped = index.sparkSession.sparkContext.broadcast(bundle)
-    out = pa.schema([(f.name, {"qid": bundle["qid"].type, "id": None}.get(f.name) or pa.float64()) for f in schema if f.name != "id"])
-
-    def run(batches):
-        asked = matrix(shipped.value["embedding"])
-        names, best, compared, ready = keys(shipped.value["qid"]), {}, 0, {}
-        kind = None
-        for batch in batches:
-            of_row = batch["hash_table"].to_numpy()
-            kind = batch["id"].type
-            for t in np.unique(of_row).tolist():
-                if t not in ready:
-                    ready[t] = tables.visited(asked, t)
-                    best[t] = Best(names, asked, **options)
-                rows = np.flatnonzero(of_row == t)
-                part = batch.take(pa.array(rows))
-                cells, ids, vectors = part["cell"].to_numpy(), keys(part["id"]), matrix(part["embedding"])
-                # rows come in the order of their cells: only visits to the few of this batch are sorted
-                near = np.flatnonzero((ready[t].ravel() >= cells.min()) & (ready[t].ravel() <= cells.max()))
-                near = near[np.argsort(ready[t].ravel()[near], kind="stable")]
-                visits, visitors = ready[t].ravel()[near], (near // ready[t].shape[1]).astype(np.int32)
-                ends = np.append(np.flatnonzero(np.diff(cells, prepend=cells[0] - 1)), len(cells))
-                lo, hi = np.searchsorted(visits, cells[ends[:-1]]), np.searchsorted(visits, cells[ends[:-1]], "right")
-                for a, b, i, j in zip(ends[:-1], ends[1:], lo, hi, strict=True):
-                    if j > i:
-                        who = np.unique(visitors[i:j])       # the names of two cells may be equal
-                        compared += len(who) * int(b - a)
-                        best[t].add(ids[a:b], vectors[a:b], only=who)
-        schema_ = pa.schema([out.field("qid"), pa.field("id", kind or pa.int64()), pa.field("similarity", pa.float64())])
-        for b in best.values():
-            found = b.table(schema_)
-            yield from found.append_column("compared", pa.nulls(len(found), pa.int64())).to_batches()
-        if compared:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, f.type) for f in schema_] + [pa.array([compared], pa.int64())],
-                                             [*schema_.names, "compared"])
-
-    return index.mapInArrow(run, T.StructType([*schema.fields, T.StructField("compared", T.LongType())]))
+                           T.StructField("id", kind), T.StructField("embedding", numbers)])
+    rows = corpus.where(F.col(vector).isNotNull()).select(F.col(id_).alias("id"), F.col(vector).cast(numbers).alias("embedding"))
+    order = ["hash_table", "cell", "id"]
+    (rows.mapInArrow(put, schema).repartitionByRange(shards, *order).sortWithinPartitions(*order)
+     .withColumn("shard", F.spark_partition_id()).write.parquet(folder))
+    return corpus.sparkSession.read.schema(T.StructType([*schema.fields, T.StructField("shard", T.IntegerType())])).parquet(folder)
+
+
+def _numbers(df: DataFrame, vector: str) -> T.ArrayType:
+    """Vectors of floats move as floats, others as doubles."""
+    kind = df.schema[vector].dataType
+    return T.ArrayType(T.FloatType() if isinstance(kind, T.ArrayType) and kind.elementType == T.FloatType() else T.DoubleType())
+
+
+class Shard:
+    """Rows of one shard and hash table, by cell. Names of cells are as good as random, so the
+    high bits of a name tell about where it stands among them."""
+
+    def __init__(self, cells: np.ndarray):
+        """`cells`, sorted: one for each row."""
+        self.starts = np.append(np.flatnonzero(np.diff(cells, prepend=cells[0] - 1)), len(cells))
+        self.names = cells[self.starts[:-1]]
+        self.low, self.span = self.names[0], (self.names[-1:] - self.names[0]).view(np.uint64)[0]
+        bits = max(1, int(self.span).bit_length())
+        self.shift = np.uint64(max(0, bits - max(1, (16 * len(self.names)).bit_length())))
+        slots = self._slots(self.names)
+        self.first = np.full(int(slots[-1]) + 1, -1, np.int32)
+        self.first[slots[::-1]] = np.arange(len(slots))[::-1]
+        self.shared = np.bincount(slots) > 1
+
+    def _slots(self, names: np.ndarray) -> np.ndarray:
+        return ((names - self.low).view(np.uint64) >> self.shift).astype(np.int64)
+
+    def visits(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of `cells`, any number in one dimension, those that are in the shard: their places
+        in `cells` and among the names."""
+        near = np.flatnonzero((cells - self.low).view(np.uint64) <= self.span)
+        names = cells[near]
+        slots = self._slots(names)
+        at = self.first[slots]
+        hit = (at >= 0) & (self.names[at] == names)
+        again = np.flatnonzero(~hit & self.shared[slots])
+        if len(again):
+            at[again] = np.searchsorted(self.names, names[again])
+            hit[again] = self.names[at[again]] == names[again]
+        return near[hit], at[hit]
+
+
+def _meet(qids: np.ndarray, asked: np.ndarray, rows: pa.Table, tables: Tables, options: dict) -> tuple[list[Best], int]:
+    """A bundle of queries against a shard: the best of each hash table, as a row found in two
+    is to count once, and how many pairs were compared."""
+    of_row, compared, found_in = rows["hash_table"].to_numpy(), 0, []
+    for t in np.unique(of_row).tolist():
+        best = Best(qids, asked, **options)
+        found_in.append(best)
+        part = rows.filter(pa.array(of_row == t))
+        part = part.take(pa.array(np.argsort(part["cell"].to_numpy(), kind="stable")))
+        single = part.schema.field("embedding").type.value_type == pa.float32()
+        shard, ids, vectors = Shard(part["cell"].to_numpy()), keys(part["id"]), matrix(part["embedding"], np.float32 if single else np.float64)
+        sizes, width = np.diff(shard.starts), max(1, len(asked) - 1).bit_length()
+        code = np.uint32 if width + len(shard.names).bit_length() <= 32 else np.uint64
+        waiting, found = ([], []), 0
+
+        def parts(codes: np.ndarray):
+            """(low, high, visitors) of every cell that is visited."""
+            nonlocal compared
+            if not len(codes):
+                return
+            codes.sort()
+            codes = codes[np.diff(codes, prepend=codes[0] + 1) != 0]        # the names of two cells may be equal
+            cells, visitors = (codes >> code(width)).astype(np.int64), (codes & code((1 << width) - 1)).astype(np.int64)
+            ends = np.append(np.flatnonzero(np.diff(cells, prepend=-1)), len(cells))
+            compared += int(np.dot(np.diff(ends), sizes[cells[ends[:-1]]]))
+            for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                c = cells[i]
+                yield int(shard.starts[c]), int(shard.starts[c + 1]), visitors[i:j]
+
+        for start in range(0, len(asked), SLICE):
+            some = asked[start:start + SLICE]
+            place, cell = shard.visits(tables.visited(some, t).T.ravel())
+            codes = (cell.astype(code) << code(width)) | (place % len(some) + start).astype(code)
+            early = np.searchsorted(place, max(1, tables.probes // FIRST) * len(some))
+            for side, some_codes in zip(waiting, (codes[:early], codes[early:]), strict=True):
+                side.append(some_codes)
+            found += len(codes)
+            if found >= VISITS or start + SLICE >= len(asked):
+                for side in waiting:
+                    best.add_parts(ids, vectors, parts(np.concatenate(side)))
+                    side.clear()
+                found = 0
+    return found_in, compared
 
 
 def search(queries: DataFrame, index: DataFrame, tables: Tables, folder: str, k: int, threshold: float | None = None,
            qid: str = "qid", vector: str = "embedding", exclude_same_id: bool = False, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(qid, id, similarity, compared): the best rows found by each task, by cosine above the
-    threshold, not yet ranked; rows without qid carry the number of compared pairs.
-
-    The queries are written once and read bundle by bundle; one bundle at a time passes
-    through the driver, and what it finds is written before the next."""
+    threshold, not yet ranked; rows without qid carry the number of compared pairs."""
     spark = queries.sparkSession
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("qid"), F.col(vector).alias("embedding"))
-    bundles = max(1, -(-asked.count() // query_rows))
-    asked.withColumn("bundle", F.pmod(F.xxhash64("qid"), F.lit(bundles))).write.partitionBy("bundle").parquet(f"{folder}/queries")
-    stored = spark.read.schema(T.StructType([*asked.schema.fields, T.StructField("bundle", T.LongType())])).parquet(f"{folder}/queries")
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(qid).alias("qid"), F.col(vector).cast(_numbers(queries, vector)).alias("embedding"))
     schema = T.StructType([T.StructField("qid", queries.schema[qid].dataType), T.StructField("id", index.schema["id"].dataType),
-                           T.StructField("similarity", T.DoubleType())])
+                           T.StructField("similarity", T.DoubleType()), T.StructField("compared", T.LongType())])
+    out = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in schema])
     options = dict(k=k, metric="cosine", threshold=threshold, exclude_same_id=exclude_same_id)
-    for i in range(bundles):
-        bundle = stored.where(F.col("bundle") == i).select("qid", "embedding").toArrow()
-        if len(bundle):
-            _search(index, bundle, tables, schema, options).write.mode("append").parquet(f"{folder}/found")
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("compared", T.LongType())])).parquet(f"{folder}/found") \
-        if asked.limit(1).count() else spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("compared", T.LongType())]))
+    shards = sorted(r["shard"] for r in index.select("shard").distinct().collect())
+    bundles = -(-asked.count() // query_rows)
+    if not shards or not bundles:
+        return spark.createDataFrame([], schema)
+
+    def run(some: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(some) or not len(rows):
+            return out.empty_table()
+        best, compared = _meet(keys(some["qid"]), matrix(some["embedding"]), rows, tables, options)
+        found = pa.concat_tables([b.table(pa.schema(list(out)[:3])) for b in best])
+        found = found.append_column(out.field("compared"), pa.nulls(len(found), pa.int64()))
+        return pa.concat_tables([found, pa.table([*(pa.nulls(1, f.type) for f in list(out)[:3]), pa.array([compared])], schema=out)])
+
+    key = ["shard", "bundle"]
+    asked = asked.withColumn("bundle", F.pmod(F.xxhash64("qid"), F.lit(bundles)).cast("int"))
+    asked = asked.withColumn("shard", F.explode(F.array(*[F.lit(s) for s in shards])))
+    rows = index.withColumn("bundle", F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))))
+    asked.groupBy(*key).cogroup(rows.groupBy(*key)).applyInArrow(run, schema).write.parquet(f"{folder}/found")
+    return spark.read.schema(schema).parquet(f"{folder}/found")
 
 
 def search_corpus(queries: DataFrame, corpus: DataFrame, k: int, threshold: float | None = None, *, qid: str = "qid", id_: str = "id",
@@ -206,5 +282,9 @@ def search_corpus(queries: DataFrame, corpus: DataFrame, k: int, threshold: floa
     """Index a corpus and search it, in a fresh scratch folder; see `search`."""
     folder = scratch_dir(corpus.sparkSession, "buckets")
     tables = tables_for(corpus, vector, **options)
-    index = write_index(corpus, tables, f"{folder}/index", id_, vector)
-    return search(queries, index, tables, folder, k, threshold, qid, vector, exclude_same_id, query_rows)
+    rows = tables.tables * corpus.where(F.col(vector).isNotNull()).count()
+    asked = queries.where(F.col(vector).isNotNull()).count()
+    # the cells of a query are named once a shard, so shards are larger than bundles
+    side = math.isqrt(rows * asked // TASKS)
+    index = write_index(corpus, tables, f"{folder}/index", id_, vector, max(1, -(-rows // min(SHARD_ROWS, max(LEAST_ROWS, 2 * side)))))
+    return search(queries, index, tables, folder, k, threshold, qid, vector, exclude_same_id, min(query_rows, max(LEAST_ROWS, side // 2)))

@@ -13,6 +13,7 @@ can be left out, and the work is that of all pairs in blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -25,7 +26,9 @@ from clientele.session import scratch_dir
 PIVOTS = 32
 MAX_BLOCKS = 16_384
 AT_ONCE = 1 << 16            # pairs of a query and a block that are judged together
-REGION_ROWS = 8192           # vectors move to regions of neighbouring blocks, of so many rows, in bundles of so many queries
+REGION_ROWS = 8192           # vectors move to regions of neighbouring blocks, of so many rows, in bundles of so many queries:
+MOST_ROWS, REGION_BLOCKS = 65_536, 64    # of more, up to so many rows and blocks, if there are still TASKS bundles and regions to meet
+TASKS = 32
 SLACK = 1e-6                 # similarities are rounded; bounds must not cut at the last digits
 
 
@@ -55,17 +58,19 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _dealt(corpus: DataFrame, block_rows: int) -> tuple[DataFrame, int]:
+def _dealt(corpus: DataFrame, block_rows: int, asked: int) -> tuple[DataFrame, int, int]:
     """Adds `block`: by the nearest pivot, large ones in several parts, and `region`: so many
-    neighbouring blocks, the second result. Ranges leave out blocks, rows move by region."""
+    neighbouring blocks, the second result. Ranges leave out blocks, rows move by region. The
+    third result is the size of a bundle of so many queries asked."""
     sizes = {r["home"]: r["n"] for r in corpus.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = max(block_rows, -(-sum(sizes.values()) // (MAX_BLOCKS - PIVOTS)))
     parts = [-(-sizes.get(h, 0) // rows) for h in range(PIVOTS)]
     first = np.concatenate([[0], np.cumsum(parts)]).tolist()
     part = F.pmod(F.xxhash64("id"), F.get(F.array(*[F.lit(max(1, p)) for p in parts]), F.col("home")))
-    joined = max(1, REGION_ROWS // rows)
+    side = max(REGION_ROWS, min(MOST_ROWS, math.isqrt(asked * sum(sizes.values()) // TASKS)))
+    joined = max(1, REGION_ROWS // rows, min(REGION_BLOCKS, side * sum(parts) // max(1, sum(sizes.values()))))
     corpus = corpus.withColumn("block", (F.get(F.array(*[F.lit(f) for f in first]), F.col("home")) + part).cast("int"))
-    return corpus.withColumn("region", F.floor(F.col("block") / joined).cast("int")), joined
+    return corpus.withColumn("region", F.floor(F.col("block") / joined).cast("int")), joined, side
 
 
 class Ranges:
@@ -89,15 +94,17 @@ class Ranges:
         return out
 
 
-def _meet(queries: DataFrame, corpus: DataFrame, schema: T.StructType, out: pa.Schema, options: dict, block_rows: int) -> DataFrame:
-    """Queries(qid, embedding, region, blocks) against the rows of their blocks; a region that
-    many queries go to is met in several tasks."""
-    visits = queries.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / max(block_rows, REGION_ROWS)).cast("int").alias("_parts"))
+def _meet(queries: DataFrame, corpus: DataFrame, schema: T.StructType, out: pa.Schema, options: dict, bundle_rows: int) -> DataFrame:
+    """Queries(qid, embedding, region, blocks, least) against the rows of their blocks; a region
+    that many queries go to is met in several tasks. Rows below `least` are left out."""
+    counts = queries.groupBy("region").agg(F.ceil(F.count(F.lit(1)) / bundle_rows).cast("int").alias("_parts")).toArrow()
+    visits = F.broadcast(queries.sparkSession.createDataFrame(counts))          # MAX_BLOCKS rows at most
     asked = queries.join(visits, "region").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("_parts")).cast("int"))
     stored = corpus.join(visits, "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
 
     def search(some: pa.Table, rows: pa.Table) -> pa.Table:
-        best = Best(keys(some["qid"]), matrix(some["embedding"]), **options)
+        floor = some["least"].to_numpy().astype(np.float64)
+        best = Best(keys(some["qid"]), matrix(some["embedding"]), floor=floor, **options)
         ids, vectors, of_row = keys(rows["id"]), matrix(rows["embedding"]), rows["block"].to_numpy()
         wanted = some["blocks"].combine_chunks()
         who = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
@@ -105,18 +112,24 @@ def _meet(queries: DataFrame, corpus: DataFrame, schema: T.StructType, out: pa.S
         blocks, visitors = np.unique(named, return_counts=True)
         all_go = np.isin(of_row, blocks[visitors == len(wanted)])
         best.add(ids[all_go], vectors[all_go])
-        for block in blocks[visitors < len(wanted)].tolist():
-            at = np.flatnonzero(of_row == block)
-            best.add(ids[at], vectors[at], only=who[named == block])
+        few = visitors < len(wanted)
+        order = np.argsort(named, kind="stable")
+        ends = np.cumsum(visitors)
+        by_block = np.argsort(of_row, kind="stable")
+        low, high = (np.searchsorted(of_row[by_block], blocks, at) for at in ("left", "right"))
+        for i in np.flatnonzero(few).tolist():
+            at = by_block[low[i]:high[i]]
+            best.add(ids[at], vectors[at], only=who[order[ends[i] - visitors[i]:ends[i]]])
         return best.table(out)
 
-    return (asked.select("region", "part", "qid", "embedding", "blocks").groupBy("region", "part")
-            .cogroup(stored.select("region", "part", "id", "embedding", "block").groupBy("region", "part")).applyInArrow(search, schema))
+    key = ["region", "part"]
+    asked, stored = asked.select(*key, "qid", "embedding", "blocks", "least"), stored.select(*key, "id", "embedding", "block")
+    return asked.groupBy(*key).cogroup(stored.groupBy(*key)).applyInArrow(search, schema)
 
 
-def _visits(queries: DataFrame, ranges, joined: int, choose: Callable, with_far: bool) -> DataFrame:
+def _visits(queries: DataFrame, ranges, joined: int, choose: Callable, more: str) -> DataFrame:
     """A row for every region a query goes to, with its blocks there; `choose` gives queries x
-    blocks, true or false."""
+    blocks, true or false. `more` is a column that goes with it."""
     def go(batches):
         order = np.argsort(ranges.value.blocks)
         blocks = ranges.value.blocks[order].astype(np.int32)
@@ -131,7 +144,7 @@ def _visits(queries: DataFrame, ranges, joined: int, choose: Callable, with_far:
             there = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(blocks[np.nonzero(chosen)[1]]))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(regions[where].astype(np.int32)), there], [*names, "region", "blocks"])
 
-    names = ["qid", "embedding", *(["far"] if with_far else [])]
+    names = ["qid", "embedding", more]
     schema = T.StructType([*(queries.schema[n] for n in names), T.StructField("region", T.IntegerType()),
                            T.StructField("blocks", T.ArrayType(T.IntegerType()))])
     return queries.mapInArrow(go, schema)
@@ -162,24 +175,26 @@ def search(asked: DataFrame, stored: DataFrame, schema: T.StructType, out: pa.Sc
     sample = matrix(stored.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("embedding").toArrow()["embedding"])
     pivots = unit(sample) if cosine and len(sample) else sample
     pivots = pivots[np.isfinite(pivots).all(axis=1)] if len(pivots) else np.empty((0, 0))
-    corpus, joined = _dealt(_written(_placed(stored, "id", pivots, cosine), f"{folder}/corpus"), block_rows)
     queries = _written(_placed(asked, "qid", pivots, cosine), f"{folder}/queries")
+    corpus, joined, side = _dealt(_written(_placed(stored, "id", pivots, cosine), f"{folder}/corpus"), block_rows, queries.count())
     found_ranges = Ranges(corpus, len(pivots))
     if not len(found_ranges.blocks):
         return spark.createDataFrame([], schema)
     ranges = spark.sparkContext.broadcast(found_ranges)
     rows = corpus.select("id", "embedding", "block", "region")
-    home = _written(_visits(queries, ranges, joined, _first, True), f"{folder}/home")
-    first = _written(_meet(home.drop("far"), rows, schema, out, options, block_rows), f"{folder}/first")
+    home = _written(_visits(queries, ranges, joined, _first, "far"), f"{folder}/home")
+    nothing = F.lit(None).cast("double").alias("least")
+    first = _written(_meet(home.select("qid", "embedding", "region", "blocks", nothing), rows, schema, out, options, side), f"{folder}/first")
 
     def distance(similarity):
         return F.sqrt(F.greatest(2 - 2 * similarity, F.lit(0.0))) if cosine else -similarity
 
-    bound = F.when(F.count(F.lit(1)) >= k, distance(F.min("similarity")))
-    limits = first.groupBy("qid").agg(bound.alias("bound"))
+    # the k-th best so far bounds the blocks, and the rows there
+    full = F.count(F.lit(1)) >= k
+    limits = first.groupBy("qid").agg(F.when(full, F.min("similarity")).alias("least"), F.when(full, distance(F.min("similarity"))).alias("bound"))
     beyond = F.lit(np.inf) if threshold is None else distance(F.lit(float(threshold)))
     left = home.join(limits, "qid", "left").withColumn("bound", F.least(F.coalesce("bound", F.lit(np.inf)), beyond))
-    rest = _visits(left, ranges, joined, _rest, False)
+    rest = _visits(left, ranges, joined, _rest, "least")
     if met is not None:
         met += [*(v.select("qid", F.explode("blocks").alias("block")) for v in (home, rest)), found_ranges]
-    return first.unionByName(_meet(rest, rows, schema, out, options, block_rows))
+    return first.unionByName(_meet(rest, rows, schema, out, options, side))
