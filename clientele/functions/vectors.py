@@ -22,12 +22,17 @@ def matrix(column: pa.Array | pa.ChunkedArray, kind: type = np.float64) -> np.nd
     rows = len(column)
     if not rows:
         return np.empty((0, 0))
-    values = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(kind, copy=kind is np.float64)
     if len(values) % rows:
         raise ValueError("the vectors have different lengths")
     return values.reshape(rows, -1)
 
 
+def narrow(column: pa.ChunkedArray) -> np.ndarray:
+    """`matrix` in the precision the column has: floats take half of the memory until they are compared."""
+    return matrix(column, np.float32 if column.type.value_type == pa.float32() else np.float64)
+
+
 def keys(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Id column -> sortable numpy array (integers stay integers, else text)."""
     out = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
@@ -178,7 +183,7 @@ class Best:
         if not waiting:
             return
         query, row, sim = (np.concatenate(side) for side in zip(*waiting, strict=True))
-        keep = sim >= self.bar[query]
+        query, keep = query.astype(np.int64), sim >= self.bar[query]
         if self.exclude:
             keep &= ~(self.qids[query] == ids[row])
         if tenants is not None:

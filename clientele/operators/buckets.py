@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from clientele.functions.vectors import Best, keys, matrix, unit
+from clientele.functions.vectors import Best, keys, matrix, narrow, unit
 from clientele.session import scratch_dir
 
 LENGTH = 2.5                 # of a bucket; projections of unlike vectors differ by 1.4 on average
 TABLES = 2
-QUERY_ROWS, SHARD_ROWS = 65_536, 131_072     # at most; fewer if there were less than TASKS bundles and shards to meet
+QUERY_ROWS, SHARD_ROWS = 32_768, 131_072     # at most; fewer if there were less than TASKS bundles and shards to meet
 LEAST_ROWS, TASKS = 4096, 32
-SLICE, VISITS = 64, 1 << 23          # queries that are looked up at once, and visits that are sorted at once
+SLICE, VISITS = 64, 1 << 22          # queries that are looked up at once, and visits that are sorted at once
 FIRST = 16                           # this part of the visits, the most promising ones, comes first
 CROSSED = 5                  # borders crossed at once, at most
 
@@ -208,10 +208,9 @@ def _meet(qids: np.ndarray, asked: np.ndarray, rows: pa.Table, tables: Tables, o
     for t in np.unique(of_row).tolist():
         best = Best(qids, asked, **options)
         found_in.append(best)
-        part = rows.filter(pa.array(of_row == t))
-        part = part.take(pa.array(np.argsort(part["cell"].to_numpy(), kind="stable")))
-        single = part.schema.field("embedding").type.value_type == pa.float32()
-        shard, ids, vectors = Shard(part["cell"].to_numpy()), keys(part["id"]), matrix(part["embedding"], np.float32 if single else np.float64)
+        mine = np.flatnonzero(of_row == t)
+        part = rows.take(pa.array(mine[np.argsort(rows["cell"].to_numpy()[mine], kind="stable")]))
+        shard, ids, vectors = Shard(part["cell"].to_numpy()), keys(part["id"]), narrow(part["embedding"])
         sizes, width = np.diff(shard.starts), max(1, len(asked) - 1).bit_length()
         code = np.uint32 if width + len(shard.names).bit_length() <= 32 else np.uint64
         waiting, found = ([], []), 0
@@ -223,7 +222,8 @@ def _meet(qids: np.ndarray, asked: np.ndarray, rows: pa.Table, tables: Tables, o
                 return
             codes.sort()
             codes = codes[np.diff(codes, prepend=codes[0] + 1) != 0]        # the names of two cells may be equal
-            cells, visitors = (codes >> code(width)).astype(np.int64), (codes & code((1 << width) - 1)).astype(np.int64)
+            cells, visitors = (codes >> code(width)).astype(np.int32), (codes & code((1 << width) - 1)).astype(np.int32)
+            del codes
             ends = np.append(np.flatnonzero(np.diff(cells, prepend=-1)), len(cells))
             compared += int(np.dot(np.diff(ends), sizes[cells[ends[:-1]]]))
             for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -240,8 +240,9 @@ def _meet(qids: np.ndarray, asked: np.ndarray, rows: pa.Table, tables: Tables, o
             found += len(codes)
             if found >= VISITS or start + SLICE >= len(asked):
                 for side in waiting:
-                    best.add_parts(ids, vectors, parts(np.concatenate(side)))
+                    codes = [np.concatenate(side)]
                     side.clear()
+                    best.add_parts(ids, vectors, parts(codes.pop()))
                 found = 0
     return found_in, compared
 

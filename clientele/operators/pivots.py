@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from clientele.functions.vectors import Best, keys, matrix, unit
+from clientele.functions.vectors import Best, keys, matrix, narrow, unit
 from clientele.session import scratch_dir
 
 PIVOTS = 32
@@ -105,7 +105,8 @@ def _meet(queries: DataFrame, corpus: DataFrame, schema: T.StructType, out: pa.S
     def search(some: pa.Table, rows: pa.Table) -> pa.Table:
         floor = some["least"].to_numpy().astype(np.float64)
         best = Best(keys(some["qid"]), matrix(some["embedding"]), floor=floor, **options)
-        ids, vectors, of_row = keys(rows["id"]), matrix(rows["embedding"]), rows["block"].to_numpy()
+        read = narrow if options["metric"] == "cosine" else matrix
+        ids, vectors, of_row = keys(rows["id"]), read(rows["embedding"]), rows["block"].to_numpy()
         wanted = some["blocks"].combine_chunks()
         who = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
         named = wanted.flatten().to_numpy()

@@ -102,6 +102,17 @@ def test_single_precision_decides_nothing():
     assert (vec._places(sim > 0.7) == np.flatnonzero(sim > 0.7)).all()
 
 
+def test_many_pairs_that_wait_are_thinned_out_by_query(monkeypatch):
+    """Numbers of queries may be short integers; the k-th of each is to be its own."""
+    monkeypatch.setattr(vec, "SCORED", 500)
+    rng = np.random.default_rng(14)
+    asked, stored = rng.normal(size=(300, 8)), rng.normal(size=(200, 8))
+    best = vec.Best(np.arange(300), asked, 3, "cosine", -0.5, False)
+    best.add_parts(np.arange(200), stored, [(a, a + 10, rng.permutation(300).astype(np.int32)) for a in range(0, 200, 10)])
+    sim = np.round(vec.unit(asked) @ vec.unit(stored).T, vec.DIGITS)
+    assert [set(row) for row in best.ids.tolist()] == [set(np.argsort(-row)[:3].tolist()) for row in sim]
+
+
 def test_bundles_are_searched_at_once(spark):
     """They used to pass the driver and the index one after the other."""
     vectors = np.random.default_rng(10).normal(size=(400, 16))
